@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module for each operator; each has QUERIES and ORACLES.
-MODULES = ("quality_rules", "url_filter", "packing", "html_extract", "substring_dedup", "jaccard_join")
+MODULES = ("line_dedup", "quality_rules", "url_filter", "packing", "html_extract", "substring_dedup", "jaccard_join")
 
 
 def _merged(what: str) -> dict:
