@@ -6,11 +6,11 @@ shuffle's compression finds the planes that hold little.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 
+from larkspur.llm.text_hash import mix
+
 SCHEMA = "bucket int, n int, body binary"
 
 
@@ -24,17 +24,27 @@ def _whole(body: memoryview, n: int, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def pack(keys: np.ndarray, ids: np.ndarray, n_buckets: int, key_bytes: int = 8) -> pa.RecordBatch:
-    """One row a bucket; keys are mixed 64-bit hashes, of which the upper key_bytes are kept beside the bucket."""
-    bucket = ((keys & np.uint64(0xFFFFFF)) % np.uint64(n_buckets)).astype(np.int32)
+def _rows(bucket: np.ndarray, keys: np.ndarray, ids: np.ndarray, key_bytes: int) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
-    keys, ids = keys[order] >> np.uint64(64 - 8 * key_bytes), ids[order]
+    keys, ids = keys[order], ids[order]
     which, first = np.unique(bucket[order], return_index=True)
-    ends = np.append(first[1:], len(order))
+    ends = np.append(first[1:], len(order))[: len(first)]
     body = [_planes(keys[a:b], key_bytes) + _planes(ids[a:b].view(np.uint64), 8) for a, b in zip(first, ends, strict=True)]
     return pa.record_batch([pa.array(which, pa.int32()), pa.array(ends - first, pa.int32()), pa.array(body, pa.binary())], names=["bucket", "n", "body"])
 
 
+def pack(keys: np.ndarray, ids: np.ndarray, n_buckets: int, key_bytes: int = 8) -> pa.RecordBatch:
+    """One row a bucket of keys; keys are mixed 64-bit hashes, of which the upper key_bytes are kept beside the bucket."""
+    bucket = ((keys & np.uint64(0xFFFFFF)) % np.uint64(n_buckets)).astype(np.int32)
+    return _rows(bucket, keys >> np.uint64(64 - 8 * key_bytes), ids, key_bytes)
+
+
+def pack_by_id(keys: np.ndarray, ids: np.ndarray, n_buckets: int, key_bytes: int = 8) -> pa.RecordBatch:
+    """One row a bucket of ids; keys are numbers of key_bytes."""
+    bucket = ((mix(ids.view(np.uint64)) >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int32)
+    return _rows(bucket, keys, ids, key_bytes)
+
+
 def unpack(table: pa.Table, key_bytes: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """(keys, ids) of a bucket's rows, sorted by key and then id (as signed numbers)."""
     keys, ids = [], []
@@ -47,14 +57,12 @@ def unpack(table: pa.Table, key_bytes: int = 8) -> tuple[np.ndarray, np.ndarray]
     return k[order], v[order]
 
 
-def by_id(keys: np.ndarray, ids: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Keys gathered by id: (ids, little-endian keys of each), some ids at a time."""
+def by_id(keys: np.ndarray, ids: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Keys gathered by id: ids, and the little-endian keys of each."""
     if not len(ids):
-        return
+        return [], []
     order = np.argsort(ids, kind="stable")
     keys, ids = keys[order].astype("<u8"), ids[order]
     first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
     ends = np.append(first[1:], len(ids))
-    for at in range(0, len(first), limit):
-        a, b = first[at : at + limit], ends[at : at + limit]
-        yield ids[a].tolist(), [keys[x:y].tobytes() for x, y in zip(a, b, strict=True)]
+    return ids[first].tolist(), [keys[x:y].tobytes() for x, y in zip(first, ends, strict=True)]

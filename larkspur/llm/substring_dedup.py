@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.packed import SCHEMA, by_id, pack, unpack
+from larkspur.llm.packed import SCHEMA, by_id, pack, pack_by_id, unpack
 from larkspur.llm.session import shuffle_partitions
 from larkspur.llm.text_hash import U, Words, doc_ngrams, mix, ngrams, slices, utf8
 
@@ -125,34 +125,44 @@ def _send_anchors(n_buckets: int):
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """The keys of a bucket that occur more than once, by document."""
-    k, v = unpack(table, _KEY_BYTES)
-    same = np.append(False, k[1:] == k[:-1])
-    more = same | np.append(same[1:], False)
-    k, v = k[more], v[more]
-    new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])) if len(k) else np.zeros(0, bool)
-    return _by_doc(k[new], v[new])
+def _repeated(n_buckets: int):
+    """The keys of a bucket that occur more than once, dealt by document."""
 
+    def run(table: pa.Table) -> pa.Table:
+        k, v = unpack(table, _KEY_BYTES)
+        same = np.append(False, k[1:] == k[:-1])
+        more = same | np.append(same[1:], False)
+        k, v = k[more], v[more]
+        new = np.append(True, (k[1:] != k[:-1]) | (v[1:] != v[:-1])) if len(k) else np.zeros(0, bool)
+        return pa.Table.from_batches([pack_by_id(k[new], v[new], n_buckets, _KEY_BYTES)])
 
-def _later(table: pa.Table) -> pa.Table:
-    """The windows of a bucket by the documents that are not the first to have them."""
-    k, v = unpack(table)
-    head = np.append(True, k[1:] != k[:-1])
-    first = v[np.flatnonzero(head)][np.cumsum(head) - 1]
-    return _by_doc(k[v > first], v[v > first])
+    return run
+
+
+def _later(n_buckets: int):
+    """The windows of a bucket, dealt by the documents that are not the first to have them."""
 
+    def run(table: pa.Table) -> pa.Table:
+        k, v = unpack(table)
+        head = np.append(True, k[1:] != k[:-1])
+        first = v[np.flatnonzero(head)][np.cumsum(head) - 1]
+        return pa.Table.from_batches([pack_by_id(k[v > first], v[v > first], n_buckets)])
+
+    return run
 
-def _by_doc(keys: np.ndarray, ids: np.ndarray) -> pa.Table:
-    who, what = [], []
-    for a, b in by_id(keys, ids):
-        who += a
-        what += b
-    return pa.table({"k": pa.array(who, pa.int64()), "keys": pa.array(what, pa.binary())})
 
+def _by_doc(key_bytes: int):
+    """A row for each document of a bucket: all its keys."""
 
-def _keys_of(lists) -> np.ndarray:
-    return np.frombuffer(b"".join(lists or ()), "<u8")
+    def run(table: pa.Table) -> pa.Table:
+        who, what = by_id(*unpack(table, key_bytes))
+        return pa.table({"k": pa.array(who, pa.int64()), "keys": pa.array(what, pa.binary())})
+
+    return run
+
+
+def _keys_of(keys: bytes | None) -> np.ndarray:
+    return np.frombuffer(keys or b"", "<u8")
 
 
 def _send_windows(window: int, n_buckets: int):
@@ -161,7 +171,7 @@ def _send_windows(window: int, n_buckets: int):
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column("k"), np.int64)
-            lists = batch.column("lists").to_pylist()
+            lists = batch.column("keys").to_pylist()
             keys, who = [], []
             for a, b, words in _batches(batch):
                 at, key = anchors(words)
@@ -205,7 +215,7 @@ def removed_words(grams: np.ndarray, n_words: int, window: int, later: np.ndarra
 def _finish(window: int):
     def run(batches):
         for batch in batches:
-            ids, lists = batch.column("k").to_pylist(), batch.column("lists").to_pylist()
+            ids, lists = batch.column("k").to_pylist(), batch.column("keys").to_pylist()
             n_words, n_removed, sha = [], [], []
             for a, b, words in _batches(batch):
                 raw = words.data.tobytes()
@@ -235,11 +245,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"the symbols are shared for windows of {WINDOW} words or more")
     n = shuffle_partitions(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lists = "k long, keys binary"
-    gathered = lambda df: df.groupBy("k").agg(F.collect_list("keys").alias("lists"))
-    shared = gathered(texts.mapInArrow(_send_anchors(n), SCHEMA).groupBy("bucket").applyInArrow(_repeated, lists))
-    windows = texts.join(shared, "k").mapInArrow(_send_windows(window, n), SCHEMA)
-    later = gathered(windows.groupBy("bucket").applyInArrow(_later, lists))
+
+    def gathered(sent: DataFrame, found, key_bytes: int) -> DataFrame:
+        found = sent.groupBy("bucket").applyInArrow(found(n), SCHEMA)
+        return found.groupBy("bucket").applyInArrow(_by_doc(key_bytes), "k long, keys binary")
+
+    shared = gathered(texts.mapInArrow(_send_anchors(n), SCHEMA), _repeated, _KEY_BYTES)
+    later = gathered(texts.join(shared, "k").mapInArrow(_send_windows(window, n), SCHEMA), _later, 8)
     return texts.join(later, "k", "left").mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
