@@ -107,6 +107,15 @@ def quality_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
 
 
+def keep_good(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that base and method rules keep; all columns, whatever their names."""
+    rows = measures(docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("text")))
+    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    # The random column keeps Catalyst from pushing the filter below the measures, which would copy each array into every use of it.
+    rows = rows.withColumns({"_good": ~failed & compile_rules(rules), "_fence": F.rand(0)})
+    return rows.where(F.col("_good") & (F.col("_fence") >= 0)).select("_row.*")
+
+
 # --- the registered query -------------------------------------------------
 
 
