@@ -1,11 +1,494 @@
-"""Names of the driver's queries, their callables and the SQL that must agree."""
+"""The driver's queries over its tables, each beside the SQL that must agree."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from larkspur.functions import text as T
+from larkspur.functions import time as D
+from larkspur.functions import vector as V
+from larkspur.operators import dialogue, merge, ranking, search, store, validate
+from larkspur.plans import extract, retrieve
+from larkspur.sources import tables as S
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+# Shared pieces of the SQL side.
+MEM = """mem AS (SELECT doc_id, 'm' || doc_id AS memory_id, 'u' || (doc_id % 10) AS user_id, text AS memory_content,
+  CASE doc_id % 3 WHEN 0 THEN 'profile' WHEN 1 THEN 'episodic' ELSE 'state' END AS memory_type, lang AS memory_category,
+  CASE WHEN doc_id % 11 = 0 THEN 'archived' ELSE 'active' END AS status, make_timestamp((1704067200 + doc_id * 3600) * 1000000) AS created_at,
+  (doc_id * 37 % 101)::DOUBLE / 100 AS importance, (doc_id * 53 % 97)::DOUBLE / 100 AS confidence FROM documents)"""
+TERMS = r"regexp_extract_all(lower(coalesce({}, '')), '[a-z]+|[0-9]+|[\x{{4e00}}-\x{{9fff}}]')"
+COUNT = r"(len(regexp_extract_all(coalesce({0}, ''), '[\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}]')) + len(regexp_extract_all(coalesce({0}, ''), '[A-Za-z0-9]+')))"
+MSG = """msg AS (SELECT conv_id, turn, lower(trim(role)) AS role, trim(text) AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq
+  FROM conversations WHERE lower(trim(role)) IN ('user', 'assistant', 'system') AND trim(text) <> '')"""
+REC = f"""rec AS (SELECT conv_id, seq // 2 AS record, string_agg(content, '' ORDER BY seq) AS text, count(*) AS n_messages, sum({COUNT.format("content")}) AS tokens FROM msg GROUP BY ALL)"""
+SEG = f"""tok AS (SELECT conv_id, record, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS d FROM (SELECT conv_id, record, unnest({TERMS.format("text")}) AS t FROM rec)),
+tf AS (SELECT conv_id, record, d, count(*)::DOUBLE AS w FROM tok GROUP BY ALL),
+nrm AS (SELECT conv_id, record, sqrt(sum(w * w)) AS n FROM tf GROUP BY ALL),
+dots AS (SELECT a.conv_id, a.record, sum(a.w * b.w) AS s FROM tf a JOIN tf b ON a.conv_id = b.conv_id AND a.record = b.record + 1 AND a.d = b.d GROUP BY ALL),
+sim AS (SELECT r.conv_id, r.record, CASE WHEN r.record > 0 THEN round(coalesce(s / (n1.n * n0.n), 0), 9) END AS similarity FROM rec r
+  LEFT JOIN dots USING (conv_id, record) LEFT JOIN nrm n1 ON n1.conv_id = r.conv_id AND n1.record = r.record LEFT JOIN nrm n0 ON n0.conv_id = r.conv_id AND n0.record = r.record - 1),
+tot AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id) AS total, count(*) OVER (PARTITION BY conv_id) AS n FROM rec JOIN sim USING (conv_id, record)),
+cut AS (SELECT *, (CASE WHEN total <= 512 OR n <= 1 THEN 0 ELSE sum(CASE WHEN similarity < 0.55 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY record) END)::INT AS topic_id FROM tot),
+seg AS (SELECT conv_id, topic_id, min(record) AS start_record, max(record) AS end_record, sum(n_messages)::BIGINT AS n_messages, sum(tokens)::BIGINT AS token_count, count(*) OVER (PARTITION BY conv_id) > 1 AS segmented FROM cut GROUP BY conv_id, topic_id)"""
+ENT = r"""ent AS (SELECT conv_id, topic_id, index, CASE role WHEN 'assistant' THEN 'ai' ELSE role END AS speaker, replace(content, chr(10), '\n') AS content FROM (
+  SELECT m.conv_id, topic_id, role, content, row_number() OVER (PARTITION BY m.conv_id, topic_id ORDER BY seq) - 1 AS index
+  FROM msg m JOIN seg s ON m.conv_id = s.conv_id AND m.seq // 2 BETWEEN start_record AND end_record))"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _text(df: DataFrame, *cols: str) -> DataFrame:
+    """Timestamps as text, which both engines write alike."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in cols})
+
+
+# --- recall ---------------------------------------------------------------
+
+BM25 = f"""dt AS (SELECT user_id, memory_id, unnest({TERMS.format("memory_content")}) AS term FROM mem WHERE status = 'active'),
+tf AS (SELECT user_id, memory_id, term, count(*) AS tf FROM dt GROUP BY ALL), dl AS (SELECT user_id, memory_id, count(*) AS length FROM dt GROUP BY ALL),
+df AS (SELECT user_id, term, count(*) AS df FROM tf GROUP BY ALL), st AS (SELECT user_id, count(*) AS n_docs, avg(length) AS avgdl FROM dl GROUP BY ALL),
+qt AS (SELECT query_id, user_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, 'u' || (item_id % 10) AS user_id, unnest({TERMS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+bm AS (SELECT query_id, qt.user_id, tf.memory_id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / avgdl))), 6) AS bm25_score
+  FROM qt JOIN tf USING (user_id, term) JOIN df USING (user_id, term) JOIN dl ON dl.user_id = qt.user_id AND dl.memory_id = tf.memory_id JOIN st ON st.user_id = qt.user_id GROUP BY ALL)"""
+
+
+@query("bm25_topk", f"WITH {MEM}, {BM25} SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, memory_id))::INT AS bm25_rank FROM bm QUALIFY bm25_rank <= 20")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.bm25_topk(S.memories(spark, d).where("status = 'active'"), S.queries(spark, d), 20)
+
+
+@query("bm25_stats", f"WITH {MEM}, {BM25} SELECT user_id, n_docs, round(avgdl, 6) AS avgdl, count(*) AS n_terms, max(df) AS max_df FROM st JOIN df USING (user_id) GROUP BY ALL")
+def bm25_stats(spark, d):
+    _, stats = search.bm25_index(S.memories(spark, d).where("status = 'active'"))
+    return stats.withColumn("avgdl", F.round("avgdl", 6))
+
+
+@query("sparse_topk", f"""WITH {MEM}, {BM25}, sc AS (SELECT query_id, user_id, memory_id, round(sum(qtf::DOUBLE * tf), 6) AS sparse_score FROM qt JOIN tf USING (user_id, term) GROUP BY ALL)
+SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY sparse_score DESC, memory_id))::INT AS sparse_rank FROM sc QUALIFY sparse_rank <= 10""")
+def sparse_topk(spark, d):
+    items = search.term_frequencies(S.memories(spark, d).where("status = 'active'"), ["user_id", "memory_id"], "memory_content")
+    asked = search.term_frequencies(S.queries(spark, d), ["query_id", "user_id"], "text")
+    return search.sparse_topk(items.withColumn("w", F.col("tf").cast("double")), asked.withColumn("qw", F.col("tf").cast("double")).drop("tf"))
+
+
+@query("dense_topk", """SELECT q.vec_id AS query_id, q.label AS user_id, e.vec_id AS memory_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS dense_score,
+  (row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) DESC, e.vec_id))::INT AS dense_rank
+FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 50 = 0 QUALIFY dense_rank <= 10""")
+def dense_topk(spark, d):
+    v = S.vectors(spark, d)
+    q = v.where("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), "user_id", F.col("dense").alias("qdense"))
+    return search.dense_topk(v, q)
+
+
+@query("euclid_topk", """SELECT q.vec_id AS query_id, q.label AS user_id, e.vec_id AS memory_id, round(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS dense_score,
+  (row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4), e.vec_id))::INT AS dense_rank
+FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 50 = 0 QUALIFY dense_rank <= 10""")
+def euclid_topk(spark, d):
+    v = S.vectors(spark, d).withColumn("dense", F.col("dense").cast("array<double>"))
+    q = v.where("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), "user_id", F.col("dense").alias("qdense"))
+    return search.dense_topk(v, q, distance="euclid")
+
+
+PAIRS = """pr AS (SELECT a.label AS user_id, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"""
+
+
+@query("similar_pairs", f"WITH {PAIRS} SELECT user_id, a, b, round(cosine, 6) AS cosine FROM pr WHERE cosine >= 0.3")
+def similar_pairs(spark, d):
+    return search.similar_pairs(S.vectors(spark, d), ["user_id"], "memory_id", "dense", 0.3).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("clusters", f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pr WHERE cosine >= 0.3 UNION SELECT b, a FROM pr WHERE cosine >= 0.3),
+reach AS (SELECT a AS id, a AS q FROM e UNION SELECT id, b FROM reach JOIN e ON q = a) SELECT id AS memory_id, min(q) AS component FROM reach GROUP BY id""")
+def clusters(spark, d):
+    return merge.clusters(S.vectors(spark, d), ["user_id"], "memory_id", "dense", 0.3)
+
+
+# --- ranking --------------------------------------------------------------
+
+LISTS = """l0 AS (SELECT lang AS query_id, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+l1 AS (SELECT lang AS query_id, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank FROM documents),
+l2 AS (SELECT lang AS query_id, doc_id AS key, row_number() OVER (PARTITION BY lang ORDER BY md5(text), doc_id) AS rank FROM documents),
+ls AS (SELECT *, 0 AS list, 1.0::DOUBLE AS w FROM l0 WHERE rank <= 200 UNION ALL SELECT *, 1, 0.8::DOUBLE FROM l1 WHERE rank <= 200 UNION ALL SELECT *, 2, 0.7::DOUBLE FROM l2 WHERE rank <= 200),
+fu AS (SELECT query_id, key, round(sum(w / (60 + rank)), 9) AS rrf_score, min({'r': rank, 'l': list}) AS best, list_sort(list(list)) AS sources FROM ls GROUP BY ALL),
+rr AS (SELECT query_id, key, rrf_score, best.r AS best_rank, best.l AS best_list, sources, (row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, best.r, best.l, key))::INT AS rrf_rank FROM fu QUALIFY rrf_rank <= 100)"""
+
+
+def _fused(spark, d) -> DataFrame:
+    docs = S.table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("key"), "n_chars", "text")
+    lists = []
+    for order in ([F.desc("n_chars"), "key"], ["key"], [F.md5(F.col("text").cast("binary")), "key"]):
+        lists.append(docs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where("rank <= 200"))
+    return ranking.rrf(lists, 100, weights=[1.0, 0.8, 0.7])
+
+
+@query("rrf_fusion", f"WITH {LISTS} SELECT query_id, key, rrf_score, best_rank::INT AS best_rank, best_list::INT AS best_list, array_to_string(sources, ',') AS sources, rrf_rank FROM rr")
+def rrf_fusion(spark, d):
+    return _fused(spark, d).withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
+
+
+FINAL = f"""WITH {MEM}, {LISTS}, fs AS (SELECT query_id, key, round(rrf_score * exp(-greatest(0, epoch_us(TIMESTAMP '2024-02-15') - epoch_us(created_at)) / 86400000000.0 / 30) * (0.6 + 0.4 * importance) * (0.5 + 0.5 * confidence), 9) AS final_score
+  FROM rr JOIN mem ON doc_id = key)"""
+
+
+@query("final_score", f"{FINAL} SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, key))::INT AS rank FROM fs QUALIFY rank <= 30")
+def final_score(spark, d):
+    joined = _fused(spark, d).join(S.memories(spark, d).withColumnRenamed("doc_id", "key"), "key")
+    scored = ranking.final_score(joined, F.lit("2024-02-15 00:00:00"))
+    return search.top_k(scored.select("query_id", "key", "final_score"), ["query_id"], "final_score", "key", 30)
+
+
+@query("fallback_rerank", """SELECT lang AS query_id, doc_id AS key, CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 4)::DOUBLE WHEN n_chars % 5 <> 0 THEN (n_chars % 5)::DOUBLE ELSE 0::DOUBLE END AS bge_score,
+  (row_number() OVER (PARTITION BY lang ORDER BY bge_score DESC, doc_id))::INT AS bge_rank FROM documents QUALIFY bge_rank <= 10""")
+def fallback_rerank(spark, d):
+    docs = S.table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("key"), (F.col("doc_id") % 4).cast("double").alias("dense_score"), (F.col("n_chars") % 5).cast("double").alias("score"))
+    return ranking.fallback_rerank(docs, 10).select("query_id", "key", "bge_score", "bge_rank")
+
+
+@query("llm_rerank", """WITH c AS (SELECT user_id AS query_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS idx FROM events QUALIFY idx < 40),
+r AS (SELECT query_id, (event_id * 7 % 45)::INT AS idx, min({'p': event_id % 10 * 1000 + idx, 's': (event_id % 7)::DOUBLE / 5}) AS x FROM c WHERE idx < 12 AND event_id * 7 % 45 < 40 GROUP BY ALL)
+SELECT c.query_id, c.idx, greatest(0, least(1, coalesce(x.s, 0)))::DOUBLE AS llm_score, (row_number() OVER (PARTITION BY c.query_id ORDER BY x.p NULLS LAST, c.idx))::INT AS llm_rank FROM c LEFT JOIN r USING (query_id, idx) QUALIFY llm_rank <= 15""")
+def llm_rerank(spark, d):
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
+    c = S.table(spark, d, "events").select(F.col("user_id").alias("query_id"), "event_id", n.alias("idx")).where("idx < 40")
+    r = c.where("idx < 12").select("query_id", (F.col("event_id") % 10 * 1000 + F.col("idx")).alias("pos"), (F.col("event_id") * 7 % 45).cast("int").alias("idx"), ((F.col("event_id") % 7) / 5.0).alias("llm_score"))
+    return ranking.llm_rerank(c.drop("event_id"), r, 15)
+
+
+@query("ordered_distinct_contents", """SELECT lang AS query_id, text AS content, (row_number() OVER (PARTITION BY lang ORDER BY min(doc_id), text))::INT AS position FROM documents GROUP BY lang, text""")
+def ordered_distinct_contents(spark, d):
+    return ranking.distinct_contents(S.table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("text").alias("content"), F.col("doc_id").alias("rank")))
+
+
+def _pool(spark, d) -> DataFrame:
+    v = S.vectors(spark, d)
+    q = v.where("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), "user_id", F.col("dense").alias("qdense"))
+    best = search.dense_topk(v, q, 30)
+    return best.join(v.select("memory_id", "dense"), "memory_id").join(q.select("query_id", "qdense"), "query_id").select("query_id", F.col("memory_id").alias("key"), F.col("dense_rank").alias("position"), "dense", "qdense", F.col("dense_score").alias("initial"))
+
+
+@query("mmr_topk")
+def mmr_topk(spark, d):
+    return ranking.mmr(_pool(spark, d).drop("initial"), 10, 0.5)
+
+
+@query("mmr_rerank")
+def mmr_rerank(spark, d):
+    return ranking.mmr(_pool(spark, d), 10, 0.7, initial="initial", weight=0.5)
+
+
+@query("diversity_topk")
+def diversity_topk(spark, d):
+    return ranking.diverse(_pool(spark, d), 10, 0.8)
+
+
+@query("time_decay", "SELECT event_id, round(exp(-greatest(0, epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts)) / 86400000000.0 / 30), 9) AS decay FROM events")
+def time_decay(spark, d):
+    return S.table(spark, d, "events").select("event_id", F.round(D.time_decay(F.col("ts"), F.lit("2024-01-20 00:00:00")), 9).alias("decay"))
+
+
+@query("hybrid_retrieve", retrieve.sql(MEM, BM25, TERMS))
+def hybrid_retrieve(spark, d):
+    memories = S.memories(spark, d)
+    embedded = memories.where("status = 'active'").select("memory_id", V.hash_embedding(T.bm25_terms(F.col("memory_content"))).alias("dense"))
+    hits = retrieve.retrieve(memories, embedded, S.queries(spark, d), now="2024-06-01 00:00:00", k=10, use_mmr=False)
+    return hits.select("query_id", "memory_id", "final_score", "rank")
+
+
+@query("hybrid_retrieve_mmr")
+def hybrid_retrieve_mmr(spark, d):
+    memories = S.memories(spark, d)
+    embedded = memories.where("status = 'active'").select("memory_id", V.hash_embedding(T.bm25_terms(F.col("memory_content"))).alias("dense"))
+    return retrieve.retrieve(memories, embedded, S.queries(spark, d), now="2024-06-01 00:00:00", k=10)
+
+
+# --- dialogue -------------------------------------------------------------
+
+
+@query("token_count", f"SELECT conv_id, turn, {COUNT.format('text')}::INT AS tokens FROM conversations")
+def token_count(spark, d):
+    return S.messages(spark, d).select("conv_id", "turn", T.token_count(F.col("content")).alias("tokens"))
+
+
+@query("validate_history", f"WITH {MSG} SELECT conv_id, turn, role, content, seq::INT AS seq FROM msg")
+def validate_history(spark, d):
+    return dialogue.valid_messages(S.messages(spark, d))
+
+
+@query("turn_records", f"WITH {MSG}, {REC} SELECT conv_id, record::INT AS record, text, n_messages::INT AS n_messages, tokens::BIGINT AS tokens FROM rec")
+def turn_records(spark, d):
+    return dialogue.turn_records(dialogue.valid_messages(S.messages(spark, d)))
+
+
+@query("adjacent_similarity", f"WITH {MSG}, {REC}, {SEG} SELECT conv_id, record::INT AS record, round(similarity, 6) AS similarity FROM sim")
+def adjacent_similarity(spark, d):
+    records = dialogue.turn_records(dialogue.valid_messages(S.messages(spark, d)))
+    return dialogue.adjacent_similarity(records).select("conv_id", "record", F.round("similarity", 6).alias("similarity"))
+
+
+def _segments(spark, d):
+    valid = dialogue.valid_messages(S.messages(spark, d))
+    return valid, dialogue.topic_segments(dialogue.turn_records(valid))
+
+
+@query("topic_segments", f"WITH {MSG}, {REC}, {SEG} SELECT conv_id, topic_id, start_record::INT AS start_record, end_record::INT AS end_record, n_messages, token_count, segmented FROM seg")
+def topic_segments(spark, d):
+    return _segments(spark, d)[1]
+
+
+@query("topic_entries", f"WITH {MSG}, {REC}, {SEG}, {ENT} SELECT conv_id, topic_id, index::INT AS index, speaker, content FROM ent")
+def topic_entries(spark, d):
+    return dialogue.topic_entries(*_segments(spark, d))
+
+
+@query("topic_text", f"WITH {MSG}, {REC}, {SEG}, {ENT} SELECT conv_id, topic_id, string_agg('[' || index || '] speaker:' || speaker || ',content:' || content, chr(10) ORDER BY index) AS topic_text FROM ent GROUP BY ALL")
+def topic_text(spark, d):
+    return dialogue.topic_texts(dialogue.topic_entries(*_segments(spark, d)))
+
+
+@query("dry_run_extract", extract.dry_run_sql(MSG))
+def dry_run_extract(spark, d):
+    return extract.dry_run(dialogue.valid_messages(S.messages(spark, d)))
+
+
+@query("chat_prompt", f"""WITH {MSG}, h AS (SELECT conv_id, string_agg(role || ': ' || content, chr(10) ORDER BY seq) AS history FROM msg GROUP BY conv_id),
+u AS (SELECT conv_id, max_by(content, seq) AS said FROM msg WHERE role = 'user' GROUP BY conv_id),
+m AS (SELECT doc_id % 100 AS conv_id, string_agg('- ' || text, chr(10) ORDER BY doc_id) AS block FROM documents WHERE doc_id < 300 GROUP BY ALL)
+SELECT conv_id, history, said || coalesce(chr(10) || chr(10) || '[memories]' || chr(10) || block, '') AS prompt FROM h JOIN u USING (conv_id) LEFT JOIN m USING (conv_id)""")
+def chat_prompt(spark, d):
+    docs = S.table(spark, d, "documents").where("doc_id < 300").select((F.col("doc_id") % 100).alias("conv_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
+    return extract.chat_prompts(dialogue.valid_messages(S.messages(spark, d)), docs)
+
+
+@query("speaker_normalize", """SELECT conv_id, turn, CASE WHEN role IN ('user') THEN role WHEN role = 'assistant' THEN role ELSE role END AS speaker, false AS fixed FROM conversations""")
+def speaker_normalize(spark, d):
+    c = S.table(spark, d, "conversations")
+    s = T.speaker(F.col("role"), F.lit("Lin"), F.lit("Chen"))
+    return c.select("conv_id", "turn", s["speaker"].alias("speaker"), s["fixed"].alias("fixed"))
+
+
+@query("speaker_repair", """WITH t AS (SELECT conv_id AS session, turn AS n, CASE role WHEN 'user' THEN 'a' WHEN 'assistant' THEN 'b' END AS speaker, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS at FROM conversations),
+k AS (SELECT *, max(CASE WHEN speaker IS NOT NULL THEN at END) OVER (PARTITION BY session ORDER BY n) AS la FROM t),
+j AS (SELECT k.*, l.speaker AS ls FROM k LEFT JOIN t l ON l.session = k.session AND l.at = k.la)
+SELECT session, n, CASE WHEN (at - coalesce(la, 0)) % 2 = 0 THEN coalesce(ls, 'b') WHEN coalesce(ls, 'b') = 'a' THEN 'b' ELSE 'a' END AS speaker, speaker IS NULL AS fixed, 'D' || session || ':' || at AS dia_id FROM j""")
+def speaker_repair(spark, d):
+    role = F.when(F.col("role") == "user", "a").when(F.col("role") == "assistant", "b")
+    return dialogue.repair_speakers(S.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("n"), role.alias("speaker")))
+
+
+# --- store ----------------------------------------------------------------
+
+
+@query("list_user_memories", f"""WITH {MEM} SELECT user_id, memory_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, (row_number() OVER (PARTITION BY user_id ORDER BY mem.created_at DESC, memory_id))::INT AS position
+FROM mem WHERE status = 'active' AND memory_type = 'profile' QUALIFY position <= 20""")
+def list_user_memories(spark, d):
+    return _text(store.list_user_memories(S.memories(spark, d), 20, memory_type="profile").select("user_id", "memory_id", "created_at", "position"), "created_at")
+
+
+@query("filter_memories", f"WITH {MEM} SELECT memory_id, user_id FROM mem WHERE user_id = 'u3' AND status = 'active' AND memory_type = 'profile' AND memory_category = 'en'")
+def filter_memories(spark, d):
+    return S.memories(spark, d).where(search.build_filter(user_id="u3", memory_type="profile", memory_category="en")).select("memory_id", "user_id")
+
+
+@query("count_filtered", f"WITH {MEM} SELECT user_id, count(*) AS n FROM mem WHERE status = 'active' GROUP BY user_id")
+def count_filtered(spark, d):
+    return S.memories(spark, d).where(search.build_filter()).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("get_by_ids", f"WITH {MEM} SELECT memory_id, user_id, importance FROM mem WHERE memory_id IN (SELECT 'm' || item_id * 3 FROM benchmark)")
+def get_by_ids(spark, d):
+    ids = S.table(spark, d, "benchmark").select(F.concat(F.lit("m"), F.col("item_id") * 3).alias("memory_id"))
+    return store.get_by_ids(S.memories(spark, d), ids).select("memory_id", "user_id", "importance")
+
+
+def _new(spark, d):
+    m = S.memories(spark, d)
+    new = m.where("doc_id % 5 = 0").withColumns({"memory_content": F.concat(F.lit("new "), "memory_content"), "importance": F.lit(0.95), "created_at": F.current_timestamp()})
+    extra = m.where("doc_id < 50").withColumns({"memory_id": F.concat(F.lit("n"), F.col("doc_id")), "memory_content": F.lit("added")})
+    cols = ["memory_id", "user_id", "memory_content", "importance", "created_at"]
+    return m.select(cols), new.select(cols).unionByName(extra.select(cols))
+
+
+@query("upsert_memories", f"""WITH {MEM} SELECT memory_id, user_id, CASE WHEN doc_id % 5 = 0 THEN 'new ' || memory_content ELSE memory_content END AS memory_content,
+  CASE WHEN doc_id % 5 = 0 THEN 0.95::DOUBLE ELSE importance END AS importance, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM mem
+UNION ALL SELECT 'n' || doc_id, user_id, 'added', importance, strftime(created_at, '%Y-%m-%d %H:%M:%S') FROM mem WHERE doc_id < 50""")
+def upsert_memories(spark, d):
+    old, new = _new(spark, d)
+    return _text(store.upsert(old, new, "memory_id", keep=("created_at", "user_id")), "created_at")
+
+
+@query("update_status", f"WITH {MEM} SELECT memory_id, CASE WHEN doc_id % 7 = 0 THEN 'archived' ELSE status END AS status FROM mem")
+def update_status(spark, d):
+    m = S.memories(spark, d)
+    return store.update_status(m, m.where("doc_id % 7 = 0"), "archived").select("memory_id", "status")
+
+
+@query("bump_retrieval", """SELECT 'm' || d.doc_id AS memory_id, coalesce(n, 0)::BIGINT AS retrieval_count, strftime(a, '%Y-%m-%d %H:%M:%S') AS last_retrieved_at FROM documents d LEFT JOIN
+  (SELECT event_id % 300 AS doc_id, count(DISTINCT user_id) AS n, max(ts) AS a FROM events GROUP BY 1) USING (doc_id)""")
+def bump_retrieval(spark, d):
+    hits = S.table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.concat(F.lit("m"), F.col("event_id") % 300).alias("memory_id"), F.col("ts").alias("at"))
+    old = S.memories(spark, d).select("memory_id", F.lit(0).cast("long").alias("retrieval_count"), F.lit(None).cast(dict(hits.dtypes)["at"]).alias("last_retrieved_at"))
+    return _text(store.bump_retrieval(old, hits), "last_retrieved_at")
+
+
+@query("delete_memory", f"WITH {MEM} SELECT memory_id FROM mem WHERE doc_id % 9 <> 0")
+def delete_memory(spark, d):
+    m = S.memories(spark, d)
+    return store.delete(m, m.where("doc_id % 9 = 0")).select("memory_id")
+
+
+@query("list_user_ids", f"WITH {MEM} SELECT DISTINCT user_id FROM mem")
+def list_user_ids(spark, d):
+    return S.memories(spark, d).select("user_id").distinct()
+
+
+TOP = """top AS (SELECT 't' || conv_id AS topic_id, conv_id FROM conversations WHERE conv_id < 10 GROUP BY conv_id)"""
+
+
+@query("provenance", f"""WITH {TOP}, l AS (SELECT 'm' || doc_id AS memory_id, 0 AS i, 't' || doc_id % 7 AS topic_id FROM documents UNION ALL SELECT 'm' || doc_id, 1, 't' || doc_id % 13 FROM documents),
+c AS (SELECT memory_id, i, 0 AS j, 'c' || conv_id % 4 AS cid FROM l JOIN top USING (topic_id) UNION ALL SELECT memory_id, i, 1, 'c' || conv_id FROM l JOIN top USING (topic_id)),
+f AS (SELECT memory_id, cid, min(i * 2 + j) AS at FROM c GROUP BY ALL) SELECT memory_id, string_agg(cid, ',' ORDER BY at, cid) AS conversation_ids FROM f GROUP BY memory_id""")
+def provenance(spark, d):
+    return store.provenance(S.memories(spark, d), S.topics(spark, d)).withColumn("conversation_ids", F.array_join("conversation_ids", ","))
+
+
+@query("cite_resolution", """WITH c AS (SELECT 'm' || doc_id AS memory_id, 't' || doc_id % 7 AS topic_id, doc_id % 7 AS conv_id, 0 AS position, doc_id % 5 AS index FROM documents
+  UNION ALL SELECT 'm' || doc_id, 't' || doc_id % 7, doc_id % 7, 1, doc_id % 3 FROM documents)
+SELECT memory_id, topic_id, position::INT AS position, index::INT AS index, text AS content FROM c JOIN conversations v ON v.conv_id = c.conv_id AND v.turn = c.index""")
+def cite_resolution(spark, d):
+    return store.cited_messages(S.memories(spark, d), S.topics(spark, d))
+
+
+def _members(spark, d):
+    return S.memories(spark, d).withColumn("cluster", F.col("doc_id") % 50).withColumn("position", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("created_at"), "memory_id")))
+
+
+@query("merge_provenance", """WITH p AS (SELECT doc_id % 50 AS cluster, doc_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id DESC) AS position FROM documents),
+l AS (SELECT cluster, position * 2 AS at, 't' || doc_id % 7 AS t FROM p UNION ALL SELECT cluster, position * 2 + 1, 't' || doc_id % 13 FROM p),
+f AS (SELECT cluster, t, min(at) AS at FROM l GROUP BY ALL), x AS (SELECT cluster, string_agg(t, ',' ORDER BY at) AS topic_ids FROM f GROUP BY cluster),
+c AS (SELECT DISTINCT doc_id % 50 AS cluster, 't' || doc_id % 7 AS t, unnest([doc_id % 5, doc_id % 3]) AS i FROM documents),
+y AS (SELECT cluster, t || ':' || string_agg(i, '+' ORDER BY i) AS s FROM c GROUP BY cluster, t), z AS (SELECT cluster, string_agg(s, ',' ORDER BY s) AS cites FROM y GROUP BY cluster)
+SELECT cluster, topic_ids, cites FROM x JOIN z USING (cluster)""")
+def merge_provenance(spark, d):
+    m = _members(spark, d)
+    cites = F.array_sort(F.transform(F.map_entries("cites"), lambda e: F.concat(e["key"], F.lit(":"), F.array_join(F.transform(e["value"], lambda i: i.cast("string")), "+"))))
+    return merge.merged_topics(m).join(merge.merged_cites(m), "cluster").select("cluster", F.array_join("topic_ids", ",").alias("topic_ids"), F.array_join(cites, ",").alias("cites"))
+
+
+@query("merge_scores", f"""WITH {MEM}, a AS (SELECT doc_id % 50 AS cluster, max(importance) AS most, avg(confidence) AS mean, count(*) AS merged_count FROM mem GROUP BY 1),
+g AS (SELECT *, CASE WHEN cluster % 3 = 0 THEN 0::DOUBLE WHEN cluster % 3 = 1 THEN 1.7 END AS li, CASE WHEN cluster % 2 = 0 THEN 0.4::DOUBLE END AS lc FROM a)
+SELECT cluster, round(greatest(0, least(1, CASE WHEN li <> 0 THEN li ELSE most END)), 9)::DOUBLE AS importance, round(greatest(0, least(1, CASE WHEN lc <> 0 THEN lc ELSE mean END)), 9)::DOUBLE AS confidence, merged_count FROM g""")
+def merge_scores(spark, d):
+    m = _members(spark, d)
+    c = F.col("cluster")
+    decisions = m.select("cluster").distinct().select("cluster", F.when(c % 3 == 0, 0.0).when(c % 3 == 1, 1.7).alias("llm_importance"), F.when(c % 2 == 0, 0.4).alias("llm_confidence"))
+    return merge.merged_scores(m, decisions)
+
+
+@query("category_docs", f"""WITH {MEM} SELECT user_id, memory_type, memory_category, count(*) AS n,
+  '# ' || CASE memory_type WHEN 'profile' THEN 'Profile Memory' WHEN 'episodic' THEN 'Episodic Memory' ELSE 'State Memory' END || ' / ' || memory_category || chr(10) || chr(10) || '## 摘要' || chr(10)
+  || user_id || ' 在 ' || memory_type || '/' || memory_category || ' 下共有 ' || count(*) || ' 条活跃记忆。' || chr(10) || chr(10) || '## 详细记忆' || chr(10)
+  || string_agg('- (' || printf('%.2f', importance) || ') ' || memory_content, chr(10) ORDER BY importance DESC, created_at DESC, memory_id) || chr(10) AS markdown
+FROM mem WHERE status = 'active' GROUP BY ALL""")
+def category_docs(spark, d):
+    return store.category_docs(S.memories(spark, d))
+
+
+@query("category_payload_size", f"WITH {MEM} SELECT user_id, memory_type, memory_category, least(60, count(*))::INT AS n FROM mem WHERE status = 'active' GROUP BY ALL")
+def category_payload_size(spark, d):
+    rows = store.category_payload(S.memories(spark, d))
+    return rows.select("user_id", "memory_type", "memory_category", F.json_array_length("payload").alias("n"))
+
+
+@query("object_key", f"""WITH {MEM} SELECT memory_id, 'docs/' || user_id || '/' || CASE memory_type WHEN 'profile' THEN 'Profile Memory' WHEN 'episodic' THEN 'Episodic Memory' ELSE 'State Memory' END || '/' || memory_category || '_x.md' AS key FROM mem""")
+def object_key(spark, d):
+    return S.memories(spark, d).select("memory_id", T.object_key("docs/", F.col("user_id"), F.col("memory_type"), F.concat("memory_category", F.lit(" / x"))).alias("key"))
+
+
+@query("token_usage_rollup", """WITH u AS (SELECT event_type AS model, greatest(event_id % 100 - 10, 0) AS p, greatest(user_id, 0) AS c, CASE WHEN event_id % 3 = 0 THEN event_id % 1000 ELSE 0 END AS t FROM events)
+SELECT model, sum(p)::BIGINT AS prompt_tokens, sum(c)::BIGINT AS completion_tokens, sum(CASE WHEN t > 0 THEN t ELSE p + c END)::BIGINT AS total_tokens, count(*) AS n_calls FROM u GROUP BY ROLLUP (model)""")
+def token_usage_rollup(spark, d):
+    e = S.table(spark, d, "events")
+    return store.token_usage(e.select(F.col("event_type").alias("model"), (F.col("event_id") % 100 - 10).alias("prompt_tokens"), F.col("user_id").alias("completion_tokens"), F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 1000).alias("total_tokens")))
+
+
+def _log(spark, d):
+    return S.table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.col("ts").alias("at"))
+
+
+@query("run_log_state", """SELECT user_id AS run_id, max_by(event_type, event_id) AS status, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max_by(ts, event_id), '%Y-%m-%d %H:%M:%S') AS updated_at, count(*) AS n_steps FROM events GROUP BY user_id""")
+def run_log_state(spark, d):
+    return _text(store.run_states(_log(spark, d)), "started_at", "updated_at")
+
+
+@query("run_status_counts", "SELECT status, count(*) AS n FROM (SELECT user_id, max_by(event_type, event_id) AS status FROM events GROUP BY user_id) GROUP BY status")
+def run_status_counts(spark, d):
+    return store.run_states(_log(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("content_md5_dedup", "SELECT md5(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def content_md5_dedup(spark, d):
+    docs = S.table(spark, d, "documents")
+    return docs.groupBy(T.content_id(F.col("text")).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+
+
+@query("session_ids", f"WITH {MSG} SELECT conv_id, 'sess_' || substr(md5('u' || conv_id % 10 || '|2024-01-01|' || count(*)), 1, 20) AS session_id FROM msg GROUP BY conv_id")
+def session_ids(spark, d):
+    n = dialogue.valid_messages(S.messages(spark, d)).groupBy("conv_id").agg(F.count("*").alias("n"))
+    return n.select("conv_id", T.session_id(F.concat(F.lit("u"), F.col("conv_id") % 10), F.lit("2024-01-01"), F.col("n")).alias("session_id"))
+
+
+@query("timestamp_normalize", """SELECT event_id, strftime(CASE event_id % 3 WHEN 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS normal,
+  strftime(ts, '%Y-%m-%d %H:%M:%S') || '.' || lpad((epoch_ms(ts) % 1000)::VARCHAR, 3, '0') AS wall, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS beijing FROM events""")
+def timestamp_normalize(spark, d):
+    ts, e = F.col("ts").cast("timestamp"), F.col("event_id")
+    given = F.when(e % 3 == 0, F.date_format(ts, "yyyy/MM/dd (EEE) HH:mm")).when(e % 3 == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+    iso = F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+08:00"))
+    return S.table(spark, d, "events").select("event_id", D.normalise_timestamp(given).alias("normal"), D.wall_clock(iso).alias("wall"), D.beijing(ts).alias("beijing"))
+
+
+def _items(spark, d):
+    i = F.col("doc_id")
+    item = F.to_json(F.struct(
+        F.when(i % 17 != 0, "text").otherwise(" ").alias("memory_content"),
+        F.when(i % 3 == 0, "profile").when(i % 3 == 1, " Episodic ").otherwise("odd").alias("memory_type"),
+        F.when(i % 5 == 0, "life_event").otherwise("fact").alias("memory_category"),
+        ((i % 13) / 10.0).alias("importance"), (i % 2).alias("confidence"), F.array(i, i + 1).alias("cite"),
+    ))
+    return S.table(spark, d, "documents").select("doc_id", F.when(i % 2 == 0, "profile").alias("kind"), F.try_parse_json(item).alias("item"))
+
+
+ITEMS = """i AS (SELECT doc_id, doc_id % 17 = 0 AS e1, doc_id % 3 = 2 AS e2, doc_id % 2 = 0 AND doc_id % 3 = 1 AS e3,
+  NOT ((doc_id % 3 = 0 AND doc_id % 5 <> 0) OR (doc_id % 3 = 1 AND doc_id % 5 = 0)) AS e4, doc_id % 13 > 10 AS e5, CASE WHEN doc_id % 2 = 0 THEN 'profile' END AS kind FROM documents)"""
+
+
+@query("verify_items", f"WITH {ITEMS} SELECT doc_id, e1::INT + e2::INT + e3::INT + e4::INT + e5::INT AS n_errors, NOT (e1 OR e2 OR e3 OR e4 OR e5) AS valid FROM i")
+def verify_items(spark, d):
+    return validate.verify_items(_items(spark, d)).select("doc_id", F.size("errors").alias("n_errors"), "valid")
+
+
+@query("verify_rollup", f"""WITH {ITEMS} SELECT kind, bool_and(NOT (e1 OR e2 OR e3 OR e4 OR e5)) AS valid, count(*) AS total, count(*) FILTER (NOT (e1 OR e2 OR e3 OR e4 OR e5)) AS valid_count,
+  sum(e1::INT + e2::INT + e3::INT + e4::INT + e5::INT)::BIGINT AS n_errors FROM i GROUP BY kind""")
+def verify_rollup(spark, d):
+    return validate.verify_rollup(validate.verify_items(_items(spark, d)), ["kind"])
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
