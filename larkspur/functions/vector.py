@@ -24,10 +24,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n < 1e-12, 0.0).otherwise(dot(a, b) / n)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once a row: an expression inside a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def unit(a: Column) -> Column:
     """The vector over its norm; a zero vector stays zero. Cosines of units are plain dot products."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n < 1e-12, 0.0).otherwise(x.cast("double") / n))
+    return let(a, lambda v: let(norm(v), lambda n: F.transform(v, lambda x: F.when(n < 1e-12, 0.0).otherwise(x.cast("double") / n))))
 
 
 def euclid(a: Column, b: Column) -> Column:
@@ -49,9 +53,8 @@ def distance(name: str | None):
 
 def hash_embedding(terms: Column, dim: int = 64) -> Column:
     """The deterministic default embedder: md5 of each term picks its place, weights are counts, length is 1."""
-    place = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(place, lambda p: p == d)).cast("double"))
-    return unit(counts)
+    places = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim)
+    return let(places, lambda p: unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(p, lambda x: x == d)).cast("double"))))
 
 
 def lexical_score(q: Column, d: Column) -> Column:

@@ -280,10 +280,10 @@ def speaker_normalize(spark, d):
     return c.select("conv_id", "turn", s["speaker"].alias("speaker"), s["fixed"].alias("fixed"))
 
 
-@query("speaker_repair", """WITH t AS (SELECT conv_id AS session, turn AS n, CASE role WHEN 'user' THEN 'a' WHEN 'assistant' THEN 'b' END AS speaker, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS at FROM conversations),
-k AS (SELECT *, max(CASE WHEN speaker IS NOT NULL THEN at END) OVER (PARTITION BY session ORDER BY n) AS la FROM t),
-j AS (SELECT k.*, l.speaker AS ls FROM k LEFT JOIN t l ON l.session = k.session AND l.at = k.la)
-SELECT session, n, CASE WHEN (at - coalesce(la, 0)) % 2 = 0 THEN coalesce(ls, 'b') WHEN coalesce(ls, 'b') = 'a' THEN 'b' ELSE 'a' END AS speaker, speaker IS NULL AS fixed, 'D' || session || ':' || at AS dia_id FROM j""")
+@query("speaker_repair", """WITH t AS (SELECT conv_id AS session, turn AS n, CASE role WHEN 'user' THEN 'a' WHEN 'assistant' THEN 'b' END AS speaker, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
+k AS (SELECT *, max(CASE WHEN speaker IS NOT NULL THEN p END) OVER (PARTITION BY session ORDER BY n) AS la FROM t),
+j AS (SELECT k.*, l.speaker AS ls FROM k LEFT JOIN t l ON l.session = k.session AND l.p = k.la)
+SELECT session, n, CASE WHEN (p - coalesce(la, 0)) % 2 = 0 THEN coalesce(ls, 'b') WHEN coalesce(ls, 'b') = 'a' THEN 'b' ELSE 'a' END AS speaker, speaker IS NULL AS fixed, 'D' || session || ':' || p AS dia_id FROM j""")
 def speaker_repair(spark, d):
     role = F.when(F.col("role") == "user", "a").when(F.col("role") == "assistant", "b")
     return dialogue.repair_speakers(S.table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("n"), role.alias("speaker")))
@@ -360,7 +360,7 @@ TOP = """top AS (SELECT 't' || conv_id AS topic_id, conv_id FROM conversations W
 
 @query("provenance", f"""WITH {TOP}, l AS (SELECT 'm' || doc_id AS memory_id, 0 AS i, 't' || doc_id % 7 AS topic_id FROM documents UNION ALL SELECT 'm' || doc_id, 1, 't' || doc_id % 13 FROM documents),
 c AS (SELECT memory_id, i, 0 AS j, 'c' || conv_id % 4 AS cid FROM l JOIN top USING (topic_id) UNION ALL SELECT memory_id, i, 1, 'c' || conv_id FROM l JOIN top USING (topic_id)),
-f AS (SELECT memory_id, cid, min(i * 2 + j) AS at FROM c GROUP BY ALL) SELECT memory_id, string_agg(cid, ',' ORDER BY at, cid) AS conversation_ids FROM f GROUP BY memory_id""")
+f AS (SELECT memory_id, cid, min(i * 2 + j) AS p FROM c GROUP BY ALL) SELECT memory_id, string_agg(cid, ',' ORDER BY p, cid) AS conversation_ids FROM f GROUP BY memory_id""")
 def provenance(spark, d):
     return store.provenance(S.memories(spark, d), S.topics(spark, d)).withColumn("conversation_ids", F.array_join("conversation_ids", ","))
 
@@ -376,9 +376,9 @@ def _members(spark, d):
     return S.memories(spark, d).withColumn("cluster", F.col("doc_id") % 50).withColumn("position", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("created_at"), "memory_id")))
 
 
-@query("merge_provenance", """WITH p AS (SELECT doc_id % 50 AS cluster, doc_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id DESC) AS position FROM documents),
-l AS (SELECT cluster, position * 2 AS at, 't' || doc_id % 7 AS t FROM p UNION ALL SELECT cluster, position * 2 + 1, 't' || doc_id % 13 FROM p),
-f AS (SELECT cluster, t, min(at) AS at FROM l GROUP BY ALL), x AS (SELECT cluster, string_agg(t, ',' ORDER BY at) AS topic_ids FROM f GROUP BY cluster),
+@query("merge_provenance", """WITH ps AS (SELECT doc_id % 50 AS cluster, doc_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id DESC) AS position FROM documents),
+l AS (SELECT cluster, position * 2 AS p, 't' || doc_id % 7 AS t FROM ps UNION ALL SELECT cluster, position * 2 + 1, 't' || doc_id % 13 FROM ps),
+f AS (SELECT cluster, t, min(p) AS p FROM l GROUP BY ALL), x AS (SELECT cluster, string_agg(t, ',' ORDER BY p) AS topic_ids FROM f GROUP BY cluster),
 c AS (SELECT DISTINCT doc_id % 50 AS cluster, 't' || doc_id % 7 AS t, unnest([doc_id % 5, doc_id % 3]) AS i FROM documents),
 y AS (SELECT cluster, t || ':' || string_agg(i, '+' ORDER BY i) AS s FROM c GROUP BY cluster, t), z AS (SELECT cluster, string_agg(s, ',' ORDER BY s) AS cites FROM y GROUP BY cluster)
 SELECT cluster, topic_ids, cites FROM x JOIN z USING (cluster)""")
@@ -402,7 +402,7 @@ def merge_scores(spark, d):
   '# ' || CASE memory_type WHEN 'profile' THEN 'Profile Memory' WHEN 'episodic' THEN 'Episodic Memory' ELSE 'State Memory' END || ' / ' || memory_category || chr(10) || chr(10) || '## 摘要' || chr(10)
   || user_id || ' 在 ' || memory_type || '/' || memory_category || ' 下共有 ' || count(*) || ' 条活跃记忆。' || chr(10) || chr(10) || '## 详细记忆' || chr(10)
   || string_agg('- (' || printf('%.2f', importance) || ') ' || memory_content, chr(10) ORDER BY importance DESC, created_at DESC, memory_id) || chr(10) AS markdown
-FROM mem WHERE status = 'active' GROUP BY ALL""")
+FROM mem WHERE status = 'active' GROUP BY user_id, memory_type, memory_category""")
 def category_docs(spark, d):
     return store.category_docs(S.memories(spark, d))
 
@@ -452,7 +452,7 @@ def session_ids(spark, d):
 
 
 @query("timestamp_normalize", """SELECT event_id, strftime(CASE event_id % 3 WHEN 0 THEN date_trunc('minute', ts) ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS normal,
-  strftime(ts, '%Y-%m-%d %H:%M:%S') || '.' || lpad((epoch_ms(ts) % 1000)::VARCHAR, 3, '0') AS wall, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS beijing FROM events""")
+  strftime(ts, '%Y-%m-%d %H:%M:%S') || '.' || lpad((epoch_us(ts) // 1000 % 1000)::VARCHAR, 3, '0') AS wall, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M:%S') AS beijing FROM events""")
 def timestamp_normalize(spark, d):
     ts, e = F.col("ts").cast("timestamp"), F.col("event_id")
     given = F.when(e % 3 == 0, F.date_format(ts, "yyyy/MM/dd (EEE) HH:mm")).when(e % 3 == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))

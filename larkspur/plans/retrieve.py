@@ -60,7 +60,7 @@ def sql(mem: str, bm25: str, terms: str) -> str:
     return f"""WITH {mem}, {bm25},
 {vec('mv', "SELECT memory_id, memory_content AS x FROM mem WHERE status = 'active'", 'memory_id')}, {vec('qv', 'SELECT item_id AS query_id, text AS x FROM benchmark', 'query_id')},
 act AS (SELECT * FROM mem WHERE status = 'active'), qs AS (SELECT item_id AS query_id, 'u' || (item_id % 10) AS user_id FROM benchmark),
-pr AS (SELECT query_id, memory_id, sum(qv.u * mv.u) AS s FROM qs JOIN act USING (user_id) JOIN qv USING (query_id) JOIN mv ON mv.memory_id = act.memory_id AND mv.d = qv.d GROUP BY ALL),
+pr AS (SELECT query_id, act.memory_id, sum(qv.u * mv.u) AS s FROM qs JOIN act USING (user_id) JOIN qv USING (query_id) JOIN mv ON mv.memory_id = act.memory_id AND mv.d = qv.d GROUP BY query_id, act.memory_id),
 de AS (SELECT query_id, act.memory_id, round(coalesce(s, 0), 6) AS dense_score, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 6) DESC, act.memory_id) AS rank
   FROM qs JOIN act USING (user_id) LEFT JOIN pr USING (query_id, memory_id) QUALIFY rank <= 50),
 sp AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, memory_id) AS rank FROM (SELECT query_id, memory_id, round(sum(qtf::DOUBLE * tf), 6) AS s FROM qt JOIN tf USING (user_id, term) GROUP BY ALL) QUALIFY rank <= 50),
