@@ -12,6 +12,7 @@ from larkspur.functions import vector as V
 from larkspur.operators import dialogue, merge, ranking, search, store, validate
 from larkspur.plans import extract, retrieve
 from larkspur.sources import tables as S
+from larkspur.streaming import incremental
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -486,6 +487,21 @@ def verify_rollup(spark, d):
     return validate.verify_rollup(validate.verify_items(_items(spark, d)), ["kind"])
 
 
+# --- event time -----------------------------------------------------------
+
+
+@query("sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n_messages FROM g GROUP BY user_id, s""")
+def sessions(spark, d):
+    return _text(incremental.sessions(S.table(spark, d, "events")), "start", "end")
+
+
+@query("activity", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def activity(spark, d):
+    return _text(incremental.activity(S.table(spark, d, "events")), "start")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
