@@ -23,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.links import SKETCH, SMALL, Bound, similar_components, sketch
+from larkspur.llm.links import SMALL, Bound, bitmap, may_hold, mixed_bitmap, possible, similar_components, sketch, sketch_columns
 from larkspur.llm.packed import SCHEMA, pack, unpack
 from larkspur.llm.session import checkpoint, shuffle_partitions
 from larkspur.llm.text_hash import U, Words, doc_ngrams, mix, slices, utf8
 
 NO_ID = (1 << 63) - 1
 _KEY_BYTES = 5
+#: 64-bit words of a set's sketch.
+WORDS = 8
+SKETCH = sketch_columns(WORDS)
 
 
 def shingle_sets(batch_column, k: int):
@@ -55,7 +58,7 @@ def set_name(s: np.ndarray) -> int:
 def _classes(k: int):
     def run(batches):
         for batch in batches:
-            rows = [(i, set_name(s), len(s), sketch(s)) for i, s in shingle_sets(batch.column("text"), k) if len(s)]
+            rows = [(i, set_name(s), len(s), sketch(s, WORDS)) for i, s in shingle_sets(batch.column("text"), k) if len(s)]
             if rows:
                 at, names, sizes, sketches = zip(*rows, strict=True)
                 parity = np.stack(sketches)
@@ -89,12 +92,14 @@ def _single(k: int, bound: Bound, n_buckets: int):
     return run
 
 
-def _prefixes(k: int, bound: Bound):
-    """The extended prefix of each class, in 32 bits a shingle."""
+def _prefixes(k: int, bound: Bound, wanted):
+    """The extended prefix of each class that may be wanted, in 32 bits a shingle."""
 
     def run(batches):
         for batch in batches:
-            rows = [(name, (s[: bound.pair_prefix(len(s))] >> U(32)).astype("<u4").tobytes()) for name, s in _once(shingle_sets(batch.column("text"), k))]
+            sets = list(_once(shingle_sets(batch.column("text"), k)))
+            hit = may_hold(wanted.value, np.array([name for name, _ in sets], np.int64))
+            rows = [(name, (s[: bound.pair_prefix(len(s))] >> U(32)).astype("<u4").tobytes()) for (name, s), h in zip(sets, hit, strict=True) if h]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "prefix"])
 
     return run
@@ -161,13 +166,13 @@ def class_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     single = texts.mapInArrow(_single(k, bound, n), SCHEMA).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, SMALL), groups)
     single = checkpoint(single)
     frequent = single.where("frequent IS NOT NULL").select(F.col("frequent").alias("id")).distinct()
-    extended = texts.mapInArrow(_prefixes(k, bound), "id long, prefix binary").join(frequent, "id", "left_semi")
+    extended = texts.mapInArrow(_prefixes(k, bound, mixed_bitmap(frequent, "id")), "id long, prefix binary").join(frequent, "id", "left_semi")
     combined = extended.mapInArrow(_combined(n), SCHEMA).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, None), groups)
     lists = checkpoint(single.where("members IS NOT NULL").select("members").union(combined.select("members")).distinct())
 
     def verify(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "k"), "id")
-        found = texts.join(need, "k").select("id", "text")
+        found = possible(texts, "k", bitmap(need, "k")).join(need, "k").select("id", "text")
         a, b = found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), found.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, bound), "a long, b long").distinct()
 

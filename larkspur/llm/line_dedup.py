@@ -18,39 +18,41 @@ come last; an empty table gives no rows; other columns are kept as they are.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.jaccard_join import key_groups
-from larkspur.llm.links import SKETCH, Bound, similar_components, sketch
+from larkspur.llm.links import Bound, may_hold, mixed_bitmap, similar_components, sketch, sketch_columns
 from larkspur.llm.packed import SCHEMA, pack
 from larkspur.llm.session import checkpoint, shuffle_partitions
-from larkspur.llm.text_hash import U, _bytes_table, mix
+from larkspur.llm.text_hash import U, mix
 
 SHINGLE = 8
 ROWS, BANDS = 4, 12
 NO_ID = (1 << 63) - 1
 _KEY_BYTES = 5
+#: 64-bit words of a line's sketch: lines have some hundred shingles, of which linked ones may lack many.
+SKETCH = sketch_columns(32)
 #: Bytes of lines whose signatures are made at once, so that the work stays in the cache.
 _CHUNK = 60_000
 
 
-def form(line: str) -> bytes:
+_PLAIN = bytes(32 if b in b"\t\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def form(line: bytes) -> bytes:
     """What of a line is compared: words joined by one space, A-Z lower-cased."""
-    return b" ".join(line.encode("utf-8", "surrogatepass").lower().split())
+    line = line.translate(_PLAIN).strip(b" ")
+    return b" ".join(line.split()) if b"  " in line else line
 
 
 def name_of(forms: list[bytes]) -> np.ndarray:
     """64-bit names of forms."""
-    if not forms:
-        return np.zeros(0, U)
-    data, size = np.frombuffer(b"".join(forms), np.uint8), np.array([len(f) for f in forms])
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    place = np.arange(len(data)) - np.repeat(start, size)
-    power = np.cumprod(np.full(int(size.max()) + 1, 0xD6E8FEB86659FD93, U), dtype=U)
-    return mix(np.add.reduceat(_bytes_table()[data] * power[place], start) + size.astype(U))
+    return np.frombuffer(b"".join([blake2b(f, digest_size=8).digest() for f in forms]), "<i8")
 
 
 def shingles(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +91,14 @@ def band_keys(forms: list[bytes]) -> np.ndarray:
     return out
 
 
-def _lines(text: str | None) -> list[tuple[int, bytes]]:
+def _lines(text: bytes | None) -> list[tuple[int, bytes]]:
     """(place, form) of a text's lines that have a word."""
-    return [(i, f) for i, x in enumerate((text or "").split("\n")) if (f := form(x))]
+    plain = (text or b"").translate(_PLAIN)
+    return [(i, b" ".join(f.split()) if b"  " in f else f) for i, x in enumerate(plain.split(b"\n")) if (f := x.strip(b" "))]
+
+
+def _bytes_of(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
 
 def _distinct(texts, limit: int = 4_000_000):
@@ -113,16 +120,23 @@ def _distinct(texts, limit: int = 4_000_000):
 def _send_bands(n_buckets: int):
     def run(batches):
         for batch in batches:
-            for forms in _distinct(batch.column("text").to_pylist()):
-                yield pack(band_keys(forms).reshape(-1), np.repeat(name_of(forms).view(np.int64), BANDS), n_buckets, _KEY_BYTES)
+            for forms in _distinct(_bytes_of(batch)):
+                yield pack(band_keys(forms).reshape(-1), np.repeat(name_of(forms), BANDS), n_buckets, _KEY_BYTES)
 
     return run
 
 
-def _forms(batches):
-    for batch in batches:
-        for forms in _distinct(batch.column("text").to_pylist()):
-            yield pa.record_batch([pa.array(name_of(forms).view(np.int64)), pa.array(forms, pa.binary())], names=["id", "form"])
+def _forms(wanted):
+    """The lines that may be wanted."""
+
+    def run(batches):
+        for batch in batches:
+            for forms in _distinct(_bytes_of(batch)):
+                ids = name_of(forms)
+                at = np.flatnonzero(may_hold(wanted.value, ids))
+                yield pa.record_batch([pa.array(ids[at]), pa.array([forms[i] for i in at], pa.binary())], names=["id", "form"])
+
+    return run
 
 
 def _set_of(f: bytes) -> np.ndarray:
@@ -132,7 +146,7 @@ def _set_of(f: bytes) -> np.ndarray:
 def _attributes(batches):
     for batch in batches:
         sets = [_set_of(f) for f in batch.column("form").to_pylist()]
-        parity = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, len(SKETCH)), np.int64)
+        parity = np.stack([sketch(s, len(SKETCH)) for s in sets]) if sets else np.zeros((0, len(SKETCH)), np.int64)
         yield pa.record_batch([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(parity[:, j]) for j in range(len(SKETCH))]], names=["id", "n", *SKETCH])
 
 
@@ -159,7 +173,7 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     groups = texts.mapInArrow(_send_bands(n), SCHEMA).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, None), "members array<long>, frequent long")
     lists = checkpoint(groups.select("members").distinct())
     some = lists.select(F.explode("members").alias("id")).distinct()
-    forms = texts.mapInArrow(_forms, "id long, form binary").join(some, "id", "left_semi").dropDuplicates(["id"])
+    forms = texts.mapInArrow(_forms(mixed_bitmap(some, "id")), "id long, form binary").join(some, "id", "left_semi").dropDuplicates(["id"])
     forms = checkpoint(forms)
     attrs = forms.mapInArrow(_attributes, ", ".join(["id long", "n long", *[f"{s} long" for s in SKETCH]]))
 
@@ -174,8 +188,8 @@ def _occurrences(batches):
     """The lines of each document, once each."""
     for batch in batches:
         ids, names = [], []
-        for k, t in zip(batch.column("k").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            mine = np.unique(name_of([f for _, f in _lines(t)]).view(np.int64))
+        for k, t in zip(batch.column("k").to_pylist(), _bytes_of(batch), strict=True):
+            mine = np.unique(name_of([f for _, f in _lines(t)]))
             names.append(mine)
             ids.append(np.full(len(mine), k, np.int64))
         if ids:
@@ -189,7 +203,7 @@ def _key(docs: DataFrame):
 def line_verdicts(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """(k, lines): for each document key the lines (id, component, first) that are not simply the first of their kind."""
     found = line_components(docs, num, den)
-    rows = docs.select(_key(docs).alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(_occurrences, "k long, id long")
+    rows = checkpoint(docs.select(_key(docs).alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(_occurrences, "k long, id long"))
     rows = rows.join(found, "id", "left").select("k", "id", F.coalesce("component", "id").alias("component"))
     first = rows.groupBy("component").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     rows = rows.join(first, "component").select("k", F.struct("id", "component", (F.col("k") == F.col("first")).alias("first")).alias("line"))
@@ -202,18 +216,18 @@ def _cut(names: list[str], add_counts: bool):
     def run(batches):
         for batch in batches:
             texts, counts = [], []
-            for t, lines in zip(batch.column("text").to_pylist(), batch.column("_lines").to_pylist(), strict=True):
+            for t, lines in zip(_bytes_of(batch), batch.column("_lines").to_pylist(), strict=True):
                 at = _lines(t)
                 verdict = {x["id"]: (x["component"], x["first"]) for x in lines or ()}
                 seen, gone = set(), set()
-                for (i, _), name in zip(at, name_of([f for _, f in at]).view(np.int64).tolist(), strict=True):
+                for (i, _), name in zip(at, name_of([f for _, f in at]).tolist(), strict=True):
                     component, first = verdict.get(name, (name, True))
                     if not first or component in seen:
                         gone.add(i)
                     seen.add(component)
-                texts.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t)
+                texts.append(b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in gone]) if gone else t)
                 counts.append((len(at), len(gone)))
-            out = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            out = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
             if add_counts:
                 out += [pa.array([c[j] for c in counts], pa.int64()) for j in (0, 1)]
             yield pa.record_batch(out, names=[*names, *(["n_lines", "n_removed"] if add_counts else [])])

@@ -1,13 +1,14 @@
 """From groups of items that may be similar to the components of those that are.
 
 Items are distinct sets (of shingles) named by 64-bit ids, with a size and a parity
-sketch of 512 bits: the sets of two items differ in at least as many elements as their
-sketches differ in bits, so a pair whose sketches differ too much is dropped without
-loss.  Small groups give their pairs.  In a large group each item is first compared
-with hubs, the least items of those still alone; what is left after the hubs' links are
-verified and joined into components is then compared across components only.  No step
-emits all pairs of a group of similar items, and groups larger than ``BLOCK`` are dealt
-out by pairs of blocks.
+sketch of some hundred bits: the sets of two items differ in at least as many elements
+as their sketches differ in bits, so a pair whose sketches differ too much is dropped
+without loss.  In a small group each item is first compared with the least one, in a
+large group with hubs, the least items of those still alone; their links are verified
+and joined into components.  Then, round by round, only pairs across components are looked
+at, the nearest few of each two components; rounds end when no pair across components
+is left untested.  No step emits all pairs of a group, and groups larger than ``BLOCK``
+are dealt out by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.session import checkpoint, shuffle_partitions
 
-WORDS = 8  # 64-bit words of a sketch
-SKETCH = [f"s{i}" for i in range(WORDS)]
 SMALL = 8
 BLOCK = 2048
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parity of the distinct hashes of one set over 64 * WORDS bits."""
-    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+def sketch_columns(words: int) -> list[str]:
+    return [f"s{i}" for i in range(words)]
+
+
+def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Parity of the distinct hashes of one set over 64 * words bits; words is a power of two."""
+    bits = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -51,6 +54,44 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _bits(keys: DataFrame, h, most_bits: int):
+    n = max(1, keys.count())
+    words = min(most_bits, 1 << max(10, (16 * n - 1).bit_length())) // 64
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 56).bitwiseAND(F.lit(63)).cast("int"))
+    rows = keys.select(F.pmod(h, F.lit(words)).alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(words, np.int64)
+    out[np.asarray(rows.column("w"), np.int64)] = np.asarray(rows.column("b"), np.int64)
+    return keys.sparkSession.sparkContext.broadcast(out.view(np.uint64))
+
+
+def bitmap(keys: DataFrame, column: str, most_bits: int = 1 << 26):
+    """A broadcast bitmap of hashed keys, 16 bits a key up to ``most_bits``: 8 MB at most, whatever the number of keys."""
+    return _bits(keys, F.xxhash64(column), most_bits)
+
+
+def mixed_bitmap(keys: DataFrame, column: str, most_bits: int = 1 << 26):
+    """Like ``bitmap`` for ids that are well mixed hashes themselves; ``may_hold`` asks it inside a task."""
+    return _bits(keys, F.col(column), most_bits)
+
+
+def may_hold(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return (table[ids % len(table)] >> (ids.view(np.uint64) >> np.uint64(56) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def possible(rows: DataFrame, column: str, found) -> DataFrame:
+    """The rows whose key may be in a bitmap, before they are shuffled to meet the keys themselves."""
+    h, names = F.xxhash64(column), rows.columns
+
+    def run(batches):
+        table = found.value
+        for batch in batches:
+            hit = table[np.asarray(batch.column("_w"), np.int64)] >> np.asarray(batch.column("_b"), np.int64).astype(np.uint64) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool))).select(names)
+
+    marked = rows.select("*", F.pmod(h, F.lit(len(found.value))).alias("_w"), F.shiftrightunsigned(h, 56).bitwiseAND(F.lit(63)).alias("_b"))
+    return marked.mapInArrow(run, rows.schema)
+
+
 class Bound:
     """Jaccard similarity of num / den at least, and what follows from it; whole numbers only."""
 
@@ -100,10 +141,11 @@ def _deal(across: bool):
 
 def _groups(table: pa.Table, names: list[str]):
     """Arrays of each group of a bucket, by id."""
+    sketches = [c for c in table.column_names if c[0] == "s" and c[1:].isdigit()]
     g, ids = (np.asarray(table.column(x), np.int64) for x in ("g", "id"))
     order = np.lexsort((ids, g))
-    cols = {x: np.asarray(table.column(x), np.int64)[order] for x in ["g", "side", "id", "n", *SKETCH, *names]}
-    cols["s"] = np.stack([cols[x] for x in SKETCH], 1).view(np.uint64)
+    cols = {x: np.asarray(table.column(x), np.int64)[order] for x in ["g", "side", "id", "n", *names]}
+    cols["s"] = np.stack([np.asarray(table.column(x), np.int64)[order] for x in sketches], 1).view(np.uint64)
     cuts = np.flatnonzero(np.append(True, cols["g"][1:] != cols["g"][:-1])) if len(g) else []
     for a, b in zip(cuts, np.append(cuts[1:], len(g)), strict=True):
         yield {k: v[a:b] for k, v in cols.items()}
@@ -134,24 +176,44 @@ def _stars(bound: Bound):
     return run
 
 
-def _across(bound: Bound):
-    """Pairs of different components that may be linked."""
+def _firsts(keys: tuple[np.ndarray, ...], by: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` least rows, by ``by``, of each combination of keys."""
+    order = np.lexsort((by, *keys))
+    new = np.ones(len(order), bool)
+    for k in keys:
+        new[1:] &= k[order][1:] == k[order][:-1]
+    new[1:] = ~new[1:]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - start < most]
+
+
+def _across(bound: Bound, most: int):
+    """Pairs of different components that may be linked: the ``most`` nearest of each two components; ``cut`` if there were more."""
 
     def run(table: pa.Table) -> pa.Table:
-        left, right = [], []
+        out = []
         for x in _groups(table, ["component"]):
             c, two = x["component"], x["side"].any()
             values, counts = np.unique(c, return_counts=True)
             if len(values) < 2:
                 continue
-            main = values[np.argmax(counts)]
+            main, found = values[np.argmax(counts)], []
             for i in np.flatnonzero((x["side"] == 0) if two else (c != main)):
                 to = (c != c[i]) & ((x["side"] == 1) if two else ((c == main) | (x["id"] > x["id"][i])))
                 near = np.flatnonzero(to)
-                near = near[bound.may(_apart(x["s"][i], x["s"][near]), x["n"][i], x["n"][near])]
-                left.append(np.full(len(near), x["id"][i]))
-                right.append(x["id"][near])
-        return _pairs(left, right)
+                apart = _apart(x["s"][i], x["s"][near])
+                fits = bound.may(apart, x["n"][i], x["n"][near])
+                near, apart = near[fits], apart[fits]
+                pick = _firsts((c[near],), apart, most + 1)
+                near, apart = near[pick], apart[pick]
+                found.append(np.stack([np.minimum(c[i], c[near]), np.maximum(c[i], c[near]), apart, np.full(len(near), x["id"][i]), x["id"][near]]))
+            if found:
+                rows = np.concatenate(found, 1)
+                keys = (rows[0], rows[1])
+                kept, wider = _firsts(keys, rows[2], most), _firsts(keys, rows[2], most + 1)
+                out.append((rows[3][kept], rows[4][kept], np.full(len(kept), len(wider) > len(kept))))
+        a, b, cut = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cut": cut})
 
     return run
 
@@ -160,16 +222,17 @@ def similar_components(lists: DataFrame, attrs: DataFrame, bound: Bound, verify:
     """(id, component) of the linked items.
 
     lists: (members array<long>), groups such that any linked pair is in one; they are read several times.
-    attrs: (id, n, s0..s7).  verify keeps the linked pairs of a DataFrame (a, b).
+    attrs: (id, n, s0, s1, ...).  verify keeps the linked pairs of a DataFrame (a, b).
     """
     spark = lists.sparkSession
     n_buckets = 4 * shuffle_partitions(spark)
     one, two = attrs.select([F.col(c).alias(f"{c}_a") for c in attrs.columns]), attrs.select([F.col(c).alias(f"{c}_b") for c in attrs.columns])
-    small = lists.where(F.size("members") <= SMALL)
-    pairs = small.select(F.explode("members").alias("a"), "members").select("a", F.explode("members").alias("b")).where("a < b").distinct()
-    apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in SKETCH), F.lit(0))
+    small = lists.where(F.size("members") <= SMALL).select(F.explode("members").alias("a"), "members")
+    pairs = small.select("a", F.explode("members").alias("b"), F.array_min("members").alias("hub")).where("a < b").groupBy("a", "b").agg(F.bool_or(F.col("a") == F.col("hub")).alias("hub"))
+    sketches = [c for c in attrs.columns if c not in ("id", "n")]
+    apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in sketches), F.lit(0))
     sized = pairs.join(one, pairs["a"] == one["id_a"]).join(two, pairs["b"] == two["id_b"])
-    pairs = sized.where(bound.may(apart, F.col("n_a"), F.col("n_b"))).select("a", "b")
+    pairs = checkpoint(sized.where(bound.may(apart, F.col("n_a"), F.col("n_b"))).select("a", "b", "hub"))
     large = lists.where(F.size("members") > SMALL).select(F.xxhash64("members").alias("lid"), "members")
     bucket = F.pmod(F.xxhash64("g"), F.lit(n_buckets)).alias("bucket")
 
@@ -178,15 +241,24 @@ def similar_components(lists: DataFrame, attrs: DataFrame, bound: Bound, verify:
         return rows.groupBy(bucket)
 
     starred = dealt(False, attrs).applyInArrow(_stars(bound), "a long, b long")
-    tested = checkpoint(pairs.union(starred).distinct())
+    tested = checkpoint(pairs.where("hub").select("a", "b").union(starred).distinct())
     links = checkpoint(verify(tested))
-    components = connected_components(links)
-    labelled = attrs.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = dealt(True, labelled).applyInArrow(_across(bound), "a long, b long").distinct()
-    rest = checkpoint(rest.join(tested, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
-        return components
-    more = checkpoint(verify(rest))
-    if more.isEmpty():
-        return components
-    return connected_components(links.union(more))
+    components, most = connected_components(links), 2
+    while True:
+        labelled = attrs.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        ends = [components.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+        apart = pairs.where("NOT hub").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) != coalesce(cb, b)")
+        rest = dealt(True, labelled).applyInArrow(_across(bound, most), "a long, b long, cut boolean").union(apart.select("a", "b", F.lit(False)))
+        rest = rest.groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
+        rest = checkpoint(rest.join(tested.withColumn("old", F.lit(True)), ["a", "b"], "left"))
+        n, cut = rest.agg(F.count_if(F.col("old").isNull()), F.bool_or("cut")).first()
+        if not n and not cut:
+            return components
+        rest = rest.where("old IS NULL").select("a", "b")
+        most *= 8
+        if n:
+            more = checkpoint(verify(rest))
+            if more.isEmpty() and not cut:
+                return components
+            links, tested = checkpoint(links.union(more)), checkpoint(tested.union(rest))
+            components = connected_components(links)

@@ -2,7 +2,14 @@ import random
 
 import numpy as np
 
-from larkspur.llm.line_dedup import SHINGLE, band_keys, form, line_dedup, name_of
+from larkspur.llm.line_dedup import SHINGLE, band_keys, line_dedup, name_of
+from larkspur.llm.line_dedup import form as bytes_form
+
+
+def form(line: str) -> bytes:
+    f = bytes_form(line.encode())
+    assert f == b" ".join(line.encode().lower().split())
+    return f
 
 
 def shingle_set(f: bytes) -> set:
