@@ -267,10 +267,12 @@ def dry_run_extract(spark, d):
 
 @query("chat_prompt", f"""WITH {MSG}, h AS (SELECT conv_id, string_agg(role || ': ' || content, chr(10) ORDER BY seq) AS history FROM msg GROUP BY conv_id),
 u AS (SELECT conv_id, max_by(content, seq) AS said FROM msg WHERE role = 'user' GROUP BY conv_id),
-m AS (SELECT doc_id % 100 AS conv_id, string_agg('- ' || text, chr(10) ORDER BY doc_id) AS block FROM documents WHERE doc_id < 300 GROUP BY ALL)
+m AS (SELECT doc_id % 100 AS conv_id, string_agg('- ' || text, chr(10) ORDER BY doc_id) AS block FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) <= 5) GROUP BY ALL)
 SELECT conv_id, history, said || coalesce(chr(10) || chr(10) || '[memories]' || chr(10) || block, '') AS prompt FROM h JOIN u USING (conv_id) LEFT JOIN m USING (conv_id)""")
 def chat_prompt(spark, d):
-    docs = S.table(spark, d, "documents").where("doc_id < 300").select((F.col("doc_id") % 100).alias("conv_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
+    docs = S.table(spark, d, "documents").select((F.col("doc_id") % 100).alias("conv_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
+    top = F.row_number().over(W.partitionBy("conv_id").orderBy("position"))
+    docs = docs.withColumn("rank", top).where("rank <= 5").drop("rank")  # C12: a prompt has the first five memories
     return extract.chat_prompts(dialogue.valid_messages(S.messages(spark, d)), docs)
 
 
@@ -318,14 +320,14 @@ def get_by_ids(spark, d):
 def _new(spark, d):
     m = S.memories(spark, d)
     new = m.where("doc_id % 5 = 0").withColumns({"memory_content": F.concat(F.lit("new "), "memory_content"), "importance": F.lit(0.95), "created_at": F.current_timestamp()})
-    extra = m.where("doc_id < 50").withColumns({"memory_id": F.concat(F.lit("n"), F.col("doc_id")), "memory_content": F.lit("added")})
+    extra = m.where("doc_id % 5 = 1").withColumns({"memory_id": F.concat(F.lit("n"), F.col("doc_id")), "memory_content": F.lit("added")})
     cols = ["memory_id", "user_id", "memory_content", "importance", "created_at"]
     return m.select(cols), new.select(cols).unionByName(extra.select(cols))
 
 
 @query("upsert_memories", f"""WITH {MEM} SELECT memory_id, user_id, CASE WHEN doc_id % 5 = 0 THEN 'new ' || memory_content ELSE memory_content END AS memory_content,
   CASE WHEN doc_id % 5 = 0 THEN 0.95::DOUBLE ELSE importance END AS importance, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM mem
-UNION ALL SELECT 'n' || doc_id, user_id, 'added', importance, strftime(created_at, '%Y-%m-%d %H:%M:%S') FROM mem WHERE doc_id < 50""")
+UNION ALL SELECT 'n' || doc_id, user_id, 'added', importance, strftime(created_at, '%Y-%m-%d %H:%M:%S') FROM mem WHERE doc_id % 5 = 1""")
 def upsert_memories(spark, d):
     old, new = _new(spark, d)
     return _text(store.upsert(old, new, "memory_id", keep=("created_at", "user_id")), "created_at")
@@ -356,7 +358,7 @@ def list_user_ids(spark, d):
     return S.memories(spark, d).select("user_id").distinct()
 
 
-TOP = """top AS (SELECT 't' || conv_id AS topic_id, conv_id FROM conversations WHERE conv_id < 10 GROUP BY conv_id)"""
+TOP = """top AS (SELECT 't' || conv_id AS topic_id, conv_id FROM conversations GROUP BY conv_id)"""
 
 
 @query("provenance", f"""WITH {TOP}, l AS (SELECT 'm' || doc_id AS memory_id, 0 AS i, 't' || doc_id % 7 AS topic_id FROM documents UNION ALL SELECT 'm' || doc_id, 1, 't' || doc_id % 13 FROM documents),

@@ -69,10 +69,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conversations dealt over topics t0..t9: messages are numbered within the topic."""
+    """Each conversation as a topic: messages are numbered within it."""
     c = table(spark, sf_dir, "conversations")
     m = F.struct(F.col("turn").cast("int").alias("index"), F.col("text").alias("content"))
-    rows = c.where("conv_id < 10").groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("topic_messages"))
+    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("topic_messages"))
     cid = F.col("conv_id")
     return rows.select(
         F.concat(F.lit("t"), cid).alias("topic_id"), F.array(F.concat(F.lit("c"), cid % 4), F.concat(F.lit("c"), cid)).alias("source_conversation_ids"), "topic_messages"
