@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder of spark.checkpoint.dir, so that a lost executor costs no recomputation.
 
-    The folder is set here only where the session has none, as in local tests.
+    The folder is set here only where the session has none, as in local tests.  Spark removes
+    shuffle files and checkpoints that nothing refers to any more when the driver collects
+    its garbage, by itself every half hour; the rounds here ask for it, so that those of
+    earlier rounds do not pile up.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/larkspur-checkpoints")
+    sc._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 
