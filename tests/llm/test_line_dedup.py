@@ -115,3 +115,16 @@ def test_bands_recall():
 def test_names_differ():
     forms = [f"{a} {b}".encode() for a in range(300) for b in range(300)]
     assert len(np.unique(name_of(forms))) == len(forms)
+
+
+def test_least_edits_that_link(docs):
+    """Copies with one changed character, of one byte or two, and with one replaced word of six letters, as the docstring states."""
+    rnd = random.Random(3)
+    cases = [(49, 24, "#", True), (48, 24, "#", False), (53, 24, "é", True), (52, 24, "é", False), (94, 40, "#$%&*+", True), (93, 40, "#$%&*+", False), (13, 12, "#", True), (12, 11, "#", False)]
+    rows = []
+    for i, (size, at, put, _) in enumerate(cases):
+        line = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+        rows += [(2 * i, line), (2 * i + 1, line[:at] + put + line[at + len(put) :])]
+    left = {r.doc_id: r.text for r in line_dedup(docs(rows)).collect()}
+    assert all(left[2 * i] == rows[2 * i][1] for i in range(len(cases)))
+    assert [left[2 * i + 1] == "" for i in range(len(cases))] == [x[3] for x in cases]
