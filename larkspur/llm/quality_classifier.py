@@ -4,8 +4,8 @@ A text's features are its words, the runs of 3 and 5 bytes in it and, for each w
 equals the one 1, 2 or 3 places before it, a sign of that; all are hashed into
 ``BUCKETS`` vectors.  The vectors are averaged over the text and go to a softmax output;
 vectors and output are learned together by stochastic gradient descent in numpy, on the
-driver, from at most ``PER_CLASS`` labelled rows a class (those with the least hashed
-doc_id), whose features, not texts, come there.  Scoring reads every whole text in
+driver, from at most ``PER_CLASS`` labelled doc_ids a class (those with the least hash),
+of each the text with the least hash, whose features, not texts, come there.  Scoring reads every whole text in
 tasks: as the output is linear in the average, a feature's part of the log-odds is one
 number, and a table of ``BUCKETS`` numbers is all that is broadcast.
 
@@ -56,8 +56,11 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _histograms(batches):
-    """The features of each text and how often it has them."""
+    """The features of each text and how often it has them; of a doc_id's like rows in one task only the first is read."""
+    seen = set()
     for batch in batches:
+        ids = batch.column("doc_id").to_pylist()
+        batch = batch.take(pa.array([i for i, d in enumerate(ids) if not (d in seen or seen.add(d))], pa.int64()))
         data, offsets = utf8(batch.column("text"))
         label, key, count = batch.column("quality"), [], []
         for a, b in slices(offsets, 300_000):
@@ -66,7 +69,7 @@ def _histograms(batches):
                 u, c = np.unique(f[who == i], return_counts=True)
                 key.append(u.astype(np.int32).tobytes())
                 count.append(c.astype(np.float32).tobytes())
-        yield pa.record_batch([label, pa.array(key, pa.binary()), pa.array(count, pa.binary())], names=["quality", "keys", "counts"])
+        yield pa.record_batch([batch.column("doc_id"), label, pa.array(key, pa.binary()), pa.array(count, pa.binary())], names=["doc_id", "quality", "keys", "counts"])
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -128,9 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = [rows.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))  # 2 * per_class rows at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(chosen, "doc_id").select("quality", "text").mapInArrow(_histograms, "quality int, keys binary, counts binary").collect()
-    data = sorted((r["quality"], bytes(r["keys"]), bytes(r["counts"])) for r in found)[: 4 * per_class]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("h"))
+    least = texts.join(chosen, "doc_id").groupBy("doc_id", "quality").agg(F.min("h").alias("h"))
+    found = texts.join(F.broadcast(least), ["doc_id", "h"]).select("doc_id", "quality", "text").mapInArrow(_histograms, "doc_id long, quality int, keys binary, counts binary")
+    one = found.groupBy("doc_id", "quality").agg(F.min(F.struct("keys", "counts")).alias("f"))  # like rows of other tasks
+    data = sorted((r["quality"], bytes(r["f"]["keys"]), bytes(r["f"]["counts"])) for r in one.collect())
     return train([(y, np.frombuffer(k, np.int32), np.frombuffer(c, np.float32)) for y, k, c in data])
 
 

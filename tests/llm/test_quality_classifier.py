@@ -1,7 +1,7 @@
 import random
 import zlib
 
-from larkspur.llm.quality_classifier import quality_scores
+from larkspur.llm.quality_classifier import fit, quality_scores
 
 WORDS = ["the", "river", "house", "green", "walks", "under", "little", "stone", "bright", "and", "of", "was"]
 
@@ -44,3 +44,19 @@ def test_without_labels(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in quality_scores(docs([(1, "x"), (2, None)]), none).collect()] == [0.5, 0.5]
     assert quality_scores(docs([]), none).count() == 0
+
+
+def test_repeated_rows_do_not_push_a_class_out(docs, spark):
+    """A doc_id that holds most rows counts once, so both classes are learned from; with other texts under it, the same fit on any order."""
+    rows, labels = corpus(60)
+    labelled = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    hot = next(i for i, y, _ in labels if y == 0 and zlib.crc32(str(i).encode()) % 3 != 1)
+    plain, none = fit(docs(rows), labelled, 20)
+    assert plain.any()
+    for per_class in (20, 60):
+        want = fit(docs(rows), labelled, per_class)
+        got = fit(docs(rows + [rows[hot]] * 300).repartition(5), labelled, per_class)
+        assert (got[0] == want[0]).all() and got[1] == want[1]
+    more = rows + [(hot, f"other text {i}") for i in range(300)]
+    a, b = fit(docs(more), labelled, 20), fit(docs(more[::-1]).repartition(3), labelled, 20)
+    assert a[0].any() and (a[0] == b[0]).all() and a[1] == b[1]
