@@ -4,7 +4,12 @@ Each page is one row's work inside a task; nothing is gathered.  The tree builde
 closes elements that HTML lets authors leave open (p, li, dt, dd, option, table
 parts) and ignores stray end tags; it keeps no more state than the open elements.
 Visibility: head, script, style, template and the like, ``hidden``, ``display:none``,
-``visibility:hidden`` and hidden inputs are not rendered.  Blocks stand apart by one
+``visibility:hidden`` and hidden inputs are not rendered.  The text in math and svg is,
+but for what only names or defines (annotation, title, desc, defs, metadata and the
+like); a text of an svg stands on a line of its own, and parts of a fraction, root or
+matrix apart.  The fallback of object is rendered, as nothing is loaded that could
+stand for it; those of video, audio and canvas are not, as browsers show the medium or
+the drawing, nor that of iframe and noscript, which browsers do not read.  Blocks stand apart by one
 newline, or by a blank line where browsers leave a margin; list items carry their
 mark and depth; ``pre`` keeps its white space; table cells are padded to columns.
 
@@ -24,7 +29,14 @@ from pyspark.sql import functions as F
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe object svg math canvas audio video".split())
+HIDDEN = frozenset("head script style template noscript title meta link base datalist iframe canvas audio video".split())
+#: Within svg and math, these only name or define; what use elements repeat is not followed.
+UNDRAWN = frozenset("title desc defs metadata annotation annotation-xml symbol clippath mask marker pattern lineargradient radialgradient filter".split())
+#: Within svg and math, elements that hold HTML again.
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+#: Within svg and math, these start a line; and the children of these stand apart.
+FOREIGN_BLOCK = frozenset("text foreignobject mtr mlabeledtr".split())
+APART = frozenset("mfrac mroot mtr mlabeledtr munder mover munderover".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset hr".split())
 BLOCK = SPACED | frozenset(
     "html body div article section nav header footer main aside address li dt dd form details summary figcaption caption thead tbody tfoot tr td th legend option optgroup select hgroup center dialog".split()
@@ -46,6 +58,8 @@ CLOSES = {
 }
 #: These close an open paragraph.
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "li", "option", "optgroup", "caption", "thead", "tbody", "tfoot"}
+#: In svg or math these end it, as HTML that follows one left open.
+BREAKS_OUT = (ENDS_P - {"details", "summary", "legend"}) | frozenset("b big br code em i img li s small span strike strong sub sup tt u var".split())
 #: A new block closes an open paragraph no further out than these.
 P_SCOPE = frozenset("td th button caption table".split())
 _UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -58,20 +72,26 @@ _TAG = re.compile(r"""<(?:!--(?s:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")  # a tag whose quotes do not pair
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 #: Only these matter to the layout.
-_USED = re.compile(r"hidden|style|type|alt|value|start|colspan", re.I)
+_USED = re.compile(r"hidden|style|type|alt|value|start|colspan|display", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: str = ""):
+    def __init__(self, tag: str, attrs: str = "", parent: Node | None = None):
         self.tag, self.attrs, self.children = tag, {}, []
+        self.foreign = tag in ("svg", "math") or parent is not None and parent.holds_foreign()
         if attrs and _USED.search(attrs):
             for name, *values in _ATTR.findall(attrs):
                 self.attrs.setdefault(name.lower(), unescape("".join(values)))
 
+    def holds_foreign(self) -> bool:
+        return self.foreign and self.tag not in HOLDS_HTML
+
     def visible(self) -> bool:
         a = self.attrs
+        if self.foreign and (self.tag in UNDRAWN or a and (a.get("display") == "none" or a.get("visibility") == "hidden")):
+            return False
         if self.tag in HIDDEN:
             return False
         return not a or not ("hidden" in a or self.tag == "input" and a.get("type", "").lower() == "hidden" or _UNSEEN_STYLE.search(a.get("style", "")))
@@ -104,7 +124,7 @@ class TreeBuilder:
                 self._end(tag)
                 continue
             self._start(tag, m[3])
-            if tag in RAW:
+            if tag in RAW and not self.open[-1].foreign:
                 end = re.compile(f"</{tag}[\\s/>]|\\Z", re.I).search(html, at)
                 if tag in ("textarea", "xmp") and end.start() > at:
                     self._data(html[at : end.start()])
@@ -125,13 +145,15 @@ class TreeBuilder:
                 return self._close(tags, until)
 
     def _start(self, tag: str, attrs: str) -> None:
+        while tag in BREAKS_OUT and self.open[-1].holds_foreign():
+            self.open.pop()
         if tag in ENDS_P:
             self._close({"p"}, P_SCOPE)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, self.open[-1])
         self.open[-1].children.append(node)
-        if tag not in VOID and not (attrs.endswith("/") and tag in ("svg", "path", "math")):
+        if not (attrs.endswith("/") if node.foreign else tag in VOID):
             self.open.append(node)
 
     def _end(self, tag: str) -> None:
@@ -268,6 +290,16 @@ def _render(root, out: _Out, pre: bool) -> None:
             if shown:
                 out.text(_SPACE.sub(" ", shown))
             continue
+        if node.foreign:
+            line = tag in FOREIGN_BLOCK
+            if line:
+                out.brk()
+                todo.append((out.brk, pre))
+            for c in reversed(node.children):
+                todo.append((c, pre))
+                if tag in APART and isinstance(c, Node):
+                    todo.append((" ", False))
+            continue
         if tag not in BLOCK:
             todo.extend((c, pre) for c in reversed(node.children))
             continue

@@ -28,3 +28,19 @@ def test_rows(spark):
     pages = spark.createDataFrame([(1, "<p>x", "u"), (1, "<p>x", "u"), (None, None, "u")], "page_id long, html string, text string")
     assert sorted(map(tuple, html_extract(pages).collect()), key=repr) == [(1, "x", 1), (1, "x", 1), (None, "", 0)]
     assert html_extract(pages.limit(0)).count() == 0
+
+
+FOREIGN = [
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"), ("<math><semantics><mi>y</mi><annotation encoding='tex'>\\y</annotation></semantics></math>", "y"),
+    ("<math><mfrac><mi>a</mi><mi>b</mi></mfrac></math>", "a b"), ("<math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr><mtr><mtd>3</mtd><mtd>4</mtd></mtr></mtable></math>", "1 2\n3 4"),
+    ("x<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><style>no{}</style><text>one</text><rect/><text>t<tspan>wo</tspan></text></svg>y", "x\none\ntwo\ny"),
+    ("<svg><title/><defs/><style/><circle r=1 /><text>kept</text></svg><p>after", "kept\n\nafter"), ("<svg/>a<math/>b", "ab"), ("<svg><g><text>l<p>out", "l\n\nout"),
+    ("<svg><text display='none'>no</text><g visibility=hidden><text>no</text></g><foreignObject><p>in</p></foreignObject></svg>", "in"), ("<svg style='display:none'><text>no</text></svg>x", "x"),
+    ("<object data=a.swf><p>fallback</object>x", "fallback\n\nx"), ("<video>no</video><audio>no</audio><canvas>no</canvas><iframe>no</iframe><noscript>no</noscript>x", "x"),
+]
+
+
+def test_math_svg_and_fallbacks():
+    for html, want in FOREIGN:
+        assert extract_text(html) == want, html
+    assert extract_text("<svg>" + "<g>" * 20_000 + "<text>x") == "x"
