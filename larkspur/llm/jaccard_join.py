@@ -12,8 +12,10 @@ Shingles are 64-bit hashes of their words.  A class is named by a 64-bit hash of
 
 Defined results: a null or blank text has an empty set, is linked with nothing and is a
 component by itself; fewer words than a shingle's make one shingle; rows with one doc_id
-are told apart by their sets; null ids come last and give a null component if no other
-document is in it; an empty table gives no rows; other columns are ignored.
+are told apart by their sets; documents without an id come last, by a hash of their text,
+and give a null component if no document with one is in it; a text of any length is
+compared in all its words; an empty table gives no rows; other columns are ignored, and
+``keep_one`` keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.links import SMALL, Bound, bitmap, may_hold, mixed_bitmap, possible, similar_components, sketch, sketch_columns
-from larkspur.llm.packed import SCHEMA, pack, unpack
+from larkspur.llm.keys import KEY, KEY_SCHEMA, key_columns, text_column, unfolded, whole_rows
+from larkspur.llm.links import Bound, bitmap, may_hold, mixed_bitmap, possible, similar_components, sketch, sketch_columns, spread_join, with_both
+from larkspur.llm.packed import GROUPS, SMALL, SPREAD, key_groups, pack_spread
 from larkspur.llm.session import checkpoint, shuffle_partitions
 from larkspur.llm.text_hash import U, Words, doc_ngrams, mix, slices, utf8
 
-NO_ID = (1 << 63) - 1
 _KEY_BYTES = 5
 #: 64-bit words of a set's sketch.
 WORDS = 8
@@ -62,8 +64,9 @@ def _classes(k: int):
             if rows:
                 at, names, sizes, sketches = zip(*rows, strict=True)
                 parity = np.stack(sketches)
-                cols = [batch.column("k").take(pa.array(at)), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(parity[:, j]) for j in range(len(SKETCH))]]
-                yield pa.record_batch(cols, names=["k", "id", "n", *SKETCH])
+                at = pa.array(at)
+                cols = [batch.column("late").take(at), batch.column("k").take(at), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *[pa.array(parity[:, j]) for j in range(len(SKETCH))]]
+                yield pa.record_batch(cols, names=["late", "k", "id", "n", *SKETCH])
 
     return run
 
@@ -87,7 +90,7 @@ def _single(k: int, bound: Bound, n_buckets: int):
                 keys.append(s[: bound.prefix(len(s))])
                 ids.append(np.full(len(keys[-1]), name, np.int64))
             if keys:
-                yield pack(mix(np.concatenate(keys)), np.concatenate(ids), n_buckets, _KEY_BYTES)
+                yield pack_spread(mix(np.concatenate(keys)), np.concatenate(ids), n_buckets, _KEY_BYTES)
 
     return run
 
@@ -114,115 +117,105 @@ def _combined(n_buckets: int):
                 keys.append(mix(mix(t[:-1]) + t[1:]))
                 ids.append(np.full(len(keys[-1]), name, np.int64))
             if keys:
-                yield pack(np.concatenate(keys), np.concatenate(ids), n_buckets, _KEY_BYTES)
+                yield pack_spread(np.concatenate(keys), np.concatenate(ids), n_buckets, _KEY_BYTES)
 
     return run
 
 
-def key_groups(table: pa.Table, key_bytes: int, most: int | None) -> pa.Table:
-    """Distinct groups (members) of a bucket's keys; keys with more than ``most`` ids give these ids one by one as ``frequent``."""
-    keys, ids = unpack(table, key_bytes)
-    new = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])) if len(keys) else np.zeros(0, bool)
-    keys, ids = keys[new], ids[new]
-    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(cuts, len(keys)))
-    frequent = np.zeros(0, np.int64)
-    if most is not None:
-        frequent = np.unique(ids[np.repeat(sizes > most, sizes)])
-        cuts, sizes = cuts[sizes <= most], sizes[sizes <= most]
-    groups = {ids[a : a + n].tobytes() for a, n in zip(cuts[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True)}
-    members = [np.frombuffer(g, np.int64) for g in sorted(groups)]
-    return pa.table({"members": pa.array([*members, *[None] * len(frequent)], pa.list_(pa.int64())), "frequent": pa.array([None] * len(members) + frequent.tolist(), pa.int64())})
+def _own(k: int):
+    """Of rows (id, text), those whose text is the class's own, and not another one of its document's id."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            yield batch.filter(pa.array([set_name(s) == ids[i] for i, s in shingle_sets(batch.column("text"), k)], pa.bool_()))
+
+    return run
 
 
 def _compare(k: int, bound: Bound):
-    """The linked pairs among rows (a, b, text_a, text_b); a text that is not the class's own (another row of its doc_id) is passed over."""
+    """The linked pairs among rows (a, b, text_a, text_b)."""
 
     def run(batches):
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             keep = []
-            for (i, x), (_, y) in zip(shingle_sets(batch.column("text_a"), k), shingle_sets(batch.column("text_b"), k), strict=True):
-                inter = len(np.intersect1d(x, y, assume_unique=True))
-                if bound.linked(inter, len(x), len(y)) and set_name(x) == a[i] and set_name(y) == b[i]:
-                    keep.append(i)
-            yield pa.record_batch([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], names=["a", "b"])
+            for (_, x), (_, y) in zip(shingle_sets(batch.column("text_a"), k), shingle_sets(batch.column("text_b"), k), strict=True):
+                keep.append(bound.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-
-
 def class_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, k, component, first): for each class of docs (doc_id, text) its least doc key, its component's name and the least (k, id) in that."""
+    """(id, late, k, component): for each class of docs (doc_id, text) its first document's key and its component's name."""
     bound, n = Bound(num, den), shuffle_partitions(docs.sparkSession)
-    texts = keyed(docs)
+    texts = docs.select(*key_columns(), text_column().alias("text"))
     parity = ", ".join(f"{s} long" for s in SKETCH)
-    rows = texts.mapInArrow(_classes(k), f"k long, id long, n long, {parity}")
-    classes = checkpoint(rows.groupBy("id").agg(F.min("k").alias("k"), *[F.max(c).alias(c) for c in ("n", *SKETCH)]))
-    groups = "members array<long>, frequent long"
-    single = texts.mapInArrow(_single(k, bound, n), SCHEMA).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, SMALL), groups)
-    single = checkpoint(single)
-    frequent = single.where("frequent IS NOT NULL").select(F.col("frequent").alias("id")).distinct()
+    rows = texts.mapInArrow(_classes(k), f"{KEY_SCHEMA}, id long, n long, {parity}")
+    one = F.min(F.when(~F.col("late"), F.col("k"))), F.min(F.when(F.col("late"), F.col("k")))
+    classes = rows.groupBy("id").agg(one[0].alias("k"), one[1].alias("k_late"), *[F.max(c).alias(c) for c in ("n", *SKETCH)])
+    classes = checkpoint(classes.withColumn("late", F.col("k").isNull()).withColumn("k", F.coalesce("k", "k_late")).drop("k_late"))
+    single = texts.mapInArrow(_single(k, bound, n), SPREAD).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, SMALL), GROUPS)
+    single = checkpoint(single.groupBy("lid", "a", "b").agg(F.bool_or("hub").alias("hub")))
+    frequent = single.where("b IS NULL").select(F.col("a").alias("id")).distinct()
     extended = texts.mapInArrow(_prefixes(k, bound, mixed_bitmap(frequent, "id")), "id long, prefix binary").join(frequent, "id", "left_semi")
-    combined = extended.mapInArrow(_combined(n), SCHEMA).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, None), groups)
-    lists = checkpoint(single.where("members IS NOT NULL").select("members").union(combined.select("members")).distinct())
+    combined = extended.mapInArrow(_combined(n), SPREAD).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, None), GROUPS)
+    found = checkpoint(single.where("b IS NOT NULL").union(combined).groupBy("lid", "a", "b").agg(F.bool_or("hub").alias("hub")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "k"), "id")
-        found = possible(texts, "k", bitmap(need, "k")).join(need, "k").select("id", "text")
-        a, b = found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), found.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_compare(k, bound), "a long, b long").distinct()
+        need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", *KEY), "id")
+        need = checkpoint(need)
+        rows = possible(texts, "k", bitmap(need, "k")).join(need, KEY).select("id", "text")
+        items = rows.mapInArrow(_own(k), "id long, text string").dropDuplicates(["id"])
+        return with_both(pairs, items, "text").mapInArrow(_compare(k, bound), "a long, b long")
 
-    linked = similar_components(lists, classes.drop("k"), bound, verify)
-    named = classes.select("id", "k").join(linked, "id", "left").select("id", "k", F.coalesce("component", "id").alias("component"))
-    first = named.groupBy("component").agg(F.min(F.struct("k", "id")).alias("first"))
-    return named.join(first, "component").select("id", "k", "component", "first")
+    linked = similar_components(found, classes.drop(*KEY), bound, verify)
+    return checkpoint(classes.select("id", *KEY).join(linked, "id", "left").select("id", *KEY, F.coalesce("component", "id").alias("component")))
+
+
+def _firsts(classes: DataFrame) -> DataFrame:
+    """(component, late, k, id, n): the first class of each component, and how many it has."""
+    least = F.min(F.struct(*KEY, "id")).alias("f")
+    return classes.groupBy("component").agg(least, F.count("*").alias("n")).select("component", *[F.col("f").getField(c).alias(c) for c in (*KEY, "id")], "n")
 
 
 def _names(k: int):
-    """Adds a document key, the class's name and its set's size to all columns; an empty set is named after its document."""
+    """Adds a class's name and its set's size; an empty set is named after its document."""
 
     def run(batches):
         for batch in batches:
-            keys = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID)
-            own = mix(np.asarray(keys).view(U) + U(0x27D4EB2F165667C5)).view(np.int64)
+            own = mix(np.asarray(batch.column("k")).view(U) + U(0x27D4EB2F165667C5)).view(np.int64)
             sets = [(set_name(s) if len(s) else int(own[i]), len(s)) for i, s in shingle_sets(batch.column("text"), k)]
-            more = [keys, pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int64())]
-            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "_k", "_id", "_n"])
+            keep = [c for c in batch.schema.names if c != "text"]
+            more = [pa.array([s[j] for s in sets], pa.int64()) for j in (0, 1)]
+            yield pa.record_batch([*[batch.column(c) for c in keep], *more], names=[*keep, "id", "n"])
 
     return run
 
 
-def named(docs: DataFrame, k: int) -> DataFrame:
-    schema = docs.select("*", *[F.lit(None).cast("long").alias(c) for c in ("_k", "_id", "_n")]).schema
-    return docs.mapInArrow(_names(k), schema)
-
-
 def jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs (doc_id, text): links are num / den similar at least."""
-    rows = named(docs.select("doc_id", "text"), k).drop("text", "doc_id")
-    found = class_components(docs, k, num, den).select(F.col("id").alias("_id"), F.col("first.k").alias("_first"))
-    known = lambda c: F.when(c != NO_ID, c)
-    return rows.join(found, "_id", "left").select(
-        known(F.col("_k")).alias("doc_id"),
-        F.col("_n").alias("n_shingles"),
-        known(F.coalesce("_first", "_k")).alias("component_id"),
-    )
+    rows = docs.select(*key_columns(), text_column().alias("text")).mapInArrow(_names(k), f"{KEY_SCHEMA}, id long, n long")
+    classes = class_components(docs, k, num, den)
+    first = checkpoint(_firsts(classes))
+    first_of = F.when(~F.col("first_late"), F.col("first_k"))
+    named = spread_join(classes.select("id", "component"), first.select("component", F.col("late").alias("first_late"), F.col("k").alias("first_k")), "component", sizes=first.select("component", "n"))
+    own = F.when(~F.col("late"), F.col("k"))
+    # The rows of a large class of copies are spread; empty sets have no class and are components by themselves.
+    rows = checkpoint(rows)
+    linked = spread_join(rows.where("n > 0"), checkpoint(named), "id").select(own.alias("doc_id"), F.col("n").alias("n_shingles"), first_of.alias("component_id"))
+    return linked.union(rows.where("n = 0").select(own.alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of docs for each component: that of its least doc_id. Empty texts stay, one for each doc_id.
+    """One row of docs for each component: that of its first document. Empty texts stay, one for each doc_id.
 
-    The rows meet the verdicts by doc_id and set, so that no large class meets in one task.
+    The rows meet the verdicts by document and set, so that no large class meets in one task.
     """
-    rows = named(docs, k)
-    classes = class_components(docs, k, num, den)
-    keep = classes.where("k = first.k AND id = first.id").select(F.col("k").alias("_k"), F.col("id").alias("_id"), F.lit(True).alias("_keep"))
-    rows = rows.join(keep, ["_k", "_id"], "left").where("_keep OR _n = 0").dropDuplicates(["_k", "_id"])
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = whole_rows(docs).mapInArrow(_names(k), whole_rows(docs).drop("text").withColumns({"id": F.lit(0).cast("long"), "n": F.lit(0).cast("long")}).schema)
+    keep = _firsts(class_components(docs, k, num, den)).select(*KEY, "id", F.lit(True).alias("keep"))
+    rows = rows.join(keep, [*KEY, "id"], "left").where("keep OR n = 0").dropDuplicates([*KEY, "id"])
+    return unfolded(rows, docs)
 
 
 # --- the registered query -------------------------------------------------

@@ -1,134 +1,189 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard, distributed union-find.
 
 A line is what stands between newlines; lines without a word are left alone.  A line's
-set is its distinct runs of ``SHINGLE`` bytes (a shorter line is one shingle), blanks
+set is its distinct runs of ``SHINGLE`` characters (a shorter line is one shingle), blanks
 collapsed and ASCII letters lower-cased.  Lines with equal such forms are one item.
 MinHash signatures of ROWS * BANDS values are cut into bands; lines that share a band
 are a group, and groups go through sketches to exact Jaccard indexes and to connected
 components (see ``links``).  Of each component the first line of the corpus, by doc_id
 and then by place, stays; the others are cut from their documents.
 
-What still links: of n distinct shingles, n = bytes - 4 if none repeats, an edit that
+What still links: of n distinct shingles, n = characters - 4 if none repeats, an edit that
 drops d and brings d others leaves (n - d) / (n + d), so at 0.8 d may be n / 9.  One
-changed ASCII character drops 5 and links lines of 49 bytes or more (53 if it becomes a
-two-byte letter); a replaced word of 6 letters drops 10 and links lines of 94 or more.
-Nearer an end an edit drops fewer: a changed last character links lines of 13 or more.
-Shingles are bytes, so that letters of several bytes weigh more than others.
+changed character, of whatever script, drops 5 and links lines of 49 characters or more; a
+replaced word of 6 letters drops 10 and links lines of 94 or more.  Nearer an end an edit
+drops fewer: a changed last character links lines of 13 or more.
 
-At similarity 0.8 the bands find 1 - (1 - 0.8 ** ROWS) ** BANDS of the pairs: 0.9982.
-An item is named by a 64-bit hash of its form.
+At similarity 0.8 the bands find 1 - (1 - 0.8 ** ROWS) ** BANDS of the pairs: 0.994.
+An item is named by a 64-bit hash of its form, and shingles are compared by 64-bit hashes.
 
 Defined results: a null text stays null and has no lines; documents with one doc_id
-count as one for order, and each of them keeps the lines that are first there; null ids
-come last; an empty table gives no rows; other columns are kept as they are.
+count as one for order, and each of them keeps the lines that are first there; documents
+without an id come last, by a hash of their text, and count as one if their texts are
+equal; a text of any length is compared in all its lines, and a line in all its
+characters; an empty table gives no rows; other columns are kept as they are, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
+from collections import OrderedDict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.jaccard_join import key_groups
-from larkspur.llm.links import Bound, may_hold, mixed_bitmap, similar_components, sketch, sketch_columns
-from larkspur.llm.packed import SCHEMA, pack
+from larkspur.llm.keys import KEY, KEY_SCHEMA, key_columns, text_column, whole_rows
+from larkspur.llm.links import Bound, may_hold, mixed_bitmap, similar_components, sketch, sketch_columns, spread_join, with_both
+from larkspur.llm.packed import GROUPS, SPREAD, key_groups, pack_spread
 from larkspur.llm.session import checkpoint, shuffle_partitions
-from larkspur.llm.text_hash import U, mix
+from larkspur.llm.text_hash import U, mix, powers
 
 SHINGLE = 5
-ROWS, BANDS = 4, 12
-NO_ID = (1 << 63) - 1
+ROWS, BANDS = 7, 22
 _KEY_BYTES = 5
 #: 64-bit words of a line's sketch: lines have some hundred shingles, of which linked ones may lack many.
 SKETCH = sketch_columns(32)
-#: Bytes of lines whose signatures are made at once, so that the work stays in the cache.
+#: Shingles whose signatures are made at once, so that the work stays in the cache.
 _CHUNK = 60_000
+#: Bytes of text that are worked on at once; one text is never split.
+_SLICE = 1_000_000
+_STEP = 0xD6E8FEB86659FD93
 
 
-_PLAIN = bytes(32 if b in b"\t\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
+@lru_cache(1)
+def _weights() -> np.ndarray:
+    return mix(np.arange(1, SHINGLE + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-def form(line: bytes) -> bytes:
-    """What of a line is compared: words joined by one space, A-Z lower-cased."""
-    line = line.translate(_PLAIN).strip(b" ")
-    return b" ".join(line.split()) if b"  " in line else line
+@lru_cache(2)
+def _inverse_powers(n: int) -> np.ndarray:
+    out = np.full(n, pow(_STEP, -1, 1 << 64), U)
+    out[0] = 1
+    return np.cumprod(out, dtype=U)
 
 
-def name_of(forms: list[bytes]) -> np.ndarray:
-    """64-bit names of forms."""
-    return np.frombuffer(b"".join([blake2b(f, digest_size=8).digest() for f in forms]), "<i8")
-
-
-def shingles(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes, first of each form) of the SHINGLE-byte runs of some non-empty forms."""
-    joined = np.frombuffer(b"".join(f.ljust(SHINGLE, b"\0") for f in forms), np.uint8)
-    size = np.maximum([len(f) for f in forms], SHINGLE)
-    ends = np.cumsum(size)
-    words = np.zeros(len(joined) - SHINGLE + 1, U)
-    for i in range(SHINGLE):
-        words |= joined[i : len(joined) - SHINGLE + 1 + i].astype(U) << U(8 * i)
-    counts = size - SHINGLE + 1
-    first = np.cumsum(counts) - counts
-    at = np.repeat(ends - size - first, counts) + np.arange(int(counts.sum()))
-    return mix(words[at] * U(0x9E3779B97F4A7C15)), first
-
-
-def band_keys(forms: list[bytes]) -> np.ndarray:
-    """A row of BANDS 64-bit keys for each form."""
-    seeds = mix(np.arange(1, 2 * ROWS * BANDS + 1, dtype=U)).astype(np.uint32)
-    out = np.empty((len(forms), BANDS), U)
+def _slices(texts: list[bytes | None]):
+    """(first, texts) of runs of texts of a bounded size, null as empty."""
+    part, size, first = [], 0, 0
+    for i, t in enumerate(texts):
+        if part and size + len(t or b"") > _SLICE:
+            yield first, part
+            part, size, first = [], 0, i
+        part.append(t or b"")
+        size += len(part[-1])
+    if part:
+        yield first, part
+
+
+class Lines:
+    """All lines of some texts: their forms as code points, from start on, size of them; per_text lines to a text."""
+
+    def __init__(self, texts: list[bytes]):
+        self.per_text = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+        c = np.frombuffer(b"\n".join(texts).decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+        low = np.arange(128, dtype=np.uint32)
+        low[65:91] += 32
+        low[[9, 11, 12, 13]] = 32
+        c = np.where(c < 128, low[c & 127], c)
+        for after in (False, True):  # blanks after a blank or at a line's start, then those at its end
+            bare = (c == 32) | (c == 10) if not after else c == 10
+            drop = c == 32
+            if after:
+                drop[:-1] &= bare[1:]
+            else:
+                drop[1:] &= bare[:-1]
+            if drop.any():
+                c = c[~drop]
+        self.points = c
+        ends = np.append(np.flatnonzero(c == 10), len(c))
+        self.start = np.concatenate([[0], ends[:-1] + 1])
+        self.size = ends - self.start
+        counts = np.where(self.size > 0, np.maximum(self.size - SHINGLE + 1, 1), 0)
+        padded = np.concatenate([c, np.zeros(SHINGLE, c.dtype)]).astype(U)
+        weights = _weights()
+        h = padded[: len(c)] * weights[0]
+        for j in range(1, SHINGLE):
+            h += padded[j : j + len(c)] * weights[j]
+        for s, n in zip(self.start[(self.size > 0) & (self.size < SHINGLE)], self.size[(self.size > 0) & (self.size < SHINGLE)], strict=True):
+            h[s] = (padded[s : s + n] * weights[:n]).sum(dtype=U)
+        full = np.flatnonzero(self.size)
+        self.full, self.counts = full, counts[full]
+        self.first = np.cumsum(self.counts) - self.counts
+        self.hashes = mix(h[np.repeat(self.start[full] - self.first, self.counts) + np.arange(int(self.counts.sum()))])
+
+    def names(self) -> np.ndarray:
+        """64-bit names of the lines that have a word."""
+        if not len(self.full):
+            return np.zeros(0, np.int64)
+        n = 1 << max(20, len(self.hashes).bit_length())
+        total = np.add.reduceat(self.hashes * powers(n)[: len(self.hashes)], self.first) * _inverse_powers(n)[self.first]
+        return mix(total + self.counts.astype(U)).view(np.int64)
+
+    def sets(self, which):
+        """The distinct shingles of some of the lines that have a word."""
+        for i in which:
+            yield np.unique(self.hashes[self.first[i] : self.first[i] + self.counts[i]])
+
+    def form(self, i: int) -> str:
+        s = self.start[self.full[i]]
+        return self.points[s : s + self.size[self.full[i]]].tobytes().decode("utf-32-le")
+
+
+def band_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
+    """A row of BANDS 64-bit keys for each of some of the lines that have a word."""
+    n = ROWS * BANDS
+    seeds = mix(np.arange(1, 2 * n + 1, dtype=U)).astype(np.uint32)
+    least = np.empty((n, len(which)), np.uint32)
+    ends = np.cumsum(lines.counts[which])
     at = 0
-    while at < len(forms):
-        end, size = at, 0
-        while end < len(forms) and (end == at or size + len(forms[end]) <= _CHUNK):
-            size += len(forms[end])
-            end += 1
-        h, first = shingles(forms[at:end])
-        h = (h >> U(32)).astype(np.uint32)
-        for b in range(BANDS):
-            key = np.full(end - at, b + 1, U)
-            for r in range(ROWS):
-                i = b * ROWS + r
-                key = mix(key * U(31) + np.minimum.reduceat(h * (seeds[2 * i] | np.uint32(1)) ^ seeds[2 * i + 1], first))
-            out[at:end, b] = key
+    while at < len(which):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + _CHUNK, "right")))
+        counts = lines.counts[which[at:end]]
+        first = np.cumsum(counts) - counts
+        h = (lines.hashes[np.repeat(lines.first[which[at:end]] - first, counts) + np.arange(int(counts.sum()))] >> U(32)).astype(np.uint32)
+        out = np.empty_like(h)
+        for i in range(n):
+            np.multiply(h, seeds[2 * i] | np.uint32(1), out=out)
+            np.bitwise_xor(out, seeds[2 * i + 1], out=out)
+            least[i, at:end] = np.minimum.reduceat(out, first)
         at = end
-    return out
+    keys = np.empty((len(which), BANDS), U)
+    for b in range(BANDS):
+        key = np.full(len(which), b + 1, U)
+        for r in range(ROWS):
+            key = mix(key * U(31) + least[b * ROWS + r])
+        keys[:, b] = key
+    return keys
 
 
-def _lines(text: bytes | None) -> list[tuple[int, bytes]]:
-    """(place, form) of a text's lines that have a word."""
-    plain = (text or b"").translate(_PLAIN)
-    return [(i, b" ".join(f.split()) if b"  " in f else f) for i, x in enumerate(plain.split(b"\n")) if (f := x.strip(b" "))]
+def _bytes_of(column) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
 
 
-def _bytes_of(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.binary()).to_pylist()
-
-
-def _distinct(texts, limit: int = 4_000_000):
-    """Distinct forms of a batch, some megabytes at a time."""
-    seen, part, size = set(), [], 0
-    for t in texts:
-        for _, f in _lines(t):
-            if f not in seen:
-                seen.add(f)
-                part.append(f)
-                size += len(f)
-        if size > limit:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def _distinct(batch: pa.RecordBatch):
+    """(Lines, names, which): the lines of a batch that were not there before in it."""
+    seen = np.zeros(0, np.int64)
+    for _, texts in _slices(_bytes_of(batch.column("text"))):
+        lines = Lines(texts)
+        names, which = np.unique(lines.names(), return_index=True)
+        new = ~np.isin(names, seen)
+        seen = np.concatenate([seen, names[new]])
+        yield lines, names[new], which[new]
 
 
 def _send_bands(n_buckets: int):
     def run(batches):
         for batch in batches:
-            for forms in _distinct(_bytes_of(batch)):
-                yield pack(band_keys(forms).reshape(-1), np.repeat(name_of(forms), BANDS), n_buckets, _KEY_BYTES)
+            keys, ids = [], []
+            for lines, names, which in _distinct(batch):
+                keys.append(band_keys(lines, which).reshape(-1))
+                ids.append(np.repeat(names, BANDS))
+            if keys:
+                yield pack_spread(np.concatenate(keys), np.concatenate(ids), n_buckets, _KEY_BYTES)
 
     return run
 
@@ -138,37 +193,59 @@ def _forms(wanted):
 
     def run(batches):
         for batch in batches:
-            for forms in _distinct(_bytes_of(batch)):
-                ids = name_of(forms)
-                at = np.flatnonzero(may_hold(wanted.value, ids))
-                yield pa.record_batch([pa.array(ids[at]), pa.array([forms[i] for i in at], pa.binary())], names=["id", "form"])
+            for lines, names, which in _distinct(batch):
+                at = np.flatnonzero(may_hold(wanted.value, names))
+                yield pa.record_batch([pa.array(names[at]), pa.array([lines.form(i) for i in which[at]], pa.string())], names=["id", "form"])
 
     return run
 
 
-def _set_of(f: bytes) -> np.ndarray:
-    return np.unique(shingles([f])[0])
-
-
 def _attributes(batches):
     for batch in batches:
-        sets = [_set_of(f) for f in batch.column("form").to_pylist()]
-        parity = np.stack([sketch(s, len(SKETCH)) for s in sets]) if sets else np.zeros((0, len(SKETCH)), np.int64)
-        yield pa.record_batch([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), *[pa.array(parity[:, j]) for j in range(len(SKETCH))]], names=["id", "n", *SKETCH])
+        sizes, parity = [], []
+        for _, forms in _slices(_bytes_of(batch.column("form"))):
+            lines = Lines(forms)
+            for s in lines.sets(range(len(lines.full))):
+                sizes.append(len(s))
+                parity.append(sketch(s, len(SKETCH)))
+        parity = np.stack(parity) if parity else np.zeros((0, len(SKETCH)), np.int64)
+        yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), *[pa.array(parity[:, j]) for j in range(len(SKETCH))]], names=["id", "n", *SKETCH])
+
+
+class _Sets:
+    """The shingle sets of forms; those used last are kept, up to ``most`` shingles."""
+
+    def __init__(self, most: int = 4_000_000):
+        self.kept: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.size, self.most = 0, most
+
+    def add(self, names: list[int], forms: list[bytes]) -> None:
+        new = {k: f for k, f in zip(names, forms, strict=True) if k not in self.kept}
+        for at, part in _slices(list(new.values())):
+            lines = Lines(part)
+            for k, s in zip(list(new)[at : at + len(part)], lines.sets(range(len(part))), strict=True):
+                self.kept[k] = s
+                self.size += len(s)
+
+    def shrink(self) -> None:
+        while self.size > self.most:
+            self.size -= len(self.kept.popitem(last=False)[1])
 
 
 def _compare(bound: Bound):
     def run(batches):
+        sets = _Sets()
         for batch in batches:
-            a, b = np.asarray(batch.column("a"), np.int64), np.asarray(batch.column("b"), np.int64)
-            keep = np.zeros(len(a), bool)
-            last, x = None, None
-            for i, (f, g) in enumerate(zip(batch.column("form_a").to_pylist(), batch.column("form_b").to_pylist(), strict=True)):
-                if f != last:
-                    last, x = f, _set_of(f)
-                y = _set_of(g)
-                keep[i] = bound.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
-            yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                sets.add(a + b, _bytes_of(part.column("form_a")) + _bytes_of(part.column("form_b")))
+                keep = []
+                for i, (p, q) in enumerate(zip(a, b, strict=True)):
+                    x, y = sets.kept[p], sets.kept[q]
+                    keep.append(bound.linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+                sets.shrink()
+                yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
 
@@ -176,45 +253,56 @@ def _compare(bound: Bound):
 def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """(id, component) of the lines of docs that are similar to another line."""
     bound, n = Bound(num, den), shuffle_partitions(docs.sparkSession)
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    groups = texts.mapInArrow(_send_bands(n), SCHEMA).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, None), "members array<long>, frequent long")
-    lists = checkpoint(groups.select("members").distinct())
-    some = lists.select(F.explode("members").alias("id")).distinct()
-    forms = texts.mapInArrow(_forms(mixed_bitmap(some, "id")), "id long, form binary").join(some, "id", "left_semi").dropDuplicates(["id"])
+    texts = docs.select(text_column().alias("text"))
+    groups = texts.mapInArrow(_send_bands(n), SPREAD).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, None), GROUPS)
+    found = checkpoint(groups.groupBy("lid", "a", "b").agg(F.bool_or("hub").alias("hub")))
+    some = found.select(F.explode(F.when(F.col("lid").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("id")).distinct()
+    some = checkpoint(some)
+    forms = texts.mapInArrow(_forms(mixed_bitmap(some, "id")), "id long, form string").join(some, "id", "left_semi").dropDuplicates(["id"])
     forms = checkpoint(forms)
-    attrs = forms.mapInArrow(_attributes, ", ".join(["id long", "n long", *[f"{s} long" for s in SKETCH]]))
+    attrs = checkpoint(forms.mapInArrow(_attributes, ", ".join(["id long", "n long", *[f"{s} long" for s in SKETCH]])))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a, b = forms.select(F.col("id").alias("a"), F.col("form").alias("form_a")), forms.select(F.col("id").alias("b"), F.col("form").alias("form_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "form_a", "form_b").mapInArrow(_compare(bound), "a long, b long")
+        return with_both(pairs, forms, "form").mapInArrow(_compare(bound), "a long, b long")
 
-    return similar_components(lists, attrs, bound, verify)
+    return similar_components(found, attrs, bound, verify)
 
 
 def _occurrences(batches):
     """The lines of each document, once each."""
     for batch in batches:
-        ids, names = [], []
-        for k, t in zip(batch.column("k").to_pylist(), _bytes_of(batch), strict=True):
-            mine = np.unique(name_of([f for _, f in _lines(t)]))
-            names.append(mine)
-            ids.append(np.full(len(mine), k, np.int64))
-        if ids:
-            yield pa.record_batch([pa.array(np.concatenate(ids)), pa.array(np.concatenate(names))], names=["k", "id"])
-
-
-def _key(docs: DataFrame):
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+        rows, names = [], []
+        for at, texts in _slices(_bytes_of(batch.column("text"))):
+            lines = Lines(texts)
+            name = lines.names()
+            row = np.repeat(np.arange(len(texts)), lines.per_text)[lines.full]
+            order = np.lexsort((name, row))
+            new = np.ones(len(order), bool)
+            new[1:] = (name[order][1:] != name[order][:-1]) | (row[order][1:] != row[order][:-1])
+            rows.append(row[order[new]] + at)
+            names.append(name[order[new]])
+        if rows:
+            at = pa.array(np.concatenate(rows))
+            yield pa.record_batch([batch.column("late").take(at), batch.column("k").take(at), pa.array(np.concatenate(names))], names=["late", "k", "id"])
 
 
 def line_verdicts(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """(k, lines): for each document key the lines (id, component, first) that are not simply the first of their kind."""
+    """(late, k, lines): for each document key the lines (id, component, first) that are not simply the first of their kind.
+
+    Where a component is first is found from its distinct lines; the rows of a frequent line meet its verdict in several tasks.
+    """
     found = line_components(docs, num, den)
-    rows = checkpoint(docs.select(_key(docs).alias("k"), F.col("text").cast("string").alias("text")).mapInArrow(_occurrences, "k long, id long"))
-    rows = rows.join(found, "id", "left").select("k", "id", F.coalesce("component", "id").alias("component"))
-    first = rows.groupBy("component").agg(F.min("k").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "component").select("k", F.struct("id", "component", (F.col("k") == F.col("first")).alias("first")).alias("line"))
-    return rows.groupBy("k").agg(F.collect_list("line").alias("lines"))
+    rows = checkpoint(docs.select(*key_columns(), text_column().alias("text")).mapInArrow(_occurrences, f"{KEY_SCHEMA}, id long"))
+    k, late = F.col("k"), F.col("late")
+    own = rows.groupBy("id").agg(F.min(F.when(~late, k)).alias("least"), F.min(F.when(late, k)).alias("least_late"), F.count("*").alias("n"))
+    own = checkpoint(own.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    first = own.groupBy("component").agg(F.min("least").alias("least"), F.min("least_late").alias("least_late"), F.count("*").alias("ids"), F.sum("n").alias("n"))
+    first = checkpoint(first.where("n > 1"))
+    verdict = spread_join(own.select("id", "component"), first.select("component", "least", "least_late"), "component", sizes=first.select("component", F.col("ids").alias("n")))
+    rows = spread_join(rows, checkpoint(verdict), "id", sizes=own.select("id", "n"))
+    is_first = F.when(late, F.col("least").isNull() & (k == F.col("least_late"))).otherwise(F.coalesce(k == F.col("least"), F.lit(False)))
+    line = F.struct("id", "component", is_first.alias("first")).alias("line")
+    return rows.select(*KEY, line).groupBy(*KEY).agg(F.collect_list("line").alias("lines"))
 
 
 def _cut(names: list[str], add_counts: bool):
@@ -222,19 +310,33 @@ def _cut(names: list[str], add_counts: bool):
 
     def run(batches):
         for batch in batches:
+            row = batch.column("row")
+            old = _bytes_of(batch.column("text"))
+            verdicts = batch.column("lines").to_pylist()
             texts, counts = [], []
-            for t, lines in zip(_bytes_of(batch), batch.column("_lines").to_pylist(), strict=True):
-                at = _lines(t)
-                verdict = {x["id"]: (x["component"], x["first"]) for x in lines or ()}
-                seen, gone = set(), set()
-                for (i, _), name in zip(at, name_of([f for _, f in at]).tolist(), strict=True):
-                    component, first = verdict.get(name, (name, True))
-                    if not first or component in seen:
-                        gone.add(i)
-                    seen.add(component)
-                texts.append(b"\n".join([x for i, x in enumerate(t.split(b"\n")) if i not in gone]) if gone else t)
-                counts.append((len(at), len(gone)))
-            out = [pa.array(texts, pa.binary()).cast(pa.string()) if c == "text" else batch.column(c) for c in names]
+            for at, part in _slices(old):
+                lines = Lines(part)
+                name = lines.names().tolist()
+                row_ends = np.cumsum(lines.per_text)
+                cuts = np.searchsorted(lines.full, row_ends)
+                lo = 0
+                for i in range(len(part)):
+                    hi = int(cuts[i])
+                    begin = int(row_ends[i] - lines.per_text[i])
+                    verdict = {x["id"]: (x["component"], x["first"]) for x in verdicts[at + i] or ()}
+                    seen, gone = set(), set()
+                    plain = not verdict and len(set(name[lo:hi])) == hi - lo
+                    for j in () if plain else range(lo, hi):
+                        component, first = verdict.get(name[j], (name[j], True))
+                        if not first or component in seen:
+                            gone.add(int(lines.full[j]) - begin)
+                        seen.add(component)
+                    text = old[at + i]
+                    texts.append(b"\n".join([x for p, x in enumerate(text.split(b"\n")) if p not in gone]) if gone else text)
+                    counts.append((hi - lo, len(gone)))
+                    lo = hi
+            new = pa.array(texts, pa.binary()).cast(pa.string())
+            out = [new if c == "text" else row.field(i) for i, c in enumerate(names)]
             if add_counts:
                 out += [pa.array([c[j] for c in counts], pa.int64()) for j in (0, 1)]
             yield pa.record_batch(out, names=[*names, *(["n_lines", "n_removed"] if add_counts else [])])
@@ -244,11 +346,10 @@ def _cut(names: list[str], add_counts: bool):
 
 def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, counts: bool = False) -> DataFrame:
     """docs with the text of every row deduplicated; with counts, also n_lines and n_removed."""
-    verdicts = line_verdicts(docs, num, den).select(F.col("k").alias("_key"), F.col("lines").alias("_lines"))
-    rows = docs.withColumn("text", F.col("text").cast("string")).withColumn("_key", _key(docs)).join(verdicts, "_key", "left").drop("_key")
-    schema = docs.withColumn("text", F.col("text").cast("string"))
+    rows = whole_rows(docs).join(line_verdicts(docs, num, den), KEY, "left").select("row", "text", "lines")
+    schema = docs.withColumn("text", text_column())
     if counts:
-        schema = schema.withColumns({"n_lines": F.lit(None).cast("long"), "n_removed": F.lit(None).cast("long")})
+        schema = schema.select("*", *[F.lit(None).cast("long").alias(c) for c in ("n_lines", "n_removed")])
     return rows.mapInArrow(_cut(docs.columns, counts), schema.schema)
 
 

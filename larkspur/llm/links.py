@@ -3,12 +3,14 @@
 Items are distinct sets (of shingles) named by 64-bit ids, with a size and a parity
 sketch of some hundred bits: the sets of two items differ in at least as many elements
 as their sketches differ in bits, so a pair whose sketches differ too much is dropped
-without loss.  In a small group each item is first compared with the least one, in a
-large group with hubs, the least items of those still alone; their links are verified
-and joined into components.  Then, round by round, only pairs across components are looked
-at, the nearest few of each two components; rounds end when no pair across components
-is left untested.  No step emits all pairs of a group, and groups larger than ``BLOCK``
-are dealt out by pairs of blocks.
+without loss.  In a small group each item is first compared with the least one, in the
+parts of a large group with hubs, the least items of those still alone; their links are
+verified and joined into components.  Then, round by round, only pairs across components
+are looked at, the nearest few of each two components: a large group that is one component
+by now is done, and of any other only the items outside its largest component are dealt
+out against all, block by block.  Rounds end when no pair across components is left
+untested.  No step emits all pairs of a group, and no join brings all rows of a frequent
+key to one task.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.packed import BLOCK
 from larkspur.llm.session import checkpoint, shuffle_partitions
 
-SMALL = 8
-BLOCK = 2048
+#: Frequent keys are split once they have more than this and one HOT_SHARE-th of all rows.
+SPLIT = 1024
+HOT_SHARE = 4096
 
 
 def sketch_columns(words: int) -> list[str]:
@@ -36,22 +40,53 @@ def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame | None = None, total: int | None = None, by: str | None = None) -> DataFrame:
+    """left joined with right, which has one row a key; a key with many left rows is met in several tasks.
+
+    sizes: (key, n), the left rows of each key; total: all of them; both are counted here if not given.
+    At most HOT_SHARE keys can have more than one HOT_SHARE-th of the rows, so that the broadcast list of split keys is small.
+    by: a column of left by which rows of one key are split, else all.
+    """
+    total = left.count() if total is None else total
+    if total <= 16 * SPLIT:
+        return left.join(right, key)
+    most = max(SPLIT, total // HOT_SHARE)
+    sizes = left.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
+    parts = F.ceil(F.col("n") / F.lit(most)).cast("int").alias("_parts")
+    hot = F.broadcast(checkpoint(sizes.where(F.col("n") > most).select(key, parts)))
+    salt = F.pmod(F.xxhash64(*([by] if by else [c for c in left.columns if c != key])), F.coalesce("_parts", F.lit(1))).cast("int")
+    many = left.join(hot, key, "left").withColumn("_salt", salt).drop("_parts")
+    one = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return many.join(one, [key, "_salt"]).drop("_salt")
+
+
+def with_both(pairs: DataFrame, items: DataFrame, what: str) -> DataFrame:
+    """Pairs (a, b) with the column ``what`` of both their items (id, what); an item of many pairs is met in several tasks."""
+    total, out = pairs.count(), pairs
+    for x, y in (("a", "b"), ("b", "a")):
+        one = items.select(F.col("id").alias(x), F.col(what).alias(f"{what}_{x}"))
+        out = spread_join(out, one, x, pairs.groupBy(x).agg(F.count("*").alias("n")), total, by=y)
+    return out.select("a", "b", f"{what}_a", f"{what}_b")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component), the least id reachable, for every id of edges (a, b); by alternating stars, checkpointed each round."""
     e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = checkpoint(e), None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        stats = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        stats = checkpoint(stats)
+        large = spread_join(both.where("v > u"), stats.select("u", "m"), "u", sizes=stats.select("u", "n"))
+        large = checkpoint(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        stats = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = spread_join(large, stats.select("u", "m"), "u", sizes=stats.select("u", "n")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = checkpoint(small.union(stats.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return checkpoint(e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
 
 
 def _bits(keys: DataFrame, h, most_bits: int):
@@ -117,34 +152,12 @@ class Bound:
         return (apart * (self.den + self.num) <= (na + nb) * (self.den - self.num)) & (na * self.num <= nb * self.den) & (nb * self.num <= na * self.den)
 
 
-def _deal(across: bool):
-    """Members of large groups by block, or by pair of blocks."""
-
-    def run(batches):
-        for batch in batches:
-            group, side, ids = [], [], []
-            lids = np.asarray(batch.column("lid"), np.int64)
-            for lid, members in zip(lids.tolist(), batch.column("members"), strict=True):
-                m = np.sort(np.asarray(members.values, np.int64))
-                parts = np.array_split(m, -(-len(m) // BLOCK))
-                for i in range(len(parts)):
-                    for j in range(i, len(parts) if across else i + 1):
-                        for k in {i, j}:
-                            group.append(np.full(len(parts[k]), (lid ^ (i << 20 | j)) & 0x7FFFFFFFFFFFFFFF))
-                            side.append(np.full(len(parts[k]), 0 if k == i else 1, np.int32))
-                            ids.append(parts[k])
-            if ids:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (group, side, ids)], names=["g", "side", "id"])
-
-    return run
-
-
 def _groups(table: pa.Table, names: list[str]):
-    """Arrays of each group of a bucket, by id."""
+    """Arrays of each group g of a bucket, by id."""
     sketches = [c for c in table.column_names if c[0] == "s" and c[1:].isdigit()]
     g, ids = (np.asarray(table.column(x), np.int64) for x in ("g", "id"))
     order = np.lexsort((ids, g))
-    cols = {x: np.asarray(table.column(x), np.int64)[order] for x in ["g", "side", "id", "n", *names]}
+    cols = {x: np.asarray(table.column(x), np.int64)[order] for x in ["g", "id", "n", *names]}
     cols["s"] = np.stack([np.asarray(table.column(x), np.int64)[order] for x in sketches], 1).view(np.uint64)
     cuts = np.flatnonzero(np.append(True, cols["g"][1:] != cols["g"][:-1])) if len(g) else []
     for a, b in zip(cuts, np.append(cuts[1:], len(g)), strict=True):
@@ -192,15 +205,12 @@ def _across(bound: Bound, most: int):
 
     def run(table: pa.Table) -> pa.Table:
         out = []
-        for x in _groups(table, ["component"]):
-            c, two = x["component"], x["side"].any()
-            values, counts = np.unique(c, return_counts=True)
-            if len(values) < 2:
-                continue
-            main, found = values[np.argmax(counts)], []
-            for i in np.flatnonzero((x["side"] == 0) if two else (c != main)):
-                to = (c != c[i]) & ((x["side"] == 1) if two else ((c == main) | (x["id"] > x["id"][i])))
-                near = np.flatnonzero(to)
+        for x in _groups(table, ["component", "outside", "right"]):
+            c, found = x["component"], []
+            right = np.flatnonzero(x["right"])
+            for i in np.flatnonzero(x["right"] == 0):
+                # two items outside the largest component meet on both sides, and count once
+                near = right[(c[right] != c[i]) & ((x["outside"][right] == 0) | (x["id"][right] > x["id"][i]))]
                 apart = _apart(x["s"][i], x["s"][near])
                 fits = bound.may(apart, x["n"][i], x["n"][near])
                 near, apart = near[fits], apart[fits]
@@ -218,37 +228,52 @@ def _across(bound: Bound, most: int):
     return run
 
 
-def similar_components(lists: DataFrame, attrs: DataFrame, bound: Bound, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _dealt(large: DataFrame, known: DataFrame, n_buckets: int):
+    """The large groups of several components, dealt out: items outside the largest component against all of their group."""
+    rows = checkpoint(large.select("lid", "id").distinct().join(known.select("id", "component"), "id"))
+    parts = rows.groupBy("lid", "component").agg(F.count("*").alias("n"))
+    shape = parts.groupBy("lid").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("others"))
+    shape = checkpoint(shape.where("others > 0"))
+    sides = [F.ceil(F.col(c) / F.lit(BLOCK)).cast("int").alias(to) for c, to in (("others", "outer"), ("n", "all"))]
+    rows = spread_join(rows, shape.select("lid", "main", *sides), "lid", sizes=shape.select("lid", "n"))
+    block = lambda seed, n: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = rows.withColumn("outside", (F.col("component") != F.col("main")).cast("long"))
+    left = rows.where("outside = 1").select("id", "lid", "outside", block(1, "outer").alias("i"), every("all").alias("j"), F.lit(0).cast("long").alias("right"))
+    right = rows.select("id", "lid", "outside", every("outer").alias("i"), block(2, "all").alias("j"), F.lit(1).cast("long").alias("right"))
+    dealt = left.union(right).select("id", "outside", "right", F.xxhash64("lid", "i", "j").alias("g")).join(known, "id")
+    return dealt.groupBy(F.pmod(F.xxhash64("g"), F.lit(n_buckets)).alias("bucket"))
+
+
+def similar_components(found: DataFrame, attrs: DataFrame, bound: Bound, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) of the linked items.
 
-    lists: (members array<long>), groups such that any linked pair is in one; they are read several times.
-    attrs: (id, n, s0, s1, ...).  verify keeps the linked pairs of a DataFrame (a, b).
+    found: (lid, a, b, hub) as ``key_groups`` gives them, once each; any linked pair is one of its pairs or in one of its lists.
+    attrs: (id, n, s0, s1, ...).  Both are read several times.  verify keeps the linked pairs of a DataFrame (a, b).
     """
-    spark = lists.sparkSession
+    spark = found.sparkSession
     n_buckets = 4 * shuffle_partitions(spark)
     one, two = attrs.select([F.col(c).alias(f"{c}_a") for c in attrs.columns]), attrs.select([F.col(c).alias(f"{c}_b") for c in attrs.columns])
-    small = lists.where(F.size("members") <= SMALL).select(F.explode("members").alias("a"), "members")
-    pairs = small.select("a", F.explode("members").alias("b"), F.array_min("members").alias("hub")).where("a < b").groupBy("a", "b").agg(F.bool_or(F.col("a") == F.col("hub")).alias("hub"))
+    pairs = found.where("lid IS NULL AND b IS NOT NULL").select("a", "b", "hub")
     sketches = [c for c in attrs.columns if c not in ("id", "n")]
     apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in sketches), F.lit(0))
     sized = pairs.join(one, pairs["a"] == one["id_a"]).join(two, pairs["b"] == two["id_b"])
     pairs = checkpoint(sized.where(bound.may(apart, F.col("n_a"), F.col("n_b"))).select("a", "b", "hub"))
-    large = lists.where(F.size("members") > SMALL).select(F.xxhash64("members").alias("lid"), "members")
-    bucket = F.pmod(F.xxhash64("g"), F.lit(n_buckets)).alias("bucket")
-
-    def dealt(across: bool, known: DataFrame) -> DataFrame:
-        rows = large.mapInArrow(_deal(across), "g long, side int, id long").join(known, "id")
-        return rows.groupBy(bucket)
-
-    starred = dealt(False, attrs).applyInArrow(_stars(bound), "a long, b long")
-    tested = checkpoint(pairs.where("hub").select("a", "b").union(starred).distinct())
+    large = checkpoint(found.where("lid IS NOT NULL").select("lid", F.col("a").alias("id"), F.col("b").alias("part")))
+    tested = pairs.where("hub").select("a", "b")
+    some_large = not large.isEmpty()
+    if some_large:
+        blocks = large.select("id", F.xxhash64("lid", "part").alias("g")).distinct().join(attrs, "id")
+        tested = tested.union(blocks.groupBy(F.pmod(F.xxhash64("g"), F.lit(n_buckets)).alias("bucket")).applyInArrow(_stars(bound), "a long, b long"))
+    tested = checkpoint(tested.distinct())
     links = checkpoint(verify(tested))
     components, most = connected_components(links), 2
     while True:
-        labelled = attrs.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
         ends = [components.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-        apart = pairs.where("NOT hub").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) != coalesce(cb, b)")
-        rest = dealt(True, labelled).applyInArrow(_across(bound, most), "a long, b long, cut boolean").union(apart.select("a", "b", F.lit(False)))
+        rest = pairs.where("NOT hub").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b", F.lit(False).alias("cut"))
+        if some_large:
+            labelled = attrs.join(components, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            rest = _dealt(large, labelled, n_buckets).applyInArrow(_across(bound, most), "a long, b long, cut boolean").union(rest)
         rest = rest.groupBy("a", "b").agg(F.bool_or("cut").alias("cut"))
         rest = checkpoint(rest.join(tested.withColumn("old", F.lit(True)), ["a", "b"], "left"))
         n, cut = rest.agg(F.count_if(F.col("old").isNull()), F.bool_or("cut")).first()

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm.jaccard_join import jaccard_join, keep_one
 from larkspur.llm.links import Bound, sketch
@@ -72,6 +73,20 @@ def test_keep_one(docs):
     assert set(got[0].asDict()) == {"doc_id", "text", "lang", "source", "n_chars", "score", "key", "kept"}
 
 
+def test_null_ids_long_texts_and_clashing_columns(docs):
+    long = " ".join(f"w{i % 977}q{i // 3}" for i in range(60_000))
+    rows = [*[(None, f"a text that has no id {i % 7} " + "word " * i) for i in range(40)], (4, long), (5, long + " end"), (6, None), (None, None), (None, "")]
+    got = sorted((tuple(r) for r in jaccard_join(docs(rows), 5, 80, 100).collect()), key=repr)
+    assert got == sorted(brute(rows, 5, 80, 100), key=repr)
+    names = ["_k", "_id", "_keep", "_n", "row", "late", "k", "id", "n", "component", "keep"]
+    table = docs(rows).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    kept = keep_one(table)
+    assert kept.columns == table.columns
+    kept = kept.collect()
+    assert all([r[c] for c in names] == list(range(len(names))) for r in kept)
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [4, 6]
+
+
 def test_empty(docs):
     assert jaccard_join(docs([])).count() == 0
     assert keep_one(docs([])).count() == 0
