@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.packed import BLOCK
-from larkspur.llm.session import checkpoint, shuffle_partitions
+from larkspur.llm.session import Scratch, checkpoint, shuffle_partitions
 
 #: Frequent keys are split once they have more than this and one HOT_SHARE-th of all rows.
 SPLIT = 1024
@@ -53,7 +53,10 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame |
     most = max(SPLIT, total // HOT_SHARE)
     sizes = left.groupBy(key).agg(F.count("*").alias("n")) if sizes is None else sizes
     parts = F.ceil(F.col("n") / F.lit(most)).cast("int").alias("_parts")
-    hot = F.broadcast(checkpoint(sizes.where(F.col("n") > most).select(key, parts)))
+    hot = sizes.where(F.col("n") > most).select(key, parts)
+    if hot.isEmpty():
+        return left.join(right, key)
+    hot = F.broadcast(checkpoint(hot))
     salt = F.pmod(F.xxhash64(*([by] if by else [c for c in left.columns if c != key])), F.coalesce("_parts", F.lit(1))).cast("int")
     many = left.join(hot, key, "left").withColumn("_salt", salt).drop("_parts")
     one = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
@@ -70,23 +73,23 @@ def with_both(pairs: DataFrame, items: DataFrame, what: str) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component), the least id reachable, for every id of edges (a, b); by alternating stars, checkpointed each round."""
-    e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, before = checkpoint(e), None
-    while True:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        stats = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
-        stats = checkpoint(stats)
-        large = spread_join(both.where("v > u"), stats.select("u", "m"), "u", sizes=stats.select("u", "n"))
-        large = checkpoint(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-        stats = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
-        small = spread_join(large, stats.select("u", "m"), "u", sizes=stats.select("u", "n")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.union(stats.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return checkpoint(e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
+    """(id, component), the least id reachable, for every id of edges (a, b); by alternating stars, written each round."""
+    with Scratch(edges.sparkSession) as files:
+        e, before = files.written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+        while True:
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            stats = files.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")))
+            large = spread_join(both.where("v > u"), stats.select("u", "m"), "u", sizes=stats.select("u", "n"))
+            large = files.written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+            stats = files.written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+            small = spread_join(large, stats.select("u", "m"), "u", sizes=stats.select("u", "n")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = files.written(small.union(stats.select("u", F.col("m").alias("v"))).distinct())
+            files.drop_before(files.n - 1)
+            now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+            if now == before:
+                break
+            before = now
+        return checkpoint(e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
 
 
 def _bits(keys: DataFrame, h, most_bits: int):
