@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.keys import KEY, KEY_SCHEMA, key_columns, text_column, unfolded, whole_rows
+from larkspur.llm.keys import KEY, KEY_SCHEMA, key_columns, text_column, text_of, unfolded, whole_rows
 from larkspur.llm.links import Bound, bitmap, may_hold, mixed_bitmap, possible, similar_components, sketch, sketch_columns, spread_join, with_both
 from larkspur.llm.packed import GROUPS, SMALL, SPREAD, key_groups, pack_spread
 from larkspur.llm.session import checkpoint, shuffle_partitions
@@ -179,13 +179,13 @@ def _firsts(classes: DataFrame) -> DataFrame:
     return classes.groupBy("component").agg(least, F.count("*").alias("n")).select("component", *[F.col("f").getField(c).alias(c) for c in (*KEY, "id")], "n")
 
 
-def _names(k: int):
+def _names(k: int, text=lambda batch: batch.column("text")):
     """Adds a class's name and its set's size; an empty set is named after its document."""
 
     def run(batches):
         for batch in batches:
             own = mix(np.asarray(batch.column("k")).view(U) + U(0x27D4EB2F165667C5)).view(np.int64)
-            sets = [(set_name(s) if len(s) else int(own[i]), len(s)) for i, s in shingle_sets(batch.column("text"), k)]
+            sets = [(set_name(s) if len(s) else int(own[i]), len(s)) for i, s in shingle_sets(text(batch), k)]
             keep = [c for c in batch.schema.names if c != "text"]
             more = [pa.array([s[j] for s in sets], pa.int64()) for j in (0, 1)]
             yield pa.record_batch([*[batch.column(c) for c in keep], *more], names=[*keep, "id", "n"])
@@ -212,7 +212,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
 
     The rows meet the verdicts by document and set, so that no large class meets in one task.
     """
-    rows = whole_rows(docs).mapInArrow(_names(k), whole_rows(docs).drop("text").withColumns({"id": F.lit(0).cast("long"), "n": F.lit(0).cast("long")}).schema)
+    rows = whole_rows(docs).mapInArrow(_names(k, text_of), whole_rows(docs).withColumns({"id": F.lit(0).cast("long"), "n": F.lit(0).cast("long")}).schema)
     keep = _firsts(class_components(docs, k, num, den)).select(*KEY, "id", F.lit(True).alias("keep"))
     rows = rows.join(keep, [*KEY, "id"], "left").where("keep OR n = 0").dropDuplicates([*KEY, "id"])
     return unfolded(rows, docs)

@@ -19,9 +19,15 @@ def key_columns() -> list[Column]:
     return [doc_id.isNull().alias("late"), F.coalesce(doc_id, F.xxhash64(text_column())).alias("k")]
 
 
-def whole_rows(docs: DataFrame, *more: Column) -> DataFrame:
-    """(row, late, k, text, more): all columns of a document in one struct, so that no name clashes."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key_columns(), text_column().alias("text"), *more)
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, late, k): all columns of a document in one struct, so that no name clashes; the text as a string."""
+    columns = [text_column().alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("row"), *key_columns())
+
+
+def text_of(batch):
+    """The texts of a batch of whole rows."""
+    return batch.column("row").field("text")
 
 
 def unfolded(rows: DataFrame, docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ changed character, of whatever script, drops 5 and links lines of 49 characters
 replaced word of 6 letters drops 10 and links lines of 94 or more.  Nearer an end an edit
 drops fewer: a changed last character links lines of 13 or more.
 
-At similarity 0.8 the bands find 1 - (1 - 0.8 ** ROWS) ** BANDS of the pairs: 0.994.
+At similarity 0.8 the bands find 1 - (1 - 0.8 ** ROWS) ** BANDS of the pairs: 0.991.
 An item is named by a 64-bit hash of its form, and shingles are compared by 64-bit hashes.
 
 Defined results: a null text stays null and has no lines; documents with one doc_id
@@ -35,27 +35,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.keys import KEY, KEY_SCHEMA, key_columns, text_column, whole_rows
-from larkspur.llm.links import Bound, may_hold, mixed_bitmap, similar_components, sketch, sketch_columns, spread_join, with_both
+from larkspur.llm.keys import KEY, KEY_SCHEMA, key_columns, text_column, text_of, whole_rows
+from larkspur.llm.links import Bound, may_hold, mixed_bitmap, similar_components, sketch_columns, spread_join, with_both
 from larkspur.llm.packed import GROUPS, SPREAD, key_groups, pack_spread
-from larkspur.llm.session import checkpoint, shuffle_partitions
+from larkspur.llm.session import Scratch, checkpoint, shuffle_partitions
 from larkspur.llm.text_hash import U, mix, powers
 
 SHINGLE = 5
-ROWS, BANDS = 7, 22
+ROWS, BANDS = 7, 20
 _KEY_BYTES = 5
 #: 64-bit words of a line's sketch: lines have some hundred shingles, of which linked ones may lack many.
-SKETCH = sketch_columns(32)
+SKETCH = sketch_columns(8)
 #: Shingles whose signatures are made at once, so that the work stays in the cache.
-_CHUNK = 60_000
+_CHUNK = 80_000
 #: Bytes of text that are worked on at once; one text is never split.
-_SLICE = 1_000_000
+_SLICE = 120_000
 _STEP = 0xD6E8FEB86659FD93
 
 
-@lru_cache(1)
-def _weights() -> np.ndarray:
-    return mix(np.arange(1, SHINGLE + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+#: Bytes of texts: A-Z lower-cased, blanks as spaces.
+_PLAIN = bytes(32 if b in b"\t\v\f\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 @lru_cache(2)
@@ -83,49 +82,58 @@ class Lines:
 
     def __init__(self, texts: list[bytes]):
         self.per_text = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
-        c = np.frombuffer(b"\n".join(texts).decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-        low = np.arange(128, dtype=np.uint32)
-        low[65:91] += 32
-        low[[9, 11, 12, 13]] = 32
-        c = np.where(c < 128, low[c & 127], c)
-        for after in (False, True):  # blanks after a blank or at a line's start, then those at its end
-            bare = (c == 32) | (c == 10) if not after else c == 10
-            drop = c == 32
-            if after:
-                drop[:-1] &= bare[1:]
-            else:
-                drop[1:] &= bare[:-1]
-            if drop.any():
-                c = c[~drop]
+        c = np.frombuffer(b"\n".join(texts).translate(_PLAIN).decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+        blank, end = c == 32, c == 10
+        drop = blank[1:] & (blank[:-1] | end[:-1] | end[1:])
+        if blank[:1].any() or blank[-1:].any() or drop.any():
+            # blanks after a blank or at a line's start, then those at its end
+            keep = ~(blank & np.concatenate([[True], (blank | end)[:-1]]))
+            c = c[keep]
+            c = c[~((c == 32) & np.append(c[1:] == 10, True))]
         self.points = c
         ends = np.append(np.flatnonzero(c == 10), len(c))
         self.start = np.concatenate([[0], ends[:-1] + 1])
         self.size = ends - self.start
-        counts = np.where(self.size > 0, np.maximum(self.size - SHINGLE + 1, 1), 0)
-        padded = np.concatenate([c, np.zeros(SHINGLE, c.dtype)]).astype(U)
-        weights = _weights()
-        h = padded[: len(c)] * weights[0]
-        for j in range(1, SHINGLE):
-            h += padded[j : j + len(c)] * weights[j]
-        for s, n in zip(self.start[(self.size > 0) & (self.size < SHINGLE)], self.size[(self.size > 0) & (self.size < SHINGLE)], strict=True):
-            h[s] = (padded[s : s + n] * weights[:n]).sum(dtype=U)
-        full = np.flatnonzero(self.size)
-        self.full, self.counts = full, counts[full]
+        self.full = np.flatnonzero(self.size)
+        self.counts = np.maximum(self.size[self.full] - (SHINGLE - 1), 1)
         self.first = np.cumsum(self.counts) - self.counts
-        self.hashes = mix(h[np.repeat(self.start[full] - self.first, self.counts) + np.arange(int(self.counts.sum()))])
+        short = self.full[self.size[self.full] < SHINGLE]
+        x = np.zeros(len(c) + SHINGLE, U)  # newlines are 0 here, which only short lines see
+        x[: len(c)] = c
+        x[ends] = 0
+        two = x[:-1] + (x[1:] << U(21))
+        h = (two[: len(c)] + (x[2 : 2 + len(c)] << U(42))) * U(0x9E3779B97F4A7C15)
+        h += two[3 : 3 + len(c)] * U(0xD6E8FEB86659FD93)
+        for s, n in zip(self.start[short], self.size[short], strict=True):
+            y = np.append(x[s : s + n], np.zeros(SHINGLE, U))
+            h[s : s + 1] = (y[:1] + (y[1:2] << U(21)) + (y[2:3] << U(42))) * U(0x9E3779B97F4A7C15) + (y[3:4] + (y[4:5] << U(21))) * U(0xD6E8FEB86659FD93)
+        inside = np.ones(len(c) + 1, bool)
+        for j in range(SHINGLE):  # no shingle starts in a line's last characters, but the only one of a short line
+            inside[np.maximum(ends - j, 0)] = False
+        inside[self.start[short]] = True
+        h = h[inside[: len(c)]]
+        h ^= h >> U(32)
+        h *= U(0xBF58476D1CE4E5B9)
+        h ^= h >> U(29)
+        self.hashes = h
 
     def names(self) -> np.ndarray:
         """64-bit names of the lines that have a word."""
         if not len(self.full):
             return np.zeros(0, np.int64)
-        n = 1 << max(20, len(self.hashes).bit_length())
+        n = 1 << max(17, len(self.hashes).bit_length())
         total = np.add.reduceat(self.hashes * powers(n)[: len(self.hashes)], self.first) * _inverse_powers(n)[self.first]
         return mix(total + self.counts.astype(U)).view(np.int64)
 
-    def sets(self, which):
-        """The distinct shingles of some of the lines that have a word."""
-        for i in which:
-            yield np.unique(self.hashes[self.first[i] : self.first[i] + self.counts[i]])
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, line, bounds): the distinct shingles of the lines that have a word, line by line and sorted."""
+        line = np.repeat(np.arange(len(self.full), dtype=U), self.counts)
+        order = np.argsort(line << U(44) | self.hashes >> U(20))
+        h, line = self.hashes[order], line[order].astype(np.int64)
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+        h, line = h[new], line[new]
+        return h, line, np.searchsorted(line, np.arange(len(self.full) + 1))
 
     def form(self, i: int) -> str:
         s = self.start[self.full[i]]
@@ -133,10 +141,14 @@ class Lines:
 
 
 def band_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
-    """A row of BANDS 64-bit keys for each of some of the lines that have a word."""
+    """A row of BANDS 64-bit keys for each of some of the lines that have a word.
+
+    Each signature value is the least of 16 bits of the shingles' hashes times an odd number; the values take the hashes'
+    four quarters in turn.  Two values of n shingles agree by chance once in 65536 / n times, a band hardly ever.
+    """
     n = ROWS * BANDS
-    seeds = mix(np.arange(1, 2 * n + 1, dtype=U)).astype(np.uint32)
-    least = np.empty((n, len(which)), np.uint32)
+    odd = mix(np.arange(1, n + 1, dtype=U)).astype(np.uint16) | np.uint16(1)
+    least = np.empty((n, len(which)), np.uint16)
     ends = np.cumsum(lines.counts[which])
     at = 0
     while at < len(which):
@@ -144,12 +156,13 @@ def band_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
         end = max(at + 1, int(np.searchsorted(ends, before + _CHUNK, "right")))
         counts = lines.counts[which[at:end]]
         first = np.cumsum(counts) - counts
-        h = (lines.hashes[np.repeat(lines.first[which[at:end]] - first, counts) + np.arange(int(counts.sum()))] >> U(32)).astype(np.uint32)
-        out = np.empty_like(h)
-        for i in range(n):
-            np.multiply(h, seeds[2 * i] | np.uint32(1), out=out)
-            np.bitwise_xor(out, seeds[2 * i + 1], out=out)
-            least[i, at:end] = np.minimum.reduceat(out, first)
+        h = lines.hashes[np.repeat(lines.first[which[at:end]] - first, counts) + np.arange(int(counts.sum()))]
+        out = np.empty(len(h), np.uint16)
+        for q in range(4):
+            quarter = (h >> U(16 * q)).astype(np.uint16)
+            for i in range(q, n, 4):
+                np.multiply(quarter, odd[i], out=out)
+                np.minimum.reduceat(out, first, out=least[i, at:end])
         at = end
     keys = np.empty((len(which), BANDS), U)
     for b in range(BANDS):
@@ -166,12 +179,12 @@ def _bytes_of(column) -> list[bytes | None]:
 
 def _distinct(batch: pa.RecordBatch):
     """(Lines, names, which): the lines of a batch that were not there before in it."""
-    seen = np.zeros(0, np.int64)
+    seen: set[int] = set()
     for _, texts in _slices(_bytes_of(batch.column("text"))):
         lines = Lines(texts)
         names, which = np.unique(lines.names(), return_index=True)
-        new = ~np.isin(names, seen)
-        seen = np.concatenate([seen, names[new]])
+        new = np.array([x not in seen for x in names.tolist()], bool)
+        seen.update(names[new].tolist())
         yield lines, names[new], which[new]
 
 
@@ -188,44 +201,34 @@ def _send_bands(n_buckets: int):
     return run
 
 
-def _forms(wanted):
-    """The lines that may be wanted."""
-
-    def run(batches):
-        for batch in batches:
-            for lines, names, which in _distinct(batch):
-                at = np.flatnonzero(may_hold(wanted.value, names))
-                yield pa.record_batch([pa.array(names[at]), pa.array([lines.form(i) for i in which[at]], pa.string())], names=["id", "form"])
-
-    return run
-
-
 def _attributes(batches):
+    bits = 64 * len(SKETCH)
     for batch in batches:
         sizes, parity = [], []
         for _, forms in _slices(_bytes_of(batch.column("form"))):
-            lines = Lines(forms)
-            for s in lines.sets(range(len(lines.full))):
-                sizes.append(len(s))
-                parity.append(sketch(s, len(SKETCH)))
-        parity = np.stack(parity) if parity else np.zeros((0, len(SKETCH)), np.int64)
-        yield pa.record_batch([batch.column("id"), pa.array(sizes, pa.int64()), *[pa.array(parity[:, j]) for j in range(len(SKETCH))]], names=["id", "n", *SKETCH])
+            h, line, bounds = Lines(forms).distinct()
+            sizes.append(np.diff(bounds))
+            odd = np.bincount(line * bits + ((h >> U(20)).astype(np.int64) & (bits - 1)), minlength=len(forms) * bits) & 1
+            parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(-1, len(SKETCH)))
+        sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        parity = np.concatenate(parity) if parity else np.zeros((0, len(SKETCH)), np.int64)
+        yield pa.record_batch([batch.column("id"), pa.array(sizes), *[pa.array(parity[:, j]) for j in range(len(SKETCH))]], names=["id", "n", *SKETCH])
 
 
 class _Sets:
     """The shingle sets of forms; those used last are kept, up to ``most`` shingles."""
 
-    def __init__(self, most: int = 4_000_000):
+    def __init__(self, most: int = 1_000_000):
         self.kept: OrderedDict[int, np.ndarray] = OrderedDict()
         self.size, self.most = 0, most
 
     def add(self, names: list[int], forms: list[bytes]) -> None:
         new = {k: f for k, f in zip(names, forms, strict=True) if k not in self.kept}
         for at, part in _slices(list(new.values())):
-            lines = Lines(part)
-            for k, s in zip(list(new)[at : at + len(part)], lines.sets(range(len(part))), strict=True):
-                self.kept[k] = s
-                self.size += len(s)
+            h, _, bounds = Lines(part).distinct()
+            for i, k in enumerate(list(new)[at : at + len(part)]):
+                self.kept[k] = h[bounds[i] : bounds[i + 1]].copy()
+            self.size += len(h)
 
     def shrink(self) -> None:
         while self.size > self.most:
@@ -250,15 +253,37 @@ def _compare(bound: Bound):
     return run
 
 
-def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """(id, component) of the lines of docs that are similar to another line."""
-    bound, n = Bound(num, den), shuffle_partitions(docs.sparkSession)
-    texts = docs.select(text_column().alias("text"))
-    groups = texts.mapInArrow(_send_bands(n), SPREAD).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, None), GROUPS)
-    found = checkpoint(groups.groupBy("lid", "a", "b").agg(F.bool_or("hub").alias("hub")))
-    some = found.select(F.explode(F.when(F.col("lid").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("id")).distinct()
-    some = checkpoint(some)
-    forms = texts.mapInArrow(_forms(mixed_bitmap(some, "id")), "id long, form string").join(some, "id", "left_semi").dropDuplicates(["id"])
+def _lines_of(wanted):
+    """(late, k, id, again, form): the lines of each document, once each; again: there twice; forms that may be wanted, once a batch."""
+
+    def run(batches):
+        for batch in batches:
+            sent: set[int] = set()
+            for at, texts in _slices(_bytes_of(batch.column("text"))):
+                lines = Lines(texts)
+                name = lines.names()
+                row = np.repeat(np.arange(len(texts)), lines.per_text)[lines.full]
+                order = np.lexsort((name, row))
+                new = np.ones(len(order), bool)
+                new[1:] = (name[order][1:] != name[order][:-1]) | (row[order][1:] != row[order][:-1])
+                again = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+                order = order[new]
+                forms = [None] * len(order)
+                for i in np.flatnonzero(may_hold(wanted.value, name[order])).tolist():
+                    x = int(name[order[i]])
+                    if x not in sent:
+                        sent.add(x)
+                        forms[i] = lines.form(order[i])
+                place = pa.array(row[order] + at)
+                columns = [batch.column("late").take(place), batch.column("k").take(place), pa.array(name[order]), pa.array(again), pa.array(forms, pa.string())]
+                yield pa.record_batch(columns, names=["late", "k", "id", "again", "form"])
+
+    return run
+
+
+def _components(rows: DataFrame, found: DataFrame, some: DataFrame, bound: Bound) -> DataFrame:
+    """(id, component) of the lines that are similar to another line; rows (id, form) hold the forms of some ids."""
+    forms = rows.where("form IS NOT NULL").select("id", "form").join(some, "id", "left_semi").dropDuplicates(["id"])
     forms = checkpoint(forms)
     attrs = checkpoint(forms.mapInArrow(_attributes, ", ".join(["id long", "n long", *[f"{s} long" for s in SKETCH]])))
 
@@ -268,41 +293,50 @@ def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame
     return similar_components(found, attrs, bound, verify)
 
 
-def _occurrences(batches):
-    """The lines of each document, once each."""
-    for batch in batches:
-        rows, names = [], []
-        for at, texts in _slices(_bytes_of(batch.column("text"))):
-            lines = Lines(texts)
-            name = lines.names()
-            row = np.repeat(np.arange(len(texts)), lines.per_text)[lines.full]
-            order = np.lexsort((name, row))
-            new = np.ones(len(order), bool)
-            new[1:] = (name[order][1:] != name[order][:-1]) | (row[order][1:] != row[order][:-1])
-            rows.append(row[order[new]] + at)
-            names.append(name[order[new]])
-        if rows:
-            at = pa.array(np.concatenate(rows))
-            yield pa.record_batch([batch.column("late").take(at), batch.column("k").take(at), pa.array(np.concatenate(names))], names=["late", "k", "id"])
+def _candidates(texts: DataFrame) -> DataFrame:
+    n = shuffle_partitions(texts.sparkSession)
+    groups = texts.mapInArrow(_send_bands(n), SPREAD).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, None), GROUPS)
+    return checkpoint(groups.groupBy("lid", "a", "b").agg(F.bool_or("hub").alias("hub")))
 
 
 def line_verdicts(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """(late, k, lines): for each document key the lines (id, component, first) that are not simply the first of their kind.
+    """(late, k, gone, same, again): what is to be cut, for the document keys that lose a line at all or may.
+
+    gone: lines that are first in an earlier document; same: (id, component) of first lines that have likes of another
+    form; again: the document repeats a line.
 
     Where a component is first is found from its distinct lines; the rows of a frequent line meet its verdict in several tasks.
     """
-    found = line_components(docs, num, den)
-    rows = checkpoint(docs.select(*key_columns(), text_column().alias("text")).mapInArrow(_occurrences, f"{KEY_SCHEMA}, id long"))
-    k, late = F.col("k"), F.col("late")
-    own = rows.groupBy("id").agg(F.min(F.when(~late, k)).alias("least"), F.min(F.when(late, k)).alias("least_late"), F.count("*").alias("n"))
-    own = checkpoint(own.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    first = own.groupBy("component").agg(F.min("least").alias("least"), F.min("least_late").alias("least_late"), F.count("*").alias("ids"), F.sum("n").alias("n"))
-    first = checkpoint(first.where("n > 1"))
-    verdict = spread_join(own.select("id", "component"), first.select("component", "least", "least_late"), "component", sizes=first.select("component", F.col("ids").alias("n")))
-    rows = spread_join(rows, checkpoint(verdict), "id", sizes=own.select("id", "n"))
-    is_first = F.when(late, F.col("least").isNull() & (k == F.col("least_late"))).otherwise(F.coalesce(k == F.col("least"), F.lit(False)))
-    line = F.struct("id", "component", is_first.alias("first")).alias("line")
-    return rows.select(*KEY, line).groupBy(*KEY).agg(F.collect_list("line").alias("lines"))
+    keyed = docs.select(*key_columns(), text_column().alias("text"))
+    found = _candidates(keyed.select("text"))
+    some = found.select(F.explode(F.when(F.col("lid").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("id")).distinct()
+    with Scratch(docs.sparkSession) as files:
+        some = files.written(some)
+        rows = files.written(keyed.mapInArrow(_lines_of(mixed_bitmap(some, "id")), f"{KEY_SCHEMA}, id long, again boolean, form string"))
+        linked = _components(rows, found, some, Bound(num, den))
+        rows = rows.select(*KEY, "id", "again")
+        k, late = F.col("k"), F.col("late")
+        own = rows.groupBy("id").agg(F.min(F.when(~late, k)).alias("least"), F.min(F.when(late, k)).alias("least_late"), F.count("*").alias("n"))
+        own = files.written(own.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        first = own.groupBy("component").agg(F.min("least").alias("least"), F.min("least_late").alias("least_late"), F.count("*").alias("ids"), F.sum("n").alias("n"))
+        first = files.written(first.where("n > 1").withColumn("several", F.col("ids") > 1))
+        verdict = spread_join(own.select("id", "component"), first.select("component", "least", "least_late", "several"), "component", sizes=first.select("component", F.col("ids").alias("n")))
+        cut = spread_join(rows, files.written(verdict), "id", sizes=own.select("id", "n"))
+        is_first = F.when(late, F.col("least").isNull() & (k == F.col("least_late"))).otherwise(F.coalesce(k == F.col("least"), F.lit(False)))
+        gone, same = F.when(~is_first, F.col("id")), F.when(is_first & F.col("several"), F.struct("id", "component"))
+        cut = cut.select(*KEY, gone.alias("gone"), same.alias("same"), F.lit(False).alias("again")).where("gone IS NOT NULL OR same IS NOT NULL")
+        twice = rows.where("again").select(*KEY, F.lit(None).cast("long").alias("gone"), F.lit(None).cast(cut.schema["same"].dataType).alias("same"), "again")
+        lists = [F.collect_list(c).alias(c) for c in ("gone", "same")]
+        return checkpoint(cut.union(twice).groupBy(*KEY).agg(*lists, F.bool_or("again").alias("again")))
+
+
+def line_components(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """(id, component) of the lines of docs that are similar to another line."""
+    keyed = docs.select(*key_columns(), text_column().alias("text"))
+    found = _candidates(keyed.select("text"))
+    some = checkpoint(found.select(F.explode(F.when(F.col("lid").isNull(), F.array("a", "b")).otherwise(F.array("a"))).alias("id")).distinct())
+    rows = checkpoint(keyed.mapInArrow(_lines_of(mixed_bitmap(some, "id")), f"{KEY_SCHEMA}, id long, again boolean, form string"))
+    return _components(rows, found, some, Bound(num, den))
 
 
 def _cut(names: list[str], add_counts: bool):
@@ -311,29 +345,31 @@ def _cut(names: list[str], add_counts: bool):
     def run(batches):
         for batch in batches:
             row = batch.column("row")
-            old = _bytes_of(batch.column("text"))
-            verdicts = batch.column("lines").to_pylist()
-            texts, counts = [], []
-            for at, part in _slices(old):
+            old = _bytes_of(text_of(batch))
+            verdicts = list(zip(*[batch.column(c).to_pylist() for c in ("gone", "same", "again")], strict=True))
+            touched = [gone is not None for gone, _, _ in verdicts]
+            texts = list(old)
+            counts = [None if t else (sum(1 for x in (b or b"").split(b"\n") if x.strip()) if add_counts else 0, 0) for b, t in zip(old, touched, strict=True)]
+            which = np.flatnonzero(touched).tolist()
+            for at, part in _slices([old[i] for i in which]):
                 lines = Lines(part)
                 name = lines.names().tolist()
                 row_ends = np.cumsum(lines.per_text)
                 cuts = np.searchsorted(lines.full, row_ends)
                 lo = 0
-                for i in range(len(part)):
-                    hi = int(cuts[i])
+                for i, text in enumerate(part):
+                    hi, r = int(cuts[i]), which[at + i]
                     begin = int(row_ends[i] - lines.per_text[i])
-                    verdict = {x["id"]: (x["component"], x["first"]) for x in verdicts[at + i] or ()}
-                    seen, gone = set(), set()
-                    plain = not verdict and len(set(name[lo:hi])) == hi - lo
-                    for j in () if plain else range(lo, hi):
-                        component, first = verdict.get(name[j], (name[j], True))
-                        if not first or component in seen:
-                            gone.add(int(lines.full[j]) - begin)
+                    gone, same = set(verdicts[r][0]), {x["id"]: x["component"] for x in verdicts[r][1]}
+                    seen, cut = set(), set()
+                    for j in range(lo, hi):
+                        component = same.get(name[j], name[j])
+                        if name[j] in gone or component in seen:
+                            cut.add(int(lines.full[j]) - begin)
                         seen.add(component)
-                    text = old[at + i]
-                    texts.append(b"\n".join([x for p, x in enumerate(text.split(b"\n")) if p not in gone]) if gone else text)
-                    counts.append((hi - lo, len(gone)))
+                    if cut:
+                        texts[r] = b"\n".join([x for p, x in enumerate(text.split(b"\n")) if p not in cut])
+                    counts[r] = (hi - lo, len(cut))
                     lo = hi
             new = pa.array(texts, pa.binary()).cast(pa.string())
             out = [new if c == "text" else row.field(i) for i, c in enumerate(names)]
@@ -346,7 +382,7 @@ def _cut(names: list[str], add_counts: bool):
 
 def line_dedup(docs: DataFrame, num: int = 80, den: int = 100, counts: bool = False) -> DataFrame:
     """docs with the text of every row deduplicated; with counts, also n_lines and n_removed."""
-    rows = whole_rows(docs).join(line_verdicts(docs, num, den), KEY, "left").select("row", "text", "lines")
+    rows = whole_rows(docs).join(line_verdicts(docs, num, den), KEY, "left").select("row", "gone", "same", "again")
     schema = docs.withColumn("text", text_column())
     if counts:
         schema = schema.select("*", *[F.lit(None).cast("long").alias(c) for c in ("n_lines", "n_removed")])

@@ -72,18 +72,47 @@ def with_both(pairs: DataFrame, items: DataFrame, what: str) -> DataFrame:
     return out.select("a", "b", f"{what}_a", f"{what}_b")
 
 
+def _contract(batches):
+    """The edges (u, v) of a partition as stars: each node with the least it reaches there."""
+    parts = [(np.asarray(b.column("u"), np.int64), np.asarray(b.column("v"), np.int64)) for b in batches]
+    if parts:
+        u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b = at[: len(u)], at[len(u) :]
+        label = np.arange(len(ids))
+        while True:
+            least = np.minimum(label[a], label[b])
+            new = label.copy()
+            for x in (a, b, label[a], label[b]):
+                np.minimum.at(new, x, least)
+            new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(ids)))
+        for i in range(0, len(moved), 1 << 16):
+            some = moved[i : i + (1 << 16)]
+            yield pa.record_batch([pa.array(ids[some]), pa.array(ids[label[some]])], names=["u", "v"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(id, component), the least id reachable, for every id of edges (a, b); by alternating stars, written each round."""
+    """(id, component), the least id reachable, for every id of edges (a, b).
+
+    Alternating stars, written each round.  Each partition first joins what it holds by itself, so that few edges and
+    few rounds are left.
+    """
     with Scratch(edges.sparkSession) as files:
-        e, before = files.written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+        e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        e, before = files.written(e.mapInArrow(_contract, "u long, v long").distinct()), None
         while True:
             both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            stats = files.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")))
+            stats = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
             large = spread_join(both.where("v > u"), stats.select("u", "m"), "u", sizes=stats.select("u", "n"))
             large = files.written(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
-            stats = files.written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+            stats = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
             small = spread_join(large, stats.select("u", "m"), "u", sizes=stats.select("u", "n")).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            e = files.written(small.union(stats.select("u", F.col("m").alias("v"))).distinct())
+            e = small.union(stats.select("u", F.col("m").alias("v")))
+            e = files.written(e.mapInArrow(_contract, "u long, v long").distinct())
             files.drop_before(files.n - 1)
             now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
             if now == before:
@@ -248,6 +277,20 @@ def _dealt(large: DataFrame, known: DataFrame, n_buckets: int):
     return dealt.groupBy(F.pmod(F.xxhash64("g"), F.lit(n_buckets)).alias("bucket"))
 
 
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after some more links (a, b): only those that the links join are looked at."""
+    for x in "ab":
+        links = links.join(components.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")), x, "left")
+    ends = checkpoint(links.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")))
+    merged = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    new = ends.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("component")), F.struct(F.col("b").alias("id"), F.col("cb").alias("component")))).alias("x")).select("x.*").distinct()
+    known = components.union(new.join(components, "id", "left_anti"))
+    moved = merged.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    new_name = checkpoint(known.groupBy("component").agg(F.count("*").alias("n")).join(moved, "component", "left").select("component", "n", F.coalesce("to", "component").alias("to")))
+    named = spread_join(known, new_name.select("component", "to"), "component", sizes=new_name.select("component", "n"))
+    return checkpoint(named.select("id", F.col("to").alias("component")))
+
+
 def similar_components(found: DataFrame, attrs: DataFrame, bound: Bound, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) of the linked items.
 
@@ -269,8 +312,7 @@ def similar_components(found: DataFrame, attrs: DataFrame, bound: Bound, verify:
         blocks = large.select("id", F.xxhash64("lid", "part").alias("g")).distinct().join(attrs, "id")
         tested = tested.union(blocks.groupBy(F.pmod(F.xxhash64("g"), F.lit(n_buckets)).alias("bucket")).applyInArrow(_stars(bound), "a long, b long"))
     tested = checkpoint(tested.distinct())
-    links = checkpoint(verify(tested))
-    components, most = connected_components(links), 2
+    components, most = connected_components(checkpoint(verify(tested))), 64
     while True:
         ends = [components.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
         rest = pairs.where("NOT hub").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b", F.lit(False).alias("cut"))
@@ -283,10 +325,10 @@ def similar_components(found: DataFrame, attrs: DataFrame, bound: Bound, verify:
         if not n and not cut:
             return components
         rest = rest.where("old IS NULL").select("a", "b")
-        most *= 8
+        most *= 64
         if n:
             more = checkpoint(verify(rest))
             if more.isEmpty() and not cut:
                 return components
-            links, tested = checkpoint(links.union(more)), checkpoint(tested.union(rest))
-            components = connected_components(links)
+            tested = checkpoint(tested.union(rest))
+            components = _joined(components, more)

@@ -25,7 +25,7 @@ def _whole(body: memoryview, n: int, width: int) -> np.ndarray:
 
 
 def _rows(bucket: np.ndarray, keys: np.ndarray, ids: np.ndarray, key_bytes: int) -> pa.RecordBatch:
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")  # 16 bits are sorted by radix
     keys, ids = keys[order], ids[order]
     which, first = np.unique(bucket[order], return_index=True)
     ends = np.append(first[1:], len(order))[: len(first)]
@@ -45,14 +45,29 @@ def pack_by_id(keys: np.ndarray, ids: np.ndarray, n_buckets: int, key_bytes: int
     return _rows(bucket, keys, ids, key_bytes)
 
 
-def unpack(table: pa.Table, key_bytes: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, ids) of a bucket's rows, sorted by key and then id (as signed numbers)."""
+def _loose(table: pa.Table, key_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     keys, ids = [], []
     for n, body in zip(table.column("n").to_pylist(), table.column("body").to_pylist(), strict=True):
         view = memoryview(body)
         keys.append(_whole(view[: n * key_bytes], n, key_bytes))
         ids.append(_whole(view[n * key_bytes :], n, 8).view(np.int64))
-    k, v = np.concatenate(keys), np.concatenate(ids)
+    return np.concatenate(keys), np.concatenate(ids)
+
+
+def _repeated(table: pa.Table, key_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``unpack``, without the keys that occur once."""
+    k, v = _loose(table, key_bytes)
+    order = np.argsort(k)
+    same = k[order[1:]] == k[order[:-1]]
+    order = order[np.append(False, same) | np.append(same, False)] if len(k) > 1 else order[:0]
+    k, v = k[order], v[order]
+    order = np.lexsort((v, k))
+    return k[order], v[order]
+
+
+def unpack(table: pa.Table, key_bytes: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, ids) of a bucket's rows, sorted by key and then id (as signed numbers)."""
+    k, v = _loose(table, key_bytes)
     order = np.lexsort((v, k))
     return k[order], v[order]
 
@@ -161,7 +176,7 @@ def key_groups(table: pa.Table, key_bytes: int, most: int | None) -> pa.Table:
         b.append(None if most is not None else np.full(len(members), members[0]))
         hub.append(None)
     own = table.filter(table.column("lid").is_null())
-    keys, ids = unpack(own, key_bytes) if own.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys, ids = _repeated(own, key_bytes) if own.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     new = _runs(keys, ids)[0]
     keys, ids = keys[new], ids[new]
     starts, sizes = _runs(keys)
