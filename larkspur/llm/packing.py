@@ -1,7 +1,7 @@
 """Best-two-fit packing of tokenised documents into sequences of a fixed length.
 
 Tokenising is one pass in which each distinct word-like chunk is encoded once a
-worker.  Packing needs only how many pieces there are of each length: at most
+worker, named by a 64-bit hash of its bytes.  Packing needs only how many pieces there are of each length: at most
 ``capacity`` counts reach the driver, however large the corpus.  The driver plans
 bins with multiplicities over these counts; pieces then find their place by their
 rank among the pieces of their length, which Spark numbers in salted groups.
@@ -10,15 +10,14 @@ Best-two-fit: a bin is filled greedily with the largest piece that fits; then it
 smallest piece gives way to the two unpacked pieces that fill the gap best, if they
 fill more than it did.  The same bin is laid as often as the counts allow.
 
-Defined results: a null or empty text is one piece of the end id alone; a null
-doc_id is kept as null; repeated rows are packed each by itself; an empty table gives
-no rows; other columns are ignored.
+Defined results: a null or empty text is one piece of the end id alone; a text of any
+length is tokenised whole; a null doc_id is kept as null; repeated rows are packed each
+by itself; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_right
 from functools import lru_cache
@@ -30,75 +29,151 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm.session import checkpoint, shuffle_partitions
+from larkspur.llm.text_hash import U, byte_values, mix, powers, slices, utf8
 
 CAPACITY = 2048
 END_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-# Unicode white space, as the vocabulary's splitting pattern has it.
-_WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White space ends every token of the pattern, so these chunks can be encoded one by one.
-_CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+# Unicode white space, as the vocabulary's splitting pattern has it, in UTF-8.
+_WS_1 = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
+_WS_2 = (0xC285, 0xC2A0)
+_WS_3 = (0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080)
+#: Distinct chunks that a worker keeps; beyond that it starts anew.
 _CACHED = 400_000
+_SLICE = 200_000
+
+
+@lru_cache(1)
+def _ascii_blanks() -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(_WS_1)] = True
+    return table
+
+
+def _blanks(data: np.ndarray) -> np.ndarray:
+    """1 at the first byte of a white-space character, 2 at its other bytes, else 0."""
+    out = _ascii_blanks()[data].astype(np.uint8)
+    for lead in np.flatnonzero(np.isin(data, (0xC2, 0xE1, 0xE2, 0xE3))) if data.max(initial=0) > 0xC1 else ():
+        two = int.from_bytes(data[lead : lead + 2].tobytes(), "big")
+        three = int.from_bytes(data[lead : lead + 3].tobytes(), "big")
+        if two in _WS_2 or three in _WS_3:
+            out[lead] = 1
+            out[lead + 1 : lead + (2 if two in _WS_2 else 3)] = 2
+    return out
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the chunks of some texts start: a word with one space before it, or white space up to there.
+
+    White space ends every token of the vocabulary's pattern, so that chunks can be encoded one by one.
+    """
+    n = len(data)
+    blank = _blanks(data)
+    head = np.zeros(n + 1, bool)  # a text's first byte
+    head[offsets] = True
+    white, before = blank > 0, np.concatenate([[False], blank[:-1] > 0])
+    run = white & (blank == 1) & (~before | head[:n])
+    word = ~white & (before | head[:n])
+    after_space = np.concatenate([[False], data[:-1] == 0x20]) & ~head[:n]
+    start = run | (word & ~after_space)
+    # The last white space before a word stands alone, or with the word if it is a space.
+    last = np.flatnonzero(word & before & ~head[:n]) - 1
+    while len(back := np.flatnonzero(blank[last] == 2)):
+        last[back] -= 1
+    start[last] = True
+    return np.flatnonzero(start)
 
 
 class Encoder:
-    """Token ids of texts, as the tokenizer file gives them, with each distinct chunk encoded once."""
+    """Token ids of texts, as the tokenizer file gives them, with each distinct chunk encoded once.
+
+    Chunks are looked up by 64-bit hashes in an open table, whole slices of texts at a time.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.n = 0
         self.flat, self.n_flat = np.zeros(1 << 16, np.uint32), 0
-        self.off = np.zeros(1 << 12, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in self.index]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False), strict=True):
-                ids, k = e.ids, len(self.index)
+        self.off = np.zeros(1 << 16, np.int64)
+        self._table(1 << 16)
+
+    def _table(self, size: int) -> None:
+        self.keys, self.rows = np.zeros(size, U), np.full(size, -1, np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The row of each hash, -1 where it is not known."""
+        mask = U(len(self.keys) - 1)
+        at = (h & mask).astype(np.int64)
+        out = self.rows[at]
+        open_ = np.flatnonzero((self.keys[at] != h) & (out >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & int(mask)
+            out[open_] = self.rows[at[open_]]
+            open_ = open_[(self.keys[at[open_]] != h[open_]) & (out[open_] >= 0)]
+        return out
+
+    def _put(self, h: np.ndarray, rows: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        for x, row in zip(h.tolist(), rows.tolist(), strict=True):
+            at = x & mask
+            while self.rows[at] >= 0:
+                at = (at + 1) & mask
+            self.keys[at], self.rows[at] = x, row
+
+    def _learn(self, h: np.ndarray, chunks: list[str]) -> None:
+        if 2 * (self.n + len(chunks)) > len(self.keys):
+            at = self.rows >= 0
+            keys, rows = self.keys[at], self.rows[at]
+            self._table(1 << int(4 * (self.n + len(chunks))).bit_length())
+            self._put(keys, rows)
+        first = self.n
+        for at in range(0, len(chunks), 4096):
+            for e in self.tok.encode_batch(chunks[at : at + 4096], add_special_tokens=False):
+                ids = e.ids
                 if self.n_flat + len(ids) > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
-                if k + 2 > len(self.off):
+                if self.n + 2 > len(self.off):
                     self.off = np.concatenate([self.off, np.zeros(len(self.off), np.int64)])
                 self.flat[self.n_flat : self.n_flat + len(ids)] = ids
                 self.n_flat += len(ids)
-                self.index[c], self.off[k + 1] = k, self.n_flat
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > _CACHED:
+                self.n += 1
+                self.off[self.n] = self.n_flat
+        self._put(h, np.arange(first, self.n))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the ids of all texts, text i has ids[bounds[i]:bounds[i + 1]]."""
+        raw = data.tobytes()
+        if any(a in raw for a in self.added):
+            # an added token's string may join white space across chunks
+            parts = [np.array(self.tok.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.uint32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        if self.n > _CACHED:
             self._clear()
-        chunks, sizes = [], []
-        for t in texts:
-            plain = not any(a in t for a in self.added)
-            found = _CHUNK.findall(t) if plain else []
-            chunks += found
-            sizes.append(len(found) if plain else -1)
-        try:
-            rows = list(map(self.index.__getitem__, chunks))
-        except KeyError:
-            self._learn(chunks)
-            rows = list(map(self.index.__getitem__, chunks))
-        rows = np.array(rows, np.int64)
+        start = chunk_starts(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        size = np.diff(np.append(start, len(data)))
+        place = np.arange(len(data)) - np.repeat(start, size)
+        h = mix(np.add.reduceat(byte_values()[data] * powers(int(size.max()))[place], start) + size.astype(U))
+        rows = self._find(h)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            some, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            self._learn(some, [raw[s : s + n].decode() for s, n in zip(start[first].tolist(), size[first].tolist(), strict=True)])
+            rows = self._find(h)
         lens = self.off[rows + 1] - self.off[rows]
         ends = np.cumsum(lens)
-        ids = self.flat[np.repeat(self.off[rows] - (ends - lens), lens) + np.arange(int(lens.sum()))]
-        out, at = [], 0
-        ends = np.concatenate([[0], ends])
-        for t, n in zip(texts, sizes, strict=True):
-            if n < 0:  # the text holds an added token's string, which may join white space across chunks
-                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(ids[ends[at] : ends[at + n]])
-                at += n
-        return out
+        ids = self.flat[np.repeat(self.off[rows] - (ends - lens), lens) + np.arange(int(ends[-1]))]
+        return ids, np.concatenate([[0], ends])[np.searchsorted(start, offsets)]
 
 
 @lru_cache(1)
@@ -106,40 +181,31 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _slices(texts: list[str], limit: int = 400_000):
-    """Runs of texts of a bounded size; a longer text stands alone."""
-    part, size = [], 0
-    for t in texts:
-        if part and size + len(t) > limit:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield part
-
-
 def tokenised(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
 
     def run(batches):
         enc = _encoder(tokenizer)
         for b in batches:
-            cols: list[list[int]] = [[], [], [], [], []]
-            ids_of = iter(b.column(0).to_pylist())
-            for part in _slices([t or "" for t in b.column(1).to_pylist()]):
-                for ids in enc.encode(part):
-                    doc, ids = next(ids_of), np.append(ids, np.uint32(end_id)).astype("<u4")
-                    cuts = range(len(ids) % capacity or capacity, len(ids) + 1, capacity)
-                    start = 0
-                    for k, end in enumerate(cuts):
-                        for c, v in zip(cols, (doc, k, start, end - start, zlib.crc32(ids[start:end].tobytes())), strict=True):
-                            c.append(v)
-                        start = end
-            yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            data, offsets = utf8(b.column("text"))
+            for lo, hi in slices(offsets, _SLICE):
+                ids, bounds = enc.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                # every document ends with the end id
+                n = np.diff(bounds) + 1
+                ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+                pieces = -(-n // capacity)
+                doc = np.repeat(np.arange(hi - lo), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                head = (n - 1) % capacity + 1
+                start = np.where(piece == 0, 0, head[doc] + (piece - 1) * capacity)
+                length = np.where(piece == 0, head[doc], capacity)
+                at = (np.cumsum(n) - n)[doc] + start
+                view = memoryview(ids).cast("B")
+                crc = [zlib.crc32(view[4 * s : 4 * (s + k)]) for s, k in zip(at.tolist(), length.tolist(), strict=True)]
+                yield pa.record_batch(
+                    [b.column("doc_id").take(pa.array(doc + lo)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 

@@ -29,7 +29,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def _bytes_table() -> np.ndarray:
+def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U) * _ODD)
 
 
@@ -98,7 +98,7 @@ class Words:
             at = np.arange(len(data))
             place = at - np.maximum.accumulate(np.where(first, at, 0))
             place[~word] = 0
-            part = _bytes_table()[data] * powers(int(size.max()))[place]
+            part = byte_values()[data] * powers(int(size.max()))[place]
             part[~word] = 0
             self.hash = mix(np.add.reduceat(part, self.start) + size.astype(U))
         else:
