@@ -14,7 +14,7 @@ changed character, of whatever script, drops 5 and links lines of 49 characters
 replaced word of 6 letters drops 10 and links lines of 94 or more.  Nearer an end an edit
 drops fewer: a changed last character links lines of 13 or more.
 
-At similarity 0.8 the bands find 1 - (1 - 0.8 ** ROWS) ** BANDS of the pairs: 0.991.
+At similarity 0.8 the bands find 1 - (1 - 0.8 ** ROWS) ** BANDS of the pairs: 0.998.
 An item is named by a 64-bit hash of its form, and shingles are compared by 64-bit hashes.
 
 Defined results: a null text stays null and has no lines; documents with one doc_id
@@ -42,10 +42,10 @@ from larkspur.llm.session import Scratch, checkpoint, shuffle_partitions
 from larkspur.llm.text_hash import U, mix, powers
 
 SHINGLE = 5
-ROWS, BANDS = 7, 20
+ROWS, BANDS = 6, 20
 _KEY_BYTES = 5
 #: 64-bit words of a line's sketch: lines have some hundred shingles, of which linked ones may lack many.
-SKETCH = sketch_columns(8)
+SKETCH = sketch_columns(16)
 #: Shingles whose signatures are made at once, so that the work stays in the cache.
 _CHUNK = 80_000
 #: Bytes of text that are worked on at once; one text is never split.
@@ -285,12 +285,13 @@ def _components(rows: DataFrame, found: DataFrame, some: DataFrame, bound: Bound
     """(id, component) of the lines that are similar to another line; rows (id, form) hold the forms of some ids."""
     forms = rows.where("form IS NOT NULL").select("id", "form").join(some, "id", "left_semi").dropDuplicates(["id"])
     forms = checkpoint(forms)
-    attrs = checkpoint(forms.mapInArrow(_attributes, ", ".join(["id long", "n long", *[f"{s} long" for s in SKETCH]])))
+    listed = found.where("lid IS NOT NULL").select(F.col("a").alias("id")).distinct()
+    attrs = checkpoint(forms.join(listed, "id", "left_semi").mapInArrow(_attributes, ", ".join(["id long", "n long", *[f"{s} long" for s in SKETCH]])))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return with_both(pairs, forms, "form").mapInArrow(_compare(bound), "a long, b long")
 
-    return similar_components(found, attrs, bound, verify)
+    return similar_components(found, attrs, bound, verify, doubtful=False)
 
 
 def _candidates(texts: DataFrame) -> DataFrame:

@@ -291,20 +291,23 @@ def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
     return checkpoint(named.select("id", F.col("to").alias("component")))
 
 
-def similar_components(found: DataFrame, attrs: DataFrame, bound: Bound, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar_components(found: DataFrame, attrs: DataFrame, bound: Bound, verify: Callable[[DataFrame], DataFrame], doubtful: bool = True) -> DataFrame:
     """(id, component) of the linked items.
 
     found: (lid, a, b, hub) as ``key_groups`` gives them, once each; any linked pair is one of its pairs or in one of its lists.
-    attrs: (id, n, s0, s1, ...).  Both are read several times.  verify keeps the linked pairs of a DataFrame (a, b).
+    attrs: (id, n, s0, s1, ...), of the lists' items at least.  Both are read several times.  verify keeps the linked
+    pairs of a DataFrame (a, b).  doubtful: most of found's pairs are not linked, so that all of them are held against
+    the sketches first, for which attrs must know all items.
     """
     spark = found.sparkSession
     n_buckets = 4 * shuffle_partitions(spark)
-    one, two = attrs.select([F.col(c).alias(f"{c}_a") for c in attrs.columns]), attrs.select([F.col(c).alias(f"{c}_b") for c in attrs.columns])
     pairs = found.where("lid IS NULL AND b IS NOT NULL").select("a", "b", "hub")
-    sketches = [c for c in attrs.columns if c not in ("id", "n")]
-    apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in sketches), F.lit(0))
-    sized = pairs.join(one, pairs["a"] == one["id_a"]).join(two, pairs["b"] == two["id_b"])
-    pairs = checkpoint(sized.where(bound.may(apart, F.col("n_a"), F.col("n_b"))).select("a", "b", "hub"))
+    if doubtful:
+        one, two = attrs.select([F.col(c).alias(f"{c}_a") for c in attrs.columns]), attrs.select([F.col(c).alias(f"{c}_b") for c in attrs.columns])
+        sketches = [c for c in attrs.columns if c not in ("id", "n")]
+        apart = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in sketches), F.lit(0))
+        sized = pairs.join(one, pairs["a"] == one["id_a"]).join(two, pairs["b"] == two["id_b"])
+        pairs = checkpoint(sized.where(bound.may(apart, F.col("n_a"), F.col("n_b"))).select("a", "b", "hub"))
     large = checkpoint(found.where("lid IS NOT NULL").select("lid", F.col("a").alias("id"), F.col("b").alias("part")))
     tested = pairs.where("hub").select("a", "b")
     some_large = not large.isEmpty()
@@ -312,7 +315,7 @@ def similar_components(found: DataFrame, attrs: DataFrame, bound: Bound, verify:
         blocks = large.select("id", F.xxhash64("lid", "part").alias("g")).distinct().join(attrs, "id")
         tested = tested.union(blocks.groupBy(F.pmod(F.xxhash64("g"), F.lit(n_buckets)).alias("bucket")).applyInArrow(_stars(bound), "a long, b long"))
     tested = checkpoint(tested.distinct())
-    components, most = connected_components(checkpoint(verify(tested))), 64
+    components, most = connected_components(checkpoint(verify(tested))), 4
     while True:
         ends = [components.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
         rest = pairs.where("NOT hub").join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) != coalesce(cb, b)").select("a", "b", F.lit(False).alias("cut"))
@@ -325,7 +328,7 @@ def similar_components(found: DataFrame, attrs: DataFrame, bound: Bound, verify:
         if not n and not cut:
             return components
         rest = rest.where("old IS NULL").select("a", "b")
-        most *= 64
+        most *= 16
         if n:
             more = checkpoint(verify(rest))
             if more.isEmpty() and not cut:
