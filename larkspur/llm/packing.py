@@ -17,6 +17,7 @@ by itself; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_right
@@ -85,6 +86,39 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+# Fixed value: the splitting pattern of byte-level vocabularies.
+_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_pairs(path: str):
+    """The file's byte pair encoding as a function from a text to ids, run by tiktoken, which is some times faster.
+
+    None where the file says more than that: another kind of model, a normaliser, other splitting, or merges whose
+    products are not numbered in the order of the merges.
+    """
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    model, split = file["model"], file["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or file["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        return None
+    vocab = model["vocab"]
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)) or made[:1] == [-1]:
+        return None
+    import tiktoken
+
+    # bytes as characters: the printable ones stand for themselves, the others for 256 and up in turn
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    added = {t["content"] for t in file["added_tokens"]}
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in added}
+    if len(ranks) != len(made) + 256:
+        return None
+    return tiktoken.Encoding(os.path.basename(path), pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Encoder:
     """Token ids of texts, as the tokenizer file gives them, with each distinct chunk encoded once.
 
@@ -97,6 +131,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.added = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.plain = _byte_pairs(path)
         self._clear()
 
     def _clear(self) -> None:
@@ -136,8 +171,8 @@ class Encoder:
             self._put(keys, rows)
         first = self.n
         for at in range(0, len(chunks), 4096):
-            for e in self.tok.encode_batch(chunks[at : at + 4096], add_special_tokens=False):
-                ids = e.ids
+            part = chunks[at : at + 4096]
+            for ids in map(self.plain, part) if self.plain else (e.ids for e in self.tok.encode_batch(part, add_special_tokens=False)):
                 if self.n_flat + len(ids) > len(self.flat):
                     self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), np.uint32)])
                 if self.n + 2 > len(self.off):

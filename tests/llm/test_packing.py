@@ -43,6 +43,16 @@ def test_encoder_on_every_white_space(tokenizer):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_on_whole_documents(spark, tokenizer):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    enc = Encoder(default_tokenizer())
+    assert enc.plain
+    data, offsets = utf8(pa.array(texts, pa.string()))
+    ids, bounds = enc.encode(data, offsets)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def naive_bins(pieces, capacity):
     """Best-two-fit piece by piece: greedy with the largest that fits, then the smallest gives way to the two that fill most."""
     left, bins = sorted(pieces, reverse=True), []
