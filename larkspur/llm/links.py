@@ -95,6 +95,12 @@ def _contract(batches):
             yield pa.record_batch([pa.array(ids[some]), pa.array(ids[label[some]])], names=["u", "v"])
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """Whether each node of the edges (u, v), u > v, has one least node and that one none: then they are components."""
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("low")).union(e.select(F.col("v").alias("id"), F.lit(0).alias("low")))
+    return ends.groupBy("id").agg(F.sum("low").alias("lows"), F.count("*").alias("n")).where("lows > 0 AND n > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component), the least id reachable, for every id of edges (a, b).
 
@@ -103,8 +109,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     with Scratch(edges.sparkSession) as files:
         e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        e, before = files.written(e.mapInArrow(_contract, "u long, v long").distinct()), None
-        while True:
+        e = files.written(e.mapInArrow(_contract, "u long, v long").distinct())
+        while not _are_stars(e):
             both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
             stats = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
             large = spread_join(both.where("v > u"), stats.select("u", "m"), "u", sizes=stats.select("u", "n"))
@@ -114,10 +120,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             e = small.union(stats.select("u", F.col("m").alias("v")))
             e = files.written(e.mapInArrow(_contract, "u long, v long").distinct())
             files.drop_before(files.n - 1)
-            now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-            if now == before:
-                break
-            before = now
         return checkpoint(e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
 
 
@@ -328,7 +330,7 @@ def similar_components(found: DataFrame, attrs: DataFrame, bound: Bound, verify:
         if not n and not cut:
             return components
         rest = rest.where("old IS NULL").select("a", "b")
-        most *= 16
+        most *= 256
         if n:
             more = checkpoint(verify(rest))
             if more.isEmpty() and not cut:
