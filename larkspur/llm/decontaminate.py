@@ -7,12 +7,17 @@ one piece unchanged.  An automaton of all pieces finds the exact hits in each do
 around each, Myers' bit-parallel algorithm gives the least edit distance of the passage
 to any part of the document's surroundings.
 
-The benchmark is dealt in blocks whose pieces have at most ``BLOCK_CHARS`` characters;
-only one block at a time is broadcast, and every document meets every block.
+A passage too short for a single error (budget 0) is sought as it is, between the borders
+of words, or anywhere if it has a character of a script that is written without blanks.
 
-Defined results: null or empty texts hold nothing; passages of fewer than ``MIN_CHARS``
-compared characters are not sought (they would fit anywhere); null doc ids are reported
-as null; repeated rows are judged each by itself; other columns are ignored.
+The benchmark, the query set, is dealt in blocks whose pieces have at most
+``BLOCK_CHARS`` characters; each block is a broadcast of its own, and every document
+meets every block.
+
+Defined results: null or empty texts hold nothing, and null or empty passages are in
+nothing; of equally near places of a passage the first counts; a text of any length is
+searched whole; null doc ids are reported as null; repeated rows are judged each by
+itself; other columns, of either table, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.05
-MIN_CHARS = 20
+#: Characters from here on are of scripts that are written without blanks.
+_UNSPACED = "\u2e80"
 BLOCK_CHARS = 8_000_000
 HITS = "doc_id long, item_id long, start long, end long, distance int"
 
@@ -76,6 +82,12 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _bordered(p: str, text: str, at: int) -> bool:
+    """Whether a short passage stands between the borders of words at a place, or needs none."""
+    end = at + len(p)
+    return any(c >= _UNSPACED for c in p) or ((at == 0 or text[at - 1] == " ") and (end == len(text) or text[end] == " "))
+
+
 class Finder:
     """Passages of one block."""
 
@@ -106,22 +118,22 @@ class Finder:
         for i, starts in diagonals.items():
             item, p = self.items[i]
             k = self.budget[i]
-            best = None
-            done = -1
-            for s in sorted(starts):  # overlapping surroundings are searched once
-                lo, hi = max(0, s - k, done), min(len(text), s + len(p) + k)
-                if hi <= done or hi - lo < len(p) - k:
-                    continue
-                lo = max(0, min(lo, hi - len(p) - 2 * k))
-                if text.startswith(p, s) if s >= 0 else False:
-                    d, end = 0, s + len(p)
+            exact = next((x for x in sorted(starts) if x >= 0 and text.startswith(p, x) and (k or _bordered(p, text, x))), None)
+            if exact is not None:
+                yield item, exact, exact + len(p), 0
+                continue
+            best, around = None, []
+            for s in sorted(starts) if k else ():  # overlapping surroundings are searched once
+                lo, hi = max(0, s - k), min(len(text), s + len(p) + k)
+                if around and lo <= around[-1][1]:
+                    around[-1][1] = max(hi, around[-1][1])
                 else:
+                    around.append([lo, hi])
+            for lo, hi in around:
+                if hi - lo >= len(p) - k:
                     d, end = myers(p, text[lo:hi])
-                    end += lo
-                if d <= k and (best is None or d < best[2]):
-                    best = (max(0, end - len(p)), end, d)
-                    if d == 0:
-                        break
+                    if d <= k and (best is None or d < best[2]):
+                        best = (max(0, lo + end - len(p)), lo + end, d)
             if best:
                 yield (item, *best)
 
@@ -144,7 +156,7 @@ def passages(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     def all_items():
         for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().toLocalIterator():
             p = compared(r["text"])
-            if len(p) >= MIN_CHARS:
+            if p:
                 yield r["item_id"], p
 
     part, size = [], 0

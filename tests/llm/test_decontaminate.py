@@ -53,3 +53,12 @@ def test_leaks_against_full_distance(docs, spark):
     kept = without_leaks(docs(rows), bench)
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((i for i, _ in rows if i not in {d for d, *_ in want}), key=repr)
     assert leaks(docs([]), bench).count() == 0 and leaks(docs(rows), bench.limit(0)).count() == 0 and without_leaks(docs(rows), bench.limit(0)).count() == len(rows)
+
+
+def test_short_passages(docs, spark):
+    """Passages without an error to spare are found as they are, at words' borders; whole sentences without blanks anywhere."""
+    bench = spark.createDataFrame([(1, "Short leak here"), (2, "漢字の短い文です"), (3, ""), (4, None), (5, "ok")], "item_id long, text string")
+    rows = [(1, "so a short  LEAK here!"), (2, "a short leak hereby"), (3, "前漢字の短い文です後"), (4, "short leak"), (5, "look"), (6, "is it OK?"), (7, None), (8, "x " * 100_000 + "short leak here")]
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in leaks(docs(rows), bench).collect())
+    assert got == [(1, 1, 0), (3, 2, 0), (6, 5, 0), (8, 1, 0)]
+    assert sorted(r.doc_id for r in without_leaks(docs(rows), bench).collect()) == [2, 4, 5, 7]
