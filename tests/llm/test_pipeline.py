@@ -4,7 +4,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from larkspur.llm.decontaminate import MIN_CHARS, budget, compared
+from larkspur.llm.decontaminate import budget, compared
 from larkspur.llm.packing import default_tokenizer
 from larkspur.llm.quality_rules import RULES, STOP_WORDS
 from tests.llm.test_line_dedup import brute as brute_lines
@@ -108,7 +108,7 @@ def test_run_against_brute_force(spark, tables):
     assert 60 < len(left) < 90
     left = check(1, brute_lines(left))
     left = check(2, brute_near(left))
-    sought = [compared(t) for _, t in items if len(compared(t)) >= MIN_CHARS]
+    sought = [compared(t) for _, t in items if compared(t)]
     left = check(3, [r for r in left if not any(distance_to_part(p, compared(r[1])) <= budget(len(p)) for p in sought)])
     assert not {i for i, _ in left} & set(range(80, 86))
     from tokenizers import Tokenizer
