@@ -11,16 +11,18 @@ matrix apart.  The fallback of object is rendered, as nothing is loaded that cou
 stand for it; those of video, audio and canvas are not, as browsers show the medium or
 the drawing, nor that of iframe and noscript, which browsers do not read.  Blocks stand apart by one
 newline, or by a blank line where browsers leave a margin; list items carry their
-mark and depth; ``pre`` keeps its white space; table cells are padded to columns.
+mark and depth; ``pre`` keeps its white space; table cells are padded to columns, but in
+tables inside more than ALIGNED others, where cells follow each other as blocks.
 
 Defined results: a null or empty page gives an empty text; bare text is rendered as
-it stands; null ids stay null; repeated rows are rendered each by itself; other columns
+it stands; a page of any length or depth is rendered whole; null ids stay null; repeated rows are rendered each by itself; other columns
 are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -66,6 +68,8 @@ _UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
+#: Tables nested deeper are not aligned: their cells follow each other as blocks.
+ALIGNED = 20
 #: Their content is text up to their own end tag.
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 _TAG = re.compile(r"""<(?:!--(?s:.*?)(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[!?/][^>]*>)""")
@@ -101,12 +105,17 @@ class TreeBuilder:
     def __init__(self):
         self.root = Node("#root")
         self.open = [self.root]
+        self.n: Counter[str] = Counter()  # open elements by tag, so that none is looked for in vain
 
     def feed(self, html: str) -> None:
-        at = 0
+        at, tagged, comment = 0, None, html.rfind("<!--")
         while True:
-            m = _TAG.search(html, at)
             start = html.find("<", at)
+            if start < 0 or start > comment and html.find(">", start) < 0:
+                break
+            if tagged is None or tagged.start() < at:  # else the one found before is still the next
+                tagged = _TAG.search(html, at)
+            m = tagged
             if m is None or 0 <= start < m.start():
                 loose = _LOOSE.search(html, at)
                 if loose and (m is None or loose.start() < m.start()):
@@ -135,18 +144,24 @@ class TreeBuilder:
     def _data(self, text: str) -> None:
         self.open[-1].children.append(unescape(text) if "&" in text else text)
 
+    def _leave(self, i: int) -> None:
+        self.n.subtract(x.tag for x in self.open[i:])
+        del self.open[i:]
+
     def _close(self, tags, until) -> None:
+        if not any(self.n[t] > 0 for t in tags):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             tag = self.open[i].tag
             if tag in until:
                 return
             if tag in tags:
-                del self.open[i:]
+                self._leave(i)
                 return self._close(tags, until)
 
     def _start(self, tag: str, attrs: str) -> None:
         while tag in BREAKS_OUT and self.open[-1].holds_foreign():
-            self.open.pop()
+            self._leave(len(self.open) - 1)
         if tag in ENDS_P:
             self._close({"p"}, P_SCOPE)
         if tag in CLOSES:
@@ -155,14 +170,17 @@ class TreeBuilder:
         self.open[-1].children.append(node)
         if not (attrs.endswith("/") if node.foreign else tag in VOID):
             self.open.append(node)
+            self.n[tag] += 1
 
     def _end(self, tag: str) -> None:
         if tag == "br":
             self.open[-1].children.append(Node("br"))
+        if self.n[tag] <= 0:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             here = self.open[i].tag
             if here == tag:
-                del self.open[i:]
+                self._leave(i)
                 return
             if here in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html"):
                 return  # a stray end tag does not leave its cell
@@ -171,7 +189,8 @@ class TreeBuilder:
 class _Out:
     """Lines in the making: text flows into the last line, breaks are merged."""
 
-    def __init__(self):
+    def __init__(self, depth: int = 0):
+        self.depth = depth  # tables around
         self.lines: list[str] = [""]
         self.blank = False  # a blank line is due before the next text
         self.indent = ""
@@ -215,8 +234,8 @@ class _Out:
         return "\n".join(x.rstrip() for x in self.lines).strip("\n")
 
 
-def _inline(node: Node) -> str:
-    out = _Out()
+def _inline(node: Node, depth: int) -> str:
+    out = _Out(depth)
     for c in node.children:
         _render(c, out, False)
     return " ".join(out.done().split())
@@ -240,6 +259,7 @@ def _span(cell: Node) -> int:
 
 
 def _table(node: Node, out: _Out) -> None:
+    out.depth += 1
     for c in node.children:
         if isinstance(c, Node) and c.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col") or isinstance(c, str) and c.strip():
             _render(c, out, False)
@@ -250,9 +270,9 @@ def _table(node: Node, out: _Out) -> None:
         for cell in tr.children:
             if isinstance(cell, Node) and cell.tag in ("td", "th"):
                 if cell.visible():
-                    row += [_inline(cell)] + [""] * (_span(cell) - 1)
+                    row += [_inline(cell, out.depth)] + [""] * (_span(cell) - 1)
             elif isinstance(cell, Node) or cell.strip():
-                row.append(_inline(cell) if isinstance(cell, Node) else " ".join(cell.split()))
+                row.append(_inline(cell, out.depth) if isinstance(cell, Node) else " ".join(cell.split()))
         if any(row):
             grid.append(row)
     width: list[int] = []
@@ -266,6 +286,7 @@ def _table(node: Node, out: _Out) -> None:
         out.text("​")
         out.lines[-1] = out.lines[-1].removesuffix("​") + " | ".join(c.ljust(w) for c, w in zip(row, width, strict=False))
         out.newline()
+    out.depth -= 1
 
 
 def _render(root, out: _Out, pre: bool) -> None:
@@ -305,7 +326,7 @@ def _render(root, out: _Out, pre: bool) -> None:
             continue
         spaced = tag in SPACED and not (tag in ("ul", "ol") and out.indent)
         out.brk(spaced)
-        if tag == "table":
+        if tag == "table" and out.depth < ALIGNED:
             _table(node, out)
             out.brk(True)
             continue

@@ -1,3 +1,5 @@
+import time
+
 from larkspur.llm.html_extract import extract_text, html_extract
 
 CASES = [
@@ -44,3 +46,17 @@ def test_math_svg_and_fallbacks():
     for html, want in FOREIGN:
         assert extract_text(html) == want, html
     assert extract_text("<svg>" + "<g>" * 20_000 + "<text>x") == "x"
+
+
+def test_deep_tables_keep_all_text():
+    n = 10_000
+    text = extract_text("".join(f"<table><tr><td>w{i}" for i in range(n)))
+    assert text.split() and [w for w in text.replace("|", " ").split()] == [f"w{i}" for i in range(n)]
+
+
+def test_long_malformed_pages_take_linear_time():
+    pages = ["<a " * 300_000, "<b>" * 100_000 + "</x>" * 100_000, "<i>" * 100_000 + "<div>" * 50_000, "<a b='" * 100_000, '<a "x>y ' * 20_000, "x<!--" * 100_000]
+    begun = time.process_time()
+    for p in pages:
+        extract_text(p)
+    assert time.process_time() - begun < 60
