@@ -21,9 +21,23 @@ def top_k(df: DataFrame, by: list[str], score: str, key: str, k: int, rank: str
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*by).orderBy(order, F.col(key)))).where(F.col(rank) <= k)
 
 
-def term_frequencies(items: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """(keys, term, tf); partial counts are made before the shuffle."""
-    return items.select(*keys, F.explode(T.bm25_terms(F.col(text))).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+#: Distinct (user, term) of queries up to which they are broadcast: some 20 MB.
+ASKED_TERMS = 200_000
+
+
+def only_asked(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    """The tokens (user_id, term, ...) whose term a query of their user has, before they are shuffled."""
+    terms = asked.select("user_id", "term").distinct()
+    if terms.limit(ASKED_TERMS + 1).count() <= ASKED_TERMS:
+        terms = F.broadcast(terms)
+    return tokens.join(terms, ["user_id", "term"], "left_semi")
+
+
+def term_frequencies(items: DataFrame, keys: list[str], text: str, asked: DataFrame | None = None) -> DataFrame:
+    """(keys, term, tf), of the terms asked for if given; partial counts are made before the shuffle."""
+    tokens = items.select(*keys, F.explode(T.bm25_terms(F.col(text))).alias("term"))
+    tokens = tokens if asked is None else only_asked(tokens, asked).select(*keys, "term")
+    return tokens.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_index(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -44,8 +58,13 @@ def bm25_index(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def bm25_topk(memories: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
     """(query_id, user_id, memory_id, bm25_score, bm25_rank); a repeated query term counts as often as it stands there."""
-    postings, stats = bm25_index(memories)
     q = term_frequencies(queries, ["query_id", "user_id"], "text").withColumnRenamed("tf", "qtf")
+    terms = T.bm25_terms(F.col("memory_content"))
+    sized = memories.select("user_id", "memory_id", terms.alias("terms")).withColumn("length", F.size("terms")).where("length > 0")
+    stats = sized.groupBy("user_id").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avgdl"))
+    tokens = only_asked(sized.select("user_id", "memory_id", "length", F.explode("terms").alias("term")), q)
+    tf = tokens.groupBy("user_id", "term", "memory_id", "length").agg(F.count("*").alias("tf"))
+    postings = tf.join(tf.groupBy("user_id", "term").agg(F.count("*").alias("df")), ["user_id", "term"])
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
     scored = q.join(postings, ["user_id", "term"]).join(stats, "user_id")

@@ -100,11 +100,12 @@ class Store:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self) -> dict:
-        path = self._path(f"{self.root}/CURRENT")
-        if not self._fs.exists(path):
+        """The newest pointer; each commit adds one under a name of its own, and none is ever deleted or overwritten here."""
+        found = self._fs.globStatus(self._path(f"{self.root}/POINTER-*"))
+        names = sorted(f.getPath().getName() for f in found or ())
+        if not names:
             return {"version": 0, "tables": {}}
-        rows = self.spark.read.text(f"{self.root}/CURRENT", wholetext=True).collect()
-        return json.loads(rows[0][0])
+        return json.loads(self.spark.read.text(f"{self.root}/{names[-1]}", wholetext=True).first()[0])
 
     def read(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{self._pointer()['tables'][table]}")
@@ -120,14 +121,13 @@ class Store:
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
             now["tables"][name] = f"{name}/v{version}"
         now["version"] = version
-        out = self._fs.create(self._path(f"{self.root}/.CURRENT.next"), True)
+        draft = self._path(f"{self.root}/.draft-{version:012d}")
+        out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps(now).encode()))
         out.close()
-        target = self._path(f"{self.root}/CURRENT")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(self._path(f"{self.root}/.CURRENT.next"), target):
-            raise OSError("the pointer could not be moved")
+        target = self._path(f"{self.root}/POINTER-{version:012d}")
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            raise OSError(f"version {version} was committed by another writer")
         return {name: self.read(name).count() for name in tables}
 
 

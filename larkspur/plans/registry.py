@@ -80,8 +80,8 @@ def bm25_stats(spark, d):
 @query("sparse_topk", f"""WITH {MEM}, {BM25}, sc AS (SELECT query_id, user_id, memory_id, round(sum(qtf::DOUBLE * tf), 6) AS sparse_score FROM qt JOIN tf USING (user_id, term) GROUP BY ALL)
 SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY sparse_score DESC, memory_id))::INT AS sparse_rank FROM sc QUALIFY sparse_rank <= 10""")
 def sparse_topk(spark, d):
-    items = search.term_frequencies(S.memories(spark, d).where("status = 'active'"), ["user_id", "memory_id"], "memory_content")
     asked = search.term_frequencies(S.queries(spark, d), ["query_id", "user_id"], "text")
+    items = search.term_frequencies(S.memories(spark, d).where("status = 'active'"), ["user_id", "memory_id"], "memory_content", asked)
     return search.sparse_topk(items.withColumn("w", F.col("tf").cast("double")), asked.withColumn("qw", F.col("tf").cast("double")).drop("tf"))
 
 
@@ -504,6 +504,57 @@ def activity(spark, d):
     return _text(incremental.activity(S.table(spark, d, "events")), "start")
 
 
+# --- scalar functions ------------------------------------------------------
+
+
+@query("strip_blanks", r"SELECT doc_id, md5(regexp_replace(text, '[\t\n\x0B\f\r ]+', '', 'g')) AS stripped_md5 FROM documents")
+def strip_blanks(spark, d):
+    """F04."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(T.strip_blanks(F.col("text"))).alias("stripped_md5"))
+
+
+@query("mask_values", "SELECT doc_id, CASE WHEN coalesce(source, '') = '' THEN '' ELSE substr(source, 1, 4) || '***' END AS masked FROM documents")
+def mask_values(spark, d):
+    """F26."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.mask(F.col("source")).alias("masked"))
+
+
+@query("item_keys", "SELECT doc_id, md5(coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'm' || doc_id END, ''), CASE WHEN doc_id % 2 = 0 THEN 'x' || doc_id END, 'content:' || text)) AS key_md5 FROM documents")
+def item_keys(spark, d):
+    """F31."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    name = lambda p: F.concat(F.lit(p), F.col("doc_id").cast("string"))
+    key = T.item_key(F.col("text"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(name("m")), F.when(F.col("doc_id") % 2 == 0, name("x")))
+    return docs.select("doc_id", F.md5(key).alias("key_md5"))
+
+
+@query("snowflake_parts", """SELECT event_id, (v >> 22) + 1704067200000 AS millis, ((v >> 17) & 31)::INT AS datacenter, ((v >> 12) & 31)::INT AS worker, (v & 4095)::INT AS sequence
+  FROM (SELECT event_id, event_id * 1000003 * 4099 AS v FROM events)""")
+def snowflake_parts(spark, d):
+    """F22."""
+    parts = T.snowflake_parts(F.col("event_id") * 1000003 * 4099)
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", parts.alias("p")).select("event_id", "p.*")
+
+
+@query("point_ids", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN doc_id::VARCHAR ELSE concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3),
+  substr('89ab', (('0x' || substr(h, 17, 1))::INT & 3) + 1, 1) || substr(h, 18, 3), substr(h, 21, 12)) END AS point_id
+  FROM (SELECT doc_id, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode('m' || doc_id)) AS h FROM documents)""")
+def point_ids(spark, d):
+    """F21."""
+    name = F.when(F.col("doc_id") % 4 == 0, F.col("doc_id").cast("string")).otherwise(F.concat(F.lit("m"), F.col("doc_id").cast("string")))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.point_id(name).alias("point_id"))
+
+
+@query("dense_threshold", """SELECT q.vec_id AS query_id, q.label AS user_id, e.vec_id AS memory_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS dense_score,
+  (row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) DESC, e.vec_id))::INT AS dense_rank
+FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 50 = 0 AND round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) >= 0.2 QUALIFY dense_rank <= 30""")
+def dense_threshold(spark, d):
+    """P11."""
+    v = S.vectors(spark, d)
+    asked = v.where("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), "user_id", F.col("dense").alias("qdense"))
+    return search.dense_topk(v, asked, 30, threshold=0.2)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
