@@ -126,3 +126,8 @@ def diverse(pool: DataFrame, k: int = 10, threshold: float = 0.8, digits: int =
     kinds = dict(pool.dtypes)
     pool = pool.select("query_id", "key", "position", "dense", "qdense")
     return pool.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, key {kinds['key']}, relevance_score double, diverse_rank int")
+
+
+def sigmoid(logit):
+    """a scorer's logit as a score between 0 and 1."""
+    return 1 / (1 + F.exp(-logit))

@@ -131,6 +131,22 @@ class Store:
         return {name: self.read(name).count() for name in tables}
 
 
+# The columns that the service's two listings show.
+LISTED = ["memory_id", "memory_content", "memory_type", "memory_category", "importance", "confidence", "created_at"]
+LISTED_WHOLE = ["status", "source_topic_ids", "derived_from_memory_ids"]
+
+
+def memory_view(memories: DataFrame, whole: bool = False) -> DataFrame:
+    """What a listing shows of memories; whole: with the status and the ids they come from, an empty list where there are none."""
+    lists = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in LISTED_WHOLE[1:] if whole}
+    return memories.withColumns(lists).select("user_id", *LISTED, *(LISTED_WHOLE if whole else []))
+
+
+def counts_by_type(memories: DataFrame) -> DataFrame:
+    """(user_id, memory_type, n)."""
+    return memories.groupBy("user_id", "memory_type").agg(F.count("*").alias("n"))
+
+
 def category_docs(memories: DataFrame) -> DataFrame:
     """(user_id, memory_type, memory_category, n, markdown): the document of each category without a model."""
     from larkspur.functions.text import render_section

@@ -555,6 +555,24 @@ def dense_threshold(spark, d):
     return search.dense_topk(v, asked, 30, threshold=0.2)
 
 
+@query("memory_view", f"WITH {MEM} SELECT user_id, memory_id, memory_content, memory_type, memory_category, importance, confidence, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM mem WHERE status = 'active'")
+def memory_view(spark, d):
+    """P12."""
+    return _text(store.memory_view(S.memories(spark, d).where("status = 'active'")), "created_at")
+
+
+@query("counts_by_type", f"WITH {MEM} SELECT user_id, memory_type, count(*) AS n FROM mem GROUP BY ALL")
+def counts_by_type(spark, d):
+    """A15."""
+    return store.counts_by_type(S.memories(spark, d))
+
+
+@query("sigmoid_scores", "SELECT event_id, round(1 / (1 + exp(-value / 50)), 9) AS score FROM events")
+def sigmoid_scores(spark, d):
+    """F11."""
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", F.round(ranking.sigmoid(F.col("value") / 50), 9).alias("score"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

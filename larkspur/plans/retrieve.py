@@ -29,8 +29,8 @@ def retrieve(memories: DataFrame, vectors: DataFrame, queries: DataFrame, now: s
     asked = queries.withColumn("qdense", embed(F.col("text")))
     items = wanted.select("user_id", "memory_id").join(vectors, "memory_id")
     dense = search.dense_topk(items, asked.select("query_id", "user_id", "qdense"), recall, digits=6)
-    terms = search.term_frequencies(wanted, ["user_id", "memory_id"], "memory_content").withColumn("w", F.col("tf").cast("double"))
     q_terms = search.term_frequencies(queries, ["query_id", "user_id"], "text").withColumn("qw", F.col("tf").cast("double")).drop("tf")
+    terms = search.term_frequencies(wanted, ["user_id", "memory_id"], "memory_content", q_terms).withColumn("w", F.col("tf").cast("double"))
     sparse = search.sparse_topk(terms, q_terms, recall)
     bm25 = search.bm25_topk(active, queries, 2 * recall)
     if memory_type or memory_category:
