@@ -1,25 +1,36 @@
 """Removal of repeated word windows by recompression.
 
-Every text is rewritten in rounds: maximal runs of two equal words become one symbol,
-then neighbouring symbols whose hashes put them on the left and on the right become
-one.  A symbol's name is a hash of what it stands for, so names are global without a
-dictionary, and a symbol's borders depend only on its neighbours.  Two copies of a
-window of ``WINDOW`` words therefore agree on their symbols but for ``MARGIN`` words at
-either end.  Of the agreed symbols, those that are least in their neighbourhood are
-shared: each window holds one at least, and it stands for ``GRAM`` words.
-
-Spark rounds: (1) shared symbols are exchanged, and those found twice or more reveal the
-windows that may repeat; (2) only these windows are exchanged by their hash, whose first
-document is found; (3) each document drops the words of windows that start earlier
-elsewhere or in itself.  A document sends each key once, so no key has more rows than
+Every text is named bottom up (see ``recompression``): runs and pairs of words get symbols,
+then runs and pairs of symbols, level by level until one symbol is left.  Names are hashes of
+what they stand for, hence global, and copies of a passage have the same symbols inside.
+
+Spark rounds:
+
+1. Symbols of all levels that stand for ``WINDOW`` words or more are exchanged by name.  A
+   name that an earlier document has too is a repeat of all its words, which go; the windows
+   in such a copy, or in a later copy in the same text, are settled and take no further part.
+2. What is left are windows that no shared symbol holds: those of short repeats and of the
+   ends of long ones, where symbols differ by their neighbours.  Of the symbols of the first
+   level, each that is least in its neighbourhood names the ``GRAM`` words from there;
+   copies of a window agree on these but for ``MARGIN`` words at either end, so each window
+   holds a name that its copies share.  Names of live windows are exchanged, and those found
+   in two documents reveal the windows that may repeat.
+3. Only these windows are exchanged, by the hash of their words, and their first document is
+   found.
+
+At last each document drops the words of its known symbols, of windows that an earlier
+document has, and of windows that it has earlier itself.  The first copy of a window, by
+document and place, is never settled, because a copy of the symbol around it would stand
+earlier; so no repeat is lost.  A document sends each key once, so no key has more rows than
 there are documents, and rows travel packed.
 
-Windows are compared by 64-bit hashes of their words: n windows have about n * n / 2**65
+Symbols and windows are compared by 64-bit hashes: n of them have about n * n / 2**65
 false matches.
 
 Defined results: a null or blank text has no words and keeps its (empty) hash; documents
 with the same doc_id count as one for order, none is earlier than the other; null ids
-come last; an empty table gives no rows; other columns are ignored.
+come last; a text of any length is named and compared as a whole; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.packed import SCHEMA, by_id, pack, pack_by_id, unpack
-from larkspur.llm.session import shuffle_partitions
+from larkspur.llm.recompression import Windows, cover
+from larkspur.llm.session import checkpoint, shuffle_partitions
 from larkspur.llm.text_hash import U, Words, doc_ngrams, mix, ngrams, slices, utf8
 
 WINDOW = 20
@@ -46,7 +58,7 @@ _KEY_BYTES = 5
 _NEVER = U(0xFFFFFFFFFFFFFFFF)
 
 
-def symbols(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def first_symbols(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(names, first word) of the symbols after a round of runs and a round of pairs; symbols stay in their document."""
     n = len(h)
     at = np.arange(n)
@@ -72,7 +84,7 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     if n < GRAM:
         return np.zeros(0, np.int64), np.zeros(0, U)
     doc = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
-    name, at = symbols(h, doc)
+    name, at = first_symbols(h, doc)
     rank = np.full(n, _NEVER)
     rank[at] = mix(name ^ U(0x5851F42D4C957F2D))
     low = np.append(rank, np.full(REACH - 1, _NEVER))
@@ -92,12 +104,12 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return chosen, ngrams(h, GRAM)[chosen]
 
 
-def _distinct(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, doc) pairs, and how often each occurs."""
+def _distinct(keys: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (key, doc) pairs."""
     order = np.lexsort((keys, doc))
     k, d = keys[order], doc[order]
-    first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))) if len(k) else np.zeros(0, np.int64)
-    return k[first], d[first], np.diff(np.append(first, len(k)))
+    new = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])) if len(k) else np.zeros(0, bool)
+    return k[new], d[new]
 
 
 def _batches(batch: pa.RecordBatch, text: str = "text"):
@@ -107,18 +119,36 @@ def _batches(batch: pa.RecordBatch, text: str = "text"):
         yield a, b, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _send_anchors(n_buckets: int):
+def _send_symbols(window: int, n_buckets: int):
+    """Of each document, the names of its symbols of ``window`` words or more."""
+
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column("k"), np.int64)
             keys, who = [], []
+            for a, b, words in _batches(batch):
+                name, text = Windows(words, window, [None] * (b - a)).open_names()
+                keys.append(name)
+                who.append(ids[a:b][text])
+            if keys:
+                yield pack(np.concatenate(keys), np.concatenate(who), n_buckets)
+
+    return run
+
+
+def _send_anchors(window: int, n_buckets: int):
+    """Of each document, the keys of the anchors that a live window holds."""
+
+    def run(batches):
+        for batch in batches:
+            ids, known = np.asarray(batch.column("k"), np.int64), batch.column("symbols").to_pylist()
+            keys, who = [], []
             for a, b, words in _batches(batch):
                 at, key = anchors(words)
-                doc = np.searchsorted(words.bounds, at, "right") - 1
-                k, d, times = _distinct(key, doc)
-                again = np.flatnonzero(times > 1)  # found twice in one document: sent twice
-                keys += [k, k[again]]
-                who += [ids[a:b][d], ids[a:b][d[again]]]
+                mine = Windows(words, window, known[a:b]).any_live(at + GRAM - window, at)
+                k, d = _distinct(key[mine], np.searchsorted(words.bounds, at[mine], "right") - 1)
+                keys.append(k)
+                who.append(ids[a:b][d])
             if keys:
                 yield pack(np.concatenate(keys), np.concatenate(who), n_buckets, _KEY_BYTES)
 
@@ -126,7 +156,7 @@ def _send_anchors(n_buckets: int):
 
 
 def _repeated(n_buckets: int):
-    """The keys of a bucket that occur more than once, dealt by document."""
+    """The keys of a bucket that several documents have, dealt by document."""
 
     def run(table: pa.Table) -> pa.Table:
         k, v = unpack(table, _KEY_BYTES)
@@ -166,28 +196,30 @@ def _keys_of(keys: bytes | None) -> np.ndarray:
 
 
 def _send_windows(window: int, n_buckets: int):
-    """Of each document, the distinct windows around a repeated symbol."""
+    """Of each document, the distinct live windows around a repeated anchor."""
 
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column("k"), np.int64)
-            lists = batch.column("keys").to_pylist()
+            lists, known = batch.column("keys").to_pylist(), batch.column("symbols").to_pylist()
             keys, who = [], []
             for a, b, words in _batches(batch):
                 at, key = anchors(words)
+                live = Windows(words, window, known[a:b]).live
                 key = key >> U(64 - 8 * _KEY_BYTES)
                 ends = np.searchsorted(at, words.bounds)
                 grams, bounds = doc_ngrams(words, window)
                 for i in range(b - a):
                     n = bounds[i + 1] - bounds[i]
-                    mine = slice(ends[i], ends[i + 1])
-                    hit = at[mine][np.isin(key[mine], _keys_of(lists[a + i]))] - words.bounds[i]
+                    own = slice(ends[i], ends[i + 1])
+                    hit = at[own][np.isin(key[own], _keys_of(lists[a + i]))] - words.bounds[i]
                     if n > 0 and len(hit):
                         # windows that hold the whole gram at a hit start from hit + GRAM - window to hit
                         edge = np.zeros(n + 1, np.int32)
                         np.add.at(edge, np.clip(hit + GRAM - window, 0, n), 1)
                         np.add.at(edge, np.clip(hit + 1, 0, n), -1)
-                        u = np.unique(grams[bounds[i] : bounds[i + 1]][np.cumsum(edge[:-1]) > 0])
+                        mine = (np.cumsum(edge[:-1]) > 0) & live[words.bounds[i] :][:n]
+                        u = np.unique(grams[bounds[i] : bounds[i + 1]][mine])
                         keys.append(u)
                         who.append(np.full(len(u), ids[a + i], np.int64))
             if keys:
@@ -196,33 +228,29 @@ def _send_windows(window: int, n_buckets: int):
     return run
 
 
-def removed_words(grams: np.ndarray, n_words: int, window: int, later: np.ndarray) -> np.ndarray:
-    """Which words of a document go: later holds the windows that an earlier document has."""
-    gone = np.zeros(n_words + 1, np.int32)
-    if len(grams):
-        order = np.argsort(grams, kind="stable")
-        g = grams[order]
-        bad = np.zeros(len(grams), bool)
-        bad[order[1:]] = g[1:] == g[:-1]  # not the first in the document
-        if len(later):
-            bad |= np.isin(grams, later)
-        at = np.flatnonzero(bad)
-        np.add.at(gone, at, 1)
-        np.add.at(gone, at + window, -1)
-    return np.cumsum(gone[:-1]) > 0
+def repeated_words(grams: np.ndarray, n_words: int, window: int, later: np.ndarray) -> np.ndarray:
+    """Which words of a document stand in windows that it has earlier, or that are in later: those an earlier document has."""
+    bad = np.zeros(len(grams), bool)
+    order = np.argsort(grams, kind="stable")
+    bad[order[1:]] = grams[order[1:]] == grams[order[:-1]]
+    if len(later):
+        bad |= np.isin(grams, later)
+    at = np.flatnonzero(bad)
+    return cover(n_words, at, np.full(len(at), window))
 
 
 def _finish(window: int):
     def run(batches):
         for batch in batches:
-            ids, lists = batch.column("k").to_pylist(), batch.column("keys").to_pylist()
+            ids, lists, known = (batch.column(c).to_pylist() for c in ("k", "keys", "symbols"))
             n_words, n_removed, sha = [], [], []
             for a, b, words in _batches(batch):
                 raw = words.data.tobytes()
                 grams, bounds = doc_ngrams(words, window)
+                settled = Windows(words, window, known[a:b]).known_words()
                 for i in range(b - a):
                     lo, hi = int(words.bounds[i]), int(words.bounds[i + 1])
-                    gone = removed_words(grams[bounds[i] : bounds[i + 1]], hi - lo, window, _keys_of(lists[a + i]))
+                    gone = settled[lo:hi] | repeated_words(grams[bounds[i] : bounds[i + 1]], hi - lo, window, _keys_of(lists[a + i]))
                     kept = np.flatnonzero(~gone) + lo
                     if len(kept) == hi - lo and hi > lo:
                         text = b" ".join(raw[words.start[lo] : words.end[hi - 1]].split())
@@ -250,9 +278,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         found = sent.groupBy("bucket").applyInArrow(found(n), SCHEMA)
         return found.groupBy("bucket").applyInArrow(_by_doc(key_bytes), "k long, keys binary")
 
-    shared = gathered(texts.mapInArrow(_send_anchors(n), SCHEMA), _repeated, _KEY_BYTES)
-    later = gathered(texts.join(shared, "k").mapInArrow(_send_windows(window, n), SCHEMA), _later, 8)
-    return texts.join(later, "k", "left").mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    symbols = checkpoint(gathered(texts.mapInArrow(_send_symbols(window, n), SCHEMA), _later, 8)).withColumnRenamed("keys", "symbols")
+    named = texts.join(symbols, "k", "left")
+    shared = gathered(named.mapInArrow(_send_anchors(window, n), SCHEMA), _repeated, _KEY_BYTES)
+    later = gathered(named.join(shared, "k").mapInArrow(_send_windows(window, n), SCHEMA), _later, 8)
+    return named.join(later, "k", "left").mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 # --- the registered query -------------------------------------------------

@@ -4,6 +4,7 @@ import re
 
 import pyarrow as pa
 
+from larkspur.llm.recompression import Symbols, Windows
 from larkspur.llm.substring_dedup import GRAM, WINDOW, anchors, substring_dedup
 from larkspur.llm.text_hash import Words, utf8
 
@@ -76,3 +77,37 @@ def test_long_text(docs):
     row = substring_dedup(docs([(1, text)])).first()
     assert row.n_words == 200_000
     assert row.n_removed == 200_000 - 9973
+
+
+def _words(*texts):
+    return Words(*utf8(pa.array(list(texts))))
+
+
+def test_symbols_stand_for_their_words():
+    """Equal names, equal words; copies of a passage share symbols, which reach to near its ends."""
+    rnd = random.Random(2)
+    for vocab in (2, 5, 300):
+        say = lambda n: [f"v{rnd.randrange(vocab)}" for _ in range(n)]  # noqa: B023, E731
+        passage = say(400)
+        texts = [say(rnd.randint(0, 50)) + passage + say(rnd.randint(0, 50)) for _ in range(4)] + [["r"] * 90]
+        words = _words(*(" ".join(t) for t in texts))
+        s = Symbols(words, 1)
+        meant: dict = {}
+        for name, at, size, text in zip(s.name.tolist(), s.at.tolist(), s.size.tolist(), s.text.tolist(), strict=True):
+            lo = at - int(words.bounds[text])
+            assert meant.setdefault(name, texts[text][lo : lo + size]) == texts[text][lo : lo + size]
+        names = [set(s.name[s.text == i].tolist()) for i in range(4)]
+        common = set.intersection(*names)
+        assert max(len(meant[n]) for n in common) >= 40
+
+
+def test_copies_are_settled_by_their_symbols():
+    rnd = random.Random(3)
+    passage = [f"w{rnd.randrange(5000)}" for _ in range(3000)]
+    first, second = _words(" ".join(passage)), _words("other " * 3 + " ".join(passage) + " end")
+    names, _ = Windows(first, WINDOW, [None]).open_names()
+    known = names.astype("<u8").tobytes()
+    windows = Windows(second, WINDOW, [known])
+    assert windows.live.sum() < 0.4 * len(passage)
+    assert windows.known_words().sum() > 0.8 * len(passage)
+    assert Windows(_words("", ""), WINDOW, [None, known]).live.sum() == 0
