@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module for each operator; each has QUERIES and ORACLES.
-MODULES = ("line_dedup", "quality_rules", "url_filter", "packing", "html_extract", "substring_dedup", "decontaminate", "jaccard_join", "quality_classifier", "secret_scan", "centroid_clustering")
+MODULES = ("line_dedup", "quality_rules", "url_filter", "packing", "html_extract", "substring_dedup", "decontaminate", "jaccard_join", "quality_classifier", "secret_scan", "collocations", "simhash", "centroid_clustering")
 
 
 def _merged(what: str) -> dict:
