@@ -22,6 +22,8 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,7 +44,13 @@ LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 26
 #: Cells that travel in one row.
 _BLOCK = 1 << 16
 #: Bytes of text that are worked on at once; one text is never split.
-_SLICE = 6_000_000
+_SLICE = 3_000_000
+#: Bytes of text for one task, where that leaves enough tasks for all cores: the fewer tasks, the less they send.
+_TASK = 128 << 20
+#: Runs that a task adds up before it sends them on.
+_HELD = 300_000
+#: Langs whose totals are broadcast, a few bytes each.
+_LANGS = 10_000
 _WORD, _BLANK, _BREAK = 0, 1, 2
 
 
@@ -72,7 +80,7 @@ class Runs:
         first[heads], last[heads - 1] = word[heads], word[heads - 1]
         start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
         row = np.searchsorted(offsets, start, "right") - 1
-        self.piece = np.cumsum(kind == _BREAK, dtype=np.int64)[start] + row if len(start) else start
+        self.piece = np.cumsum(kind == _BREAK, dtype=np.int32)[start].astype(np.int64) + row if len(start) else start
         self.lang = langs[row]
         ends = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[word])]).dictionary_encode()
@@ -178,14 +186,18 @@ def _merged(least: int):
     return run
 
 
+def few_tasks(texts: DataFrame, size: int, least: int = 0) -> DataFrame:
+    """The texts, ``size`` bytes in all, in tasks of some _TASK bytes, or ``least`` if that is more, but no fewer tasks than cores."""
+    return texts.coalesce(max(texts.sparkSession.sparkContext.defaultParallelism, size // max(_TASK, least)))
+
+
 def count_min(texts: DataFrame, orders: range, size: int, least: int, known: list):
     """(orders, broadcast bits of the cells at ``least`` or more, cells of a row) of the sketch merged over all texts.
 
-    The sketches of all tasks together have at most about twice the bytes of the texts: where there would be more, a task takes several partitions.
+    The sketches of all tasks together have about as many bytes as the texts, at most.
     """
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (len(orders) * size // 6 // PER_CELL).bit_length()))
-    tasks = max(1, 2 * size // (ROWS * cells * (1 if least <= 127 else 4)))
-    rows = texts.coalesce(max(tasks, texts.sparkSession.sparkContext.defaultParallelism)).mapInArrow(_sketch(orders, cells, least, known), "block int, body binary")
+    rows = few_tasks(texts, size, ROWS * cells * (1 if least <= 127 else 4)).mapInArrow(_sketch(orders, cells, least, known), "block int, body binary")
     rows = rows.repartition(shuffle_partitions(texts.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_merged(least), "block int, bits binary")
     bits = np.zeros((ROWS * cells // min(_BLOCK, cells), min(_BLOCK, cells) // 8), np.uint8)
     for r in rows.toLocalIterator():
@@ -193,43 +205,54 @@ def count_min(texts: DataFrame, orders: range, size: int, least: int, known: lis
     return orders, texts.sparkSession.sparkContext.broadcast(bits.reshape(ROWS, -1)), cells
 
 
+def _slice_counts(runs: Runs, langs: list[str], most_words: int, known: list):
+    """(langs by number, phrases, n) of a slice, by order: how often each run that passes occurs there."""
+    own, v = runs.hashes(langs), max(1, len(runs.vocabulary))
+    h, alive, rank, phrase, lang = own, None, None, None, None
+    for m in range(1, most_words + 1):
+        h = h if m == 1 else longer(h, own, m)
+        alive = _alive(h, m, alive, known) & runs.together(m)
+        at = np.flatnonzero(alive)
+        if not len(at):
+            return
+        # exact names: the number of the run without its last word, and that word's
+        name = (runs.lang[at] if m == 1 else rank[at]) * v + runs.word[at + m - 1]
+        _, first, inverse, n = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
+        last = runs.vocabulary.take(pa.array(runs.word[at[first] + m - 1]))
+        if m == 1:
+            phrase, lang = last, runs.lang[at[first]]
+        else:
+            before = rank[at[first]]
+            phrase, lang = pc.binary_join_element_wise(phrase.take(pa.array(before)), last, pa.scalar(b" ", pa.large_binary())), lang[before]
+        rank = np.zeros(len(own), np.int64)
+        rank[at] = inverse
+        yield lang, phrase, n
+
+
 def _counts(most_words: int, known: list):
-    """Rows (lang, phrase, n) of each slice: how often each run that passes occurs there; an empty phrase counts all words."""
+    """Rows (lang, phrase, n): the runs that pass, added up over much of a task; an empty phrase counts all words."""
+
+    def rows(total: Counter) -> pa.RecordBatch:
+        columns = [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.binary()).view(pa.string()), pa.array(list(total.values()), pa.int64())]
+        return pa.record_batch(columns, names=["lang", "phrase", "n"])
 
     def run(batches):
+        total: Counter = Counter()
         for batch in batches:
             for runs, langs in _runs(batch):
-                yield _rows(langs, np.arange(len(langs)), pa.array([b""] * len(langs), pa.large_binary()), np.bincount(runs.lang, minlength=len(langs)))
-                own, v = runs.hashes(langs), max(1, len(runs.vocabulary))
-                h, alive, rank, phrase, lang = own, None, None, None, None
-                for m in range(1, most_words + 1):
-                    h = h if m == 1 else longer(h, own, m)
-                    alive = _alive(h, m, alive, known) & runs.together(m)
-                    at = np.flatnonzero(alive)
-                    if not len(at):
-                        break
-                    # exact names: the number of the run without its last word, and that word's
-                    name = (runs.lang[at] if m == 1 else rank[at]) * v + runs.word[at + m - 1]
-                    _, first, inverse, n = np.unique(name, return_index=True, return_inverse=True, return_counts=True)
-                    last = runs.vocabulary.take(pa.array(runs.word[at[first] + m - 1]))
-                    if m == 1:
-                        phrase, lang = last, runs.lang[at[first]]
-                    else:
-                        before = rank[at[first]]
-                        phrase, lang = pc.binary_join_element_wise(phrase.take(pa.array(before)), last, pa.scalar(b" ", pa.large_binary())), lang[before]
-                    rank = np.zeros(len(own), np.int64)
-                    rank[at] = inverse
-                    yield _rows(langs, lang, phrase, n)
+                for code, n in enumerate(np.bincount(runs.lang, minlength=len(langs)).tolist()):
+                    total[langs[code], b""] += n
+                for lang, phrase, n in _slice_counts(runs, langs, most_words, known):
+                    for code, text, count in zip(lang.tolist(), phrase.to_pylist(), n.tolist(), strict=True):
+                        total[langs[code], text] += count
+                    if len(total) > _HELD:
+                        yield rows(total)
+                        total.clear()
+        yield rows(total)
 
     return run
 
 
-def _rows(langs: list[str], lang: np.ndarray, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    names = pa.array(langs, pa.string()).take(pa.array(lang))
-    text = phrase.cast(pa.binary()).view(pa.string())
-    return pa.record_batch([names, text, pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
-
-
 def frequent_runs(docs: DataFrame, least: int, most_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, f) of all runs of up to ``most_words`` words that occur ``least`` times or more, (lang, n) words); exact."""
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_column().alias("text"))
@@ -238,7 +261,7 @@ def frequent_runs(docs: DataFrame, least: int, most_words: int = 5) -> tuple[Dat
     for orders in (range(1, min(2, most_words) + 1), range(3, most_words + 1)):
         if len(orders):
             known.append(count_min(texts, orders, size, least, known))
-    rows = texts.mapInArrow(_counts(most_words, known), "lang string, phrase string, n long")
+    rows = few_tasks(texts, size).mapInArrow(_counts(most_words, known), "lang string, phrase string, n long")
     counts = checkpoint(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == "")))
     words = (F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1).alias("words")
     return counts.where("phrase != ''").select("lang", "phrase", words, "f"), counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
@@ -253,7 +276,8 @@ def scored(frequent: DataFrame, totals: DataFrame) -> DataFrame:
     parts = frequent.select(name(F.col("phrase")).alias("name"), "f")
     for side, to in (("left", "l"), ("right", "r")):
         cuts = spread_join(cuts, parts.select(F.col("name").alias(side), F.col("f").alias(to)), side, by="phrase").drop(side)
-    cuts = spread_join(cuts, totals, "lang", by="phrase")
+    few = totals.limit(_LANGS + 1).count() <= _LANGS
+    cuts = cuts.join(F.broadcast(totals), "lang") if few else spread_join(cuts, totals, "lang", by="phrase")
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     score = F.call_function("div", F.lit(1000).cast("decimal(4,0)") * wide("a") * wide("n"), wide("l") * wide("r"))
     best = cuts.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("x"))
