@@ -51,6 +51,12 @@ def distance(name: str | None):
     return DISTANCES.get((name or "").strip().lower(), (cosine, False))
 
 
+def distance_name(name: str | None) -> tuple[str, bool]:
+    """The name without aliases, and whether less is nearer."""
+    function, less = distance(name)
+    return next(n for n in ("cosine", "dot", "euclid", "manhattan") if DISTANCES[n][0] is function), less
+
+
 def hash_embedding(terms: Column, dim: int = 64) -> Column:
     """The deterministic default embedder: md5 of each term picks its place, weights are counts, length is 1."""
     places = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("bigint") % dim)

@@ -8,38 +8,14 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import json as J
 from larkspur.functions import text as T
-from larkspur.operators.search import similar_pairs
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/larkspur-checkpoints")
-    return df.checkpoint()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) with the least id reachable, for every id of edges (a, b).
-
-    Each round hands every id the least label among its neighbours and then that label's own label, so that chains halve;
-    rounds are checkpointed and end when no label changes.
-    """
-    both = _checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _checkpoint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("a") == F.col("id")).select("id", F.least("label", "near").alias("new"), "label")
-        jump = step.select(F.col("id").alias("new"), F.col("new").alias("further"))
-        after = _checkpoint(step.join(jump, "new", "left").select("id", F.least("new", F.coalesce("further", "new")).alias("component"), "label"))
-        if after.where("component != label").isEmpty():
-            return after.select("id", "component")
-        labels = after.select("id", F.col("component").alias("label"))
+from larkspur.operators.graph import components
+from larkspur.operators.rounds import checkpoint
+from larkspur.operators.search import similar_links
 
 
 def clusters(items: DataFrame, buckets: list[str], key: str, vector: str, threshold: float) -> DataFrame:
     """(key, component) for the members of clusters of two or more, within buckets."""
-    pairs = similar_pairs(items.where(F.col(vector).isNotNull()), buckets, key, vector, threshold)
-    return components(pairs.select("a", "b")).withColumnRenamed("id", key)
+    return components(similar_links(items, buckets, key, vector, threshold)).withColumnRenamed("id", key)
 
 
 def missing_vectors(memories: DataFrame, vectors: DataFrame, embed) -> DataFrame:
@@ -72,14 +48,14 @@ def merged_scores(members: DataFrame, decisions: DataFrame, digits: int = 9) ->
     return out.select("cluster", F.round(pick("llm_importance", "most"), digits).alias("importance"), F.round(pick("llm_confidence", "mean"), digits).alias("confidence"), "merged_count")
 
 
-def consolidate(memories: DataFrame, vectors: DataFrame, decisions: DataFrame, now: str, threshold: float = 0.5, embed=None) -> tuple[DataFrame, DataFrame]:
-    """(memories after one sleep pass, report) for all users.
+def sleep_pass(memories: DataFrame, vectors: DataFrame, decisions: DataFrame, now: str, threshold: float = 0.5, embed=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ids to archive, merged memories to add, report) of one sleep pass for all users.
 
     decisions (component, should_merge, merged_content, memory_type, memory_category, llm_importance, llm_confidence) stand for the model's
     answers; a cluster without one, or with a blank content, is left as it is.  Sources are archived, the merged memory lists them newest first.
     """
     active = missing_vectors(memories.where("status = 'active'"), vectors, embed) if embed else memories.where("status = 'active'").join(vectors, "memory_id")
-    grouped = _checkpoint(clusters(active, ["user_id", "memory_type", "memory_category"], "memory_id", "dense", threshold))
+    grouped = checkpoint(clusters(active, ["user_id", "memory_type", "memory_category"], "memory_id", "dense", threshold))
     good = decisions.where("should_merge AND trim(merged_content) != ''")
     members = memories.join(grouped, "memory_id").join(good.select("component"), "component", "left_semi")
     members = members.withColumn("cluster", F.col("component")).withColumn("position", F.row_number().over(W.partitionBy("component").orderBy(F.desc("created_at"), "memory_id")))
@@ -96,7 +72,12 @@ def consolidate(memories: DataFrame, vectors: DataFrame, decisions: DataFrame, n
             F.col("cites").alias("source_topic_cites"), F.transform("x", lambda e: e["memory_id"]).alias("derived_from_memory_ids"), F.col("merged_count").cast("int").alias("derived_memory_count"),
         )
     )
-    gone = members.select("memory_id", F.lit("archived").alias("_status"))
-    kept = memories.join(gone, "memory_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
     report = grouped.agg(F.countDistinct("component").alias("clusters")).join(merged.agg(F.count("*").alias("merged"), F.sum("derived_memory_count").alias("archived")), F.lit(True))
+    return members.select("memory_id"), merged, report
+
+
+def consolidate(memories: DataFrame, vectors: DataFrame, decisions: DataFrame, now: str, threshold: float = 0.5, embed=None) -> tuple[DataFrame, DataFrame]:
+    """(memories after one sleep pass, report) for all users."""
+    gone, merged, report = sleep_pass(memories, vectors, decisions, now, threshold, embed)
+    kept = memories.join(gone.withColumn("_status", F.lit("archived")), "memory_id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status")
     return kept.unionByName(merged, allowMissingColumns=True), report

@@ -1,6 +1,6 @@
 """Recall over all users and queries at once: BM25, dense, sparse; similar pairs within buckets.
 
-Every join is an equi-join on the user (or bucket) and, where there is one, the term.
+Every join is an equi-join: on the user and the term, or on the user and a cell of the vector index.
 Ranks come from row_number() <= k, which Spark turns into a group limit before the
 shuffle; ties go to the lesser id.
 """
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
 from larkspur.functions import vector as V
+from larkspur.operators.index import PivotIndex
+from larkspur.operators.rounds import checkpoint, spread_join
 
 
 def top_k(df: DataFrame, by: list[str], score: str, key: str, k: int, rank: str = "rank", ascending: bool = False) -> DataFrame:
@@ -73,14 +75,13 @@ def bm25_topk(memories: DataFrame, queries: DataFrame, k: int = 20, k1: float =
 
 
 def dense_topk(items: DataFrame, queries: DataFrame, k: int = 10, distance: str = "cosine", threshold: float | None = None, digits: int = 4) -> DataFrame:
-    """Items (user_id, memory_id, dense) against queries (query_id, user_id, qdense), exact, within the user."""
-    function, nearer_is_less = V.distance(distance)
-    if function is V.cosine:  # norms once a row instead of once a pair
-        items, queries, function = items.withColumn("dense", V.unit(F.col("dense"))), queries.withColumn("qdense", V.unit(F.col("qdense"))), V.dot
-    pairs = queries.join(items, "user_id").withColumn("dense_score", F.round(function(F.col("qdense"), F.col("dense")), digits))
-    if threshold is not None:
-        pairs = pairs.where(F.col("dense_score") <= threshold if nearer_is_less else F.col("dense_score") >= threshold)
-    return top_k(pairs.drop("dense", "qdense"), ["query_id", "user_id"], "dense_score", "memory_id", k, "dense_rank", nearer_is_less)
+    """Items (user_id, memory_id, dense) against queries (query_id, user_id, qdense), exact, within the user.
+
+    Through cells around pivots (see ``index``), which are set up by some jobs here, before the caller acts.
+    """
+    metric, less = V.distance_name(distance)
+    found = PivotIndex.build(items, ["user_id"], "memory_id", "dense", metric).top_k(queries, "qdense", k, less, threshold, digits)
+    return top_k(found.withColumnsRenamed({"key": "memory_id", "score": "dense_score"}), ["query_id", "user_id"], "dense_score", "memory_id", k, "dense_rank", less)
 
 
 def sparse_topk(weights: DataFrame, query_weights: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
@@ -91,11 +92,27 @@ def sparse_topk(weights: DataFrame, query_weights: DataFrame, k: int = 10, digit
 
 
 def similar_pairs(items: DataFrame, buckets: list[str], key: str, vector: str, threshold: float, digits: int = 9) -> DataFrame:
-    """(buckets, a, b, cosine) for keys a < b of one bucket whose cosine is at least the threshold; buckets of one row give none."""
-    units = items.select(*buckets, F.col(key).alias("a"), V.unit(F.col(vector)).alias("u"))
-    other = units.withColumnsRenamed({"a": "b", "u": "v"})
-    pairs = units.join(other, buckets).where("a < b").withColumn("cosine", F.round(V.dot(F.col("u"), F.col("v")), digits))
-    return pairs.where(F.col("cosine") >= threshold).select(*buckets, "a", "b", "cosine")
+    """(buckets, a, b, cosine) for keys a < b of one bucket whose cosine is at least the threshold; buckets of one row give none.
+
+    Through cells around pivots: only cells that the threshold can reach meet, block by block.
+    """
+    return PivotIndex.build(items, buckets, key, vector).pairs(threshold, digits).withColumnRenamed("score", "cosine")
+
+
+def similar_links(items: DataFrame, buckets: list[str], key: str, vector: str, threshold: float, digits: int = 9) -> DataFrame:
+    """(a, b): links that join the keys of each bucket into the components of ``similar_pairs``, without all of its pairs.
+
+    Equal vectors are joined to the least of their keys; of those that differ, each block gives a spanning forest.
+    """
+    given = items.where(F.col(vector).isNotNull()).select(*buckets, F.col(key).alias("key"), F.col(vector).alias("vector"))
+    same = checkpoint(given.groupBy(*buckets, "vector").agg(F.min("key").alias("least"), F.count("*").alias("n")))
+    links = PivotIndex.build(same, buckets, "least", "vector").pairs(threshold, digits, linked_only=True).select("a", "b")
+    alike = same.where((F.col("n") > 1) & (F.round(V.dot(V.unit(F.col("vector")), V.unit(F.col("vector"))), digits) >= threshold))
+    total = alike.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return links
+    copies = spread_join(given, alike.select(*buckets, "vector", "least"), [*buckets, "vector"], alike, total, "key")
+    return links.union(copies.where("key != least").select("least", "key"))
 
 
 def build_filter(user_id=None, memory_type=None, memory_category=None, status="active", content_hash=None, memory_ids=None, updated_from=None, updated_to=None, extra: list[Column] | None = None) -> Column:

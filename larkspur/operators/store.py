@@ -1,14 +1,8 @@
-"""The memory store as tables: upserts, updates and reads as joins over whole snapshots.
-
-A snapshot is a Parquet folder of its own; a commit writes all layers and then moves one
-pointer file, so that readers see either the old or the new state of all of them.
-"""
+"""The memory store's operations as joins over whole tables; ``log`` keeps tables between runs."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -90,47 +84,6 @@ def missing_facts(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-class Store:
-    """Snapshots of named tables under one folder of any file system that Spark knows."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _pointer(self) -> dict:
-        """The newest pointer; each commit adds one under a name of its own, and none is ever deleted or overwritten here."""
-        found = self._fs.globStatus(self._path(f"{self.root}/POINTER-*"))
-        names = sorted(f.getPath().getName() for f in found or ())
-        if not names:
-            return {"version": 0, "tables": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/{names[-1]}", wholetext=True).first()[0])
-
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self._pointer()['tables'][table]}")
-
-    def tables(self) -> list[str]:
-        return sorted(self._pointer()["tables"])
-
-    def commit(self, **tables: DataFrame) -> dict[str, int]:
-        """Writes all given tables, then moves the pointer; gives their row counts. A failed write leaves the old state."""
-        now = self._pointer()
-        version = now["version"] + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
-            now["tables"][name] = f"{name}/v{version}"
-        now["version"] = version
-        draft = self._path(f"{self.root}/.draft-{version:012d}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(now).encode()))
-        out.close()
-        target = self._path(f"{self.root}/POINTER-{version:012d}")
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            raise OSError(f"version {version} was committed by another writer")
-        return {name: self.read(name).count() for name in tables}
-
-
 # The columns that the service's two listings show.
 LISTED = ["memory_id", "memory_content", "memory_type", "memory_category", "importance", "confidence", "created_at"]
 LISTED_WHOLE = ["status", "source_topic_ids", "derived_from_memory_ids"]

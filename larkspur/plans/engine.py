@@ -1,4 +1,7 @@
-"""One object for extract, update and retrieve over a snapshot store; models are injected, everything else is the plans'."""
+"""One object for extract, update and retrieve over a store of tables; models are injected, everything else is the plans'.
+
+Every change is a delta (see ``operators.log``): no call rewrites a table, and calls of several writers do not undo each other's.
+"""
 
 from __future__ import annotations
 
@@ -9,25 +12,35 @@ from larkspur import schema
 from larkspur.functions import text as T
 from larkspur.functions import vector as V
 from larkspur.operators import dialogue, merge, store
+from larkspur.operators.log import Delta, Store
+from larkspur.operators.rounds import checkpoint
 from larkspur.plans import extract as X
 from larkspur.plans import retrieve as R
 
 
+# Name: (columns, key, columns that a later upsert does not change).
+TABLES = {
+    "topics": ("topic_id string, topic_idx int, topic_text string, source_conversation_ids array<string>", "topic_id", ()),
+    "memories": (schema.MEMORIES, "memory_id", ("created_at", "user_id")),
+    "vectors": ("memory_id string, dense array<double>", "memory_id", ()),
+    "documents": ("doc_key string, user_id string, memory_type string, memory_category string, n bigint, markdown string", "doc_key", ()),
+}
+
+
 class Engine:
     """embed: text Column -> vector Column; answer: (kind, topic text) Columns -> answer Column, or a replay table."""
 
     def __init__(self, spark: SparkSession, root: str, answer=None, embed=None, scorer=None):
-        self.spark, self.store, self.answer, self.scorer = spark, store.Store(spark, root), answer, scorer
+        self.spark, self.store, self.answer, self.scorer = spark, Store(spark, root), answer, scorer
         self.embed = embed or (lambda text: V.hash_embedding(T.bm25_terms(text)))
 
-    def _table(self, name: str, ddl: str) -> DataFrame:
-        return self.store.read(name) if name in self.store.tables() else self.spark.createDataFrame([], ddl)
+        self.store.ensure(**TABLES)
 
     def memories(self) -> DataFrame:
-        return self._table("memories", schema.MEMORIES)
+        return self.store.read("memories")
 
     def vectors(self) -> DataFrame:
-        return self._table("vectors", "memory_id string, dense array<double>")
+        return self.store.read("vectors")
 
     def extract(self, histories: DataFrame, now: str, force_kind: bool = True) -> tuple[dict[str, int], DataFrame]:
         """All histories at once; topics, memories and vectors become visible in one commit. Gives row counts and the rejected histories."""
@@ -44,14 +57,10 @@ class Engine:
             F.lit(0).alias("derived_memory_count"), F.lit(None).cast("string").alias("metadata"),
         )
         topic_rows = topics.select("topic_id", "topic_idx", "topic_text", F.array("conv_id").alias("source_conversation_ids"))
-        old_topics = self._table("topics", "topic_id string, topic_idx int, topic_text string, source_conversation_ids array<string>")
+        new = checkpoint(new)  # written once: the model is not asked again for the vectors
         points = new.select("memory_id", self.embed(F.col("memory_content")).alias("dense"))
-        counts = self.store.commit(
-            topics=store.upsert(old_topics, topic_rows, "topic_id", keep=()),
-            memories=store.upsert(self.memories(), new, "memory_id", keep=("created_at", "user_id")),
-            vectors=store.upsert(self.vectors(), points, "memory_id", keep=()),
-        )
-        return counts, rejected
+        self.store.append(Delta("topics", "upsert", topic_rows), Delta("memories", "upsert", new), Delta("vectors", "upsert", points))
+        return {name: self.store.read(name).count() for name in ("topics", "memories", "vectors")}, rejected
 
     def clusters(self, threshold: float = 0.5) -> DataFrame:
         """The clusters a merge model is asked about: (memory_id, component)."""
@@ -60,17 +69,23 @@ class Engine:
 
     def update(self, decisions: DataFrame, now: str, threshold: float = 0.5) -> DataFrame:
         """A sleep pass over all users, then the category documents; gives the report."""
-        after, report = merge.consolidate(self.memories(), self.vectors(), decisions, now, threshold, self.embed)
-        added = after.join(self.vectors(), "memory_id", "left_anti").select("memory_id", self.embed(F.col("memory_content")).alias("dense"))
-        report = report.cache()
-        report.count()
-        self.store.commit(memories=after, vectors=self.vectors().unionByName(added), documents=store.category_docs(after))
+        memories, vectors = self.memories(), self.vectors()
+        gone, merged, report = merge.sleep_pass(memories, vectors, decisions, now, threshold, self.embed)
+        gone, merged, report = checkpoint(gone), checkpoint(merged), checkpoint(report)
+        added = memories.where("status = 'active'").select("memory_id", "memory_content").join(vectors, "memory_id", "left_anti").unionByName(merged.select("memory_id", "memory_content"))
+        whole = memories.limit(0).unionByName(merged, allowMissingColumns=True)
+        self.store.append(
+            Delta("memories", "patch", gone.withColumn("status", F.lit("archived"))), Delta("memories", "upsert", whole),
+            Delta("vectors", "upsert", added.select("memory_id", self.embed(F.col("memory_content")).alias("dense"))),
+        )
+        docs = store.category_docs(self.memories())
+        self.store.append(Delta("documents", "upsert", docs.withColumn("doc_key", F.concat_ws("\u0001", "user_id", "memory_type", "memory_category"))))
         return report
 
     def retrieve(self, queries: DataFrame, now: str, k: int = 10, bump: bool = True, **options) -> DataFrame:
-        """Ranked memories of all queries; with ``bump`` the hits are counted."""
-        hits = R.retrieve(self.memories(), self.vectors(), queries, now, k, scorer=self.scorer, embed=self.embed, **options).cache()
+        """Ranked memories of all queries; with ``bump`` the hits are counted, by a delta of one row a memory."""
+        hits = checkpoint(R.retrieve(self.memories(), self.vectors(), queries, now, k, scorer=self.scorer, embed=self.embed, **options))
         if bump:
-            seen = hits.select("query_id", "memory_id", F.lit(now).cast("timestamp").alias("at"))
-            self.store.commit(memories=store.bump_retrieval(self.memories(), seen).withColumn("retrieval_count", F.col("retrieval_count").cast("int")))
+            seen = hits.select("query_id", "memory_id").distinct()
+            self.store.append(Delta("memories", "bump", seen.select("memory_id", F.lit(1).alias("retrieval_count"), F.lit(now).cast("timestamp").alias("last_retrieved_at"))))
         return hits

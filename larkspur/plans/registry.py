@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as T
 from larkspur.functions import time as D
 from larkspur.functions import vector as V
-from larkspur.operators import dialogue, merge, ranking, search, store, validate
+from larkspur.operators import dialogue, log, merge, ranking, search, store, validate
+from larkspur.operators.rounds import shared_folder
 from larkspur.plans import extract, retrieve
 from larkspur.sources import tables as S
 from larkspur.streaming import incremental
@@ -347,6 +350,30 @@ def bump_retrieval(spark, d):
     return _text(store.bump_retrieval(old, hits), "last_retrieved_at")
 
 
+@query("store_merge_on_read", f"""WITH {MEM}, h AS (SELECT doc_id, sum(n)::INT AS n, max(a) AS a FROM (SELECT event_id // 10 AS doc_id, event_id % 2 AS half, count(DISTINCT user_id) AS n, max(ts) AS a FROM events GROUP BY ALL) GROUP BY doc_id)
+SELECT memory_id, user_id, md5(CASE WHEN doc_id % 5 = 0 THEN 'new ' || memory_content ELSE memory_content END) AS content_md5, CASE WHEN doc_id % 5 = 0 THEN 0.95::DOUBLE ELSE importance END AS importance,
+  CASE WHEN doc_id % 7 = 0 THEN 'archived' ELSE status END AS status, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, coalesce(n, 0)::INT AS retrieval_count, strftime(a, '%Y-%m-%d %H:%M:%S') AS last_retrieved_at
+FROM mem LEFT JOIN h USING (doc_id) WHERE doc_id % 9 <> 0
+UNION ALL SELECT 'n' || doc_id, user_id, md5('added'), importance, status, strftime(created_at, '%Y-%m-%d %H:%M:%S'), 0, NULL FROM mem WHERE doc_id % 5 = 1""")
+def store_merge_on_read(spark, d):
+    """Upserts, patches, bumps and deletes as deltas over a base, half of them compacted."""
+    cols = ["memory_id", "user_id", "memory_content", "importance", "status", "created_at"]
+    counters = {"retrieval_count": F.lit(0), "last_retrieved_at": F.lit(None).cast("timestamp")}
+    memories = S.memories(spark, d).withColumns(counters)
+    new = memories.where("doc_id % 5 = 0").withColumns({"memory_content": F.concat(F.lit("new "), "memory_content"), "importance": F.lit(0.95), "created_at": F.lit("2030-01-01").cast("timestamp"), "user_id": F.lit("nobody")})
+    extra = memories.where("doc_id % 5 = 1").withColumns({"memory_id": F.concat(F.lit("n"), F.col("doc_id")), "memory_content": F.lit("added")})
+    events = S.table(spark, d, "events").select("event_id", "user_id", F.concat(F.lit("m"), F.floor(F.col("event_id") / 10)).alias("memory_id"), F.col("ts").cast("timestamp").alias("at"))
+    hits = lambda half: events.where(F.col("event_id") % 2 == half).groupBy("memory_id", "user_id").agg(F.max("at").alias("last_retrieved_at")).select("memory_id", F.lit(1).alias("retrieval_count"), "last_retrieved_at")
+    s = log.Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    s.replace({"memories": (memories.select(*cols, *counters), "memory_id", ("created_at", "user_id"))})
+    s.append(log.Delta("memories", "upsert", new.unionByName(extra).select(*cols, *counters)), log.Delta("memories", "bump", hits(0)))
+    s.compact("memories")
+    s.append(log.Delta("memories", "patch", memories.where("doc_id % 7 = 0").select("memory_id", F.lit("archived").alias("status"))))
+    s.append(log.Delta("memories", "bump", hits(1)), log.Delta("memories", "delete", memories.where("doc_id % 9 = 0").select("memory_id")))
+    got = s.read("memories").withColumn("content_md5", F.md5(F.col("memory_content").cast("binary"))).drop("memory_content")
+    return _text(got, "created_at", "last_retrieved_at")
+
+
 @query("delete_memory", f"WITH {MEM} SELECT memory_id FROM mem WHERE doc_id % 9 <> 0")
 def delete_memory(spark, d):
     m = S.memories(spark, d)

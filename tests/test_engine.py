@@ -73,23 +73,3 @@ def test_sessions_in_a_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("found").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.user_id, r.n_messages) for r in spark.table("found").collect()) == [("u", 1), ("u", 2)]  # w's window is still open
-
-
-def test_a_commit_that_fails_leaves_the_old_state(spark, tmp_path):
-    """Tables without a pointer, a draft of one, or another writer's pointer change nothing that was committed."""
-    import pytest
-
-    from larkspur.operators.store import Store
-
-    store = Store(spark, str(tmp_path / "store"))
-    store.commit(memories=spark.range(3).toDF("id"))
-    (tmp_path / "store" / ".draft-000000000002").write_text("{half")
-    spark.range(9).toDF("id").write.parquet(str(tmp_path / "store" / "memories" / "v2"))
-    assert store.read("memories").count() == 3
-    store.commit(memories=spark.range(5).toDF("id"))
-    assert store.read("memories").count() == 5
-    taken = store._pointer()
-    store._pointer = lambda: {**taken, "version": 1, "tables": dict(taken["tables"])}
-    with pytest.raises(OSError):
-        store.commit(other=spark.range(1).toDF("id"))
-    assert Store(spark, str(tmp_path / "store")).tables() == ["memories"]

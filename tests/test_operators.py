@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import dialogue, merge, ranking, search, store, validate
+from larkspur.operators import dialogue, graph, log, merge, ranking, search, store, validate
 
 
 def rows(df, *cols):
@@ -112,7 +112,7 @@ def test_clusters_follow_chains(spark):
 
 def test_components_of_a_long_chain(spark):
     e = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r.component for r in merge.components(e).collect()} == {0}
+    assert {r.component for r in graph.components(e).collect()} == {0}
 
 
 def test_consolidate(spark):
@@ -147,12 +147,13 @@ def test_upsert_keeps_and_bump_counts_queries(spark):
 
 
 def test_snapshots(spark, tmp_path):
-    s = store.Store(spark, f"{tmp_path}/s")
-    assert s.commit(a=spark.range(3), b=spark.range(2)) == {"a": 3, "b": 2}
-    s.commit(a=s.read("a").where("id > 0"))
+    s = log.Store(spark, f"{tmp_path}/s")
+    whole = lambda **tables: {n: (df, "id", ()) for n, df in tables.items()}
+    s.replace(whole(a=spark.range(3), b=spark.range(2)))
+    s.replace(whole(a=s.read("a").where("id > 0")))
     assert s.read("a").count() == 2 and s.read("b").count() == 2 and s.tables() == ["a", "b"]
     with pytest.raises(Exception):
-        s.commit(b=spark.range(9), a=spark.range(1).select(F.raise_error(F.lit("no")).alias("x")))
+        s.replace(whole(b=spark.range(9), a=spark.range(1).select(F.raise_error(F.lit("no")).alias("id"))))
     assert s.read("b").count() == 2
 
 
