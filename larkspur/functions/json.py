@@ -23,12 +23,42 @@ def repair(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, r'"\{', "{"), r'\}"', "}")
 
 
+#: What a scan for brackets steps over: whole strings, one bracket, a stretch of anything else, or a quote that is never closed.
+PIECES = r'(?s)("(?:[^"\\]++|\\.)*+"|[%s]|[^"%s]++|")'
+
+SCALAR = r'^(?s)(-?[0-9][0-9.eE+-]*|true|false|null|"(?:[^"\\]++|\\.)*+")$'
+
+
+def balanced(text: Column, opener: str, closer: str) -> Column:
+    """From the first opener to the closer that balances it, brackets in strings left aside; null if there is none.
+
+    One fold over the pieces of the text: the depth, and the length up to where it is 0 again.
+    """
+    both = "".join(f"\\{c}" for c in (opener, closer))
+    tail = F.substr(text, F.locate(opener, text), F.length(text))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("closed"))
+
+    def step(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + F.when(piece == opener, 1).when(piece == closer, -1).otherwise(0)
+        return F.when(s["closed"], s).otherwise(F.struct(depth.alias("depth"), (s["length"] + F.length(piece)).alias("length"), (depth == 0).alias("closed")))
+
+    end = F.aggregate(F.regexp_extract_all(tail, F.lit(PIECES % (both, both)), F.lit(1)), start, step, lambda s: F.when(s["closed"], s["length"]))
+    return F.when(F.contains(text, F.lit(opener)), F.substr(tail, F.lit(1), end))
+
+
 def outermost(text: Column) -> Column:
-    """F16: the content of a code fence, else from the first { or [ to the last matching bracket."""
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    found = F.regexp_extract(text, r"(?s)(\{.*\}|\[.*\])", 1)
-    pick = lambda t: F.when(F.is_variant_null(F.try_parse_json(t)).isNotNull(), t)
-    return F.coalesce(pick(fenced), pick(text), pick(found))
+    """F16: the JSON in a model's answer, as it stands there; null if there is none.
+
+    The inside of the first code fence, else the whole text, else the first balanced object, else the first balanced array: the first of
+    them that parses.  Only the first { and the first [ are tried; brackets in strings do not count.
+    """
+    whole = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    fenced = F.regexp_replace(F.regexp_extract(whole, r"(?s)```(?:json)?\s*(.*?)```", 1), r"(?U)^\s+|\s+$", "")
+    parses = lambda t: F.when(F.try_parse_json(t).isNotNull(), t)
+    # the parser reads one value and does not look at what follows it
+    alone = lambda t: F.when(F.startswith(t, F.lit("{")), t == balanced(t, "{", "}")).when(F.startswith(t, F.lit("[")), t == balanced(t, "[", "]")).otherwise(t.rlike(SCALAR))
+    parts = [F.when(alone(t), parses(t)) for t in (fenced, whole)]
+    return F.coalesce(*parts, parses(balanced(whole, "{", "}")), parses(balanced(whole, "[", "]")))
 
 
 def int_list(value: Column) -> Column:

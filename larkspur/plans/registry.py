@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.functions import json as J
 from larkspur.functions import text as T
 from larkspur.functions import time as D
 from larkspur.functions import vector as V
@@ -279,11 +280,26 @@ def chat_prompt(spark, d):
     return extract.chat_prompts(dialogue.valid_messages(S.messages(spark, d)), docs)
 
 
-@query("speaker_normalize", """SELECT conv_id, turn, CASE WHEN role IN ('user') THEN role WHEN role = 'assistant' THEN role ELSE role END AS speaker, false AS fixed FROM conversations""")
+# Spellings of both speakers, spaced and cased, between names that are neither.
+SPOKEN = ["Speaker A", "a", " MALE ", "boy", "Boy_Friend", "user", "speaker_b", "B", "Female", "g i r l", "girlfriend", " AI", "assistant", "robot", ""]
+_IN = lambda names: "plain IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+@query("speaker_normalize", f"""WITH s AS (SELECT conv_id, turn, {SPOKEN!r}[(conv_id + turn) % {len(SPOKEN)} + 1] AS said FROM conversations),
+p AS (SELECT *, replace(replace(lower(trim(said)), ' ', ''), '_', '') AS plain FROM s)
+SELECT conv_id, turn, CASE WHEN {_IN(T.FIRST_SPEAKER)} THEN 'Lin' WHEN {_IN(T.SECOND_SPEAKER)} THEN 'Chen' ELSE said END AS speaker, {_IN(T.FIRST_SPEAKER + T.SECOND_SPEAKER)} AS fixed FROM p""")
 def speaker_normalize(spark, d):
-    c = S.table(spark, d, "conversations")
-    s = T.speaker(F.col("role"), F.lit("Lin"), F.lit("Chen"))
-    return c.select("conv_id", "turn", s["speaker"].alias("speaker"), s["fixed"].alias("fixed"))
+    """F27."""
+    said = F.get(F.array(*[F.lit(x) for x in SPOKEN]), ((F.col("conv_id") + F.col("turn")) % len(SPOKEN)).cast("int"))
+    s = T.speaker(said, F.lit("Lin"), F.lit("Chen"))
+    return S.table(spark, d, "conversations").select("conv_id", "turn", s["speaker"].alias("speaker"), s["fixed"].alias("fixed"))
+
+
+@query("speaker_fix_counts", f"""WITH s AS (SELECT conv_id, {SPOKEN!r}[(conv_id + turn) % {len(SPOKEN)} + 1] AS said FROM conversations), p AS (SELECT *, replace(replace(lower(trim(said)), ' ', ''), '_', '') AS plain FROM s)
+SELECT conv_id, count(*) FILTER ({_IN(T.FIRST_SPEAKER + T.SECOND_SPEAKER)}) AS fixed, count(*) AS total FROM p GROUP BY conv_id""")
+def speaker_fix_counts(spark, d):
+    """A16."""
+    return speaker_normalize(spark, d).groupBy("conv_id").agg(F.count_if("fixed").alias("fixed"), F.count("*").alias("total"))
 
 
 @query("speaker_repair", """WITH t AS (SELECT conv_id AS session, turn AS n, CASE role WHEN 'user' THEN 'a' WHEN 'assistant' THEN 'b' END AS speaker, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations),
@@ -490,6 +506,23 @@ def timestamp_normalize(spark, d):
     return S.table(spark, d, "events").select("event_id", D.normalise_timestamp(given).alias("normal"), D.wall_clock(iso).alias("wall"), D.beijing(ts).alias("beijing"))
 
 
+WRAPPED = """w AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN ' ' || props WHEN 1 THEN 'Sure! ' || props || ' done {"x": 1}' WHEN 2 THEN 'so:' || chr(10) || '```json' || chr(10) || props || chr(10) || '``` tail'
+  WHEN 3 THEN '```' || chr(10) || 'not json' || chr(10) || '``` then ' || props WHEN 4 THEN 'a { "s": "}{", "p": ' || props || ' } b' WHEN 5 THEN 'list [1, 2, ' || event_id || '] end'
+  WHEN 6 THEN 'open ' || substr(props, 1, length(props) - 1) ELSE 'bad {not json} [' || event_id || '] x' END AS t FROM events)"""
+
+
+@query("json_outermost", f"""WITH {WRAPPED}, c AS (SELECT event_id, trim(t) AS t, trim(regexp_extract(t, '```(?:json)?\\s*(.*?)```', 1, 's'), chr(10)) AS f,
+  regexp_extract(t, '\\{{(?:[^{{}}"]|"(?:[^"\\\\]|\\\\.)*"|\\{{[^{{}}]*\\}})*\\}}') AS o, regexp_extract(t, '\\[[^\\[\\]]*\\]') AS a FROM w)
+SELECT event_id, CASE WHEN json_valid(f) THEN f WHEN json_valid(t) THEN t WHEN json_valid(o) THEN o WHEN json_valid(a) THEN a END AS found FROM c""")
+def json_outermost(spark, d):
+    """F16: objects of events in prose, in fences, nested, beside others, and cut short."""
+    e, p, n = F.col("event_id"), F.col("props"), "\n"
+    wraps = [F.concat(F.lit(" "), p), F.concat(F.lit("Sure! "), p, F.lit(' done {"x": 1}')), F.concat(F.lit(f"so:{n}```json{n}"), p, F.lit(f"{n}``` tail")), F.concat(F.lit(f"```{n}not json{n}``` then "), p), F.concat(F.lit('a { "s": "}{", "p": '), p, F.lit(" } b"))]
+    wraps += [F.concat(F.lit("list [1, 2, "), e, F.lit("] end")), F.concat(F.lit("open "), F.substr(p, F.lit(1), F.length(p) - 1)), F.concat(F.lit("bad {not json} ["), e, F.lit("] x"))]
+    text = F.get(F.array(*wraps), (e % 8).cast("int"))
+    return S.table(spark, d, "events").select("event_id", J.outermost(text).alias("found"))
+
+
 def _items(spark, d):
     i = F.col("doc_id")
     item = F.to_json(F.struct(

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import hashlib
+import json
 import math
+import re
 import uuid
 
 import pytest
@@ -96,4 +98,44 @@ def test_json(spark):
     ints = J.int_list(F.try_parse_json("t"))
     assert one(spark, ints, t='[1, true, "2", 3.5, 4]') == [1, 4]
     assert one(spark, J.repair(F.col("t")), t='{"a"：1，"b": [2,],}') == '{"a":1,"b": [2]}'
-    assert one(spark, J.outermost(F.col("t")), t='x ```json\n{"a": 1}``` y') == '{"a": 1}'
+
+
+def extracted(text):
+    """The reading of answers in plain Python, for tests: strings are left aside where brackets are counted."""
+
+    def parses(t):
+        try:
+            json.loads(t)
+            return True
+        except ValueError:
+            return False
+
+    text = text.strip()
+    fence = re.search(r"```(?:json)?\s*([\s\S]*?)```", text)
+    found = [fence.group(1).strip()] if fence else []
+    found.append(text)
+    for opener, closer in ("{}", "[]"):
+        start, depth, quoted, escaped = text.find(opener), 0, False, False
+        for i in range(start, len(text)) if start >= 0 else ():
+            c = text[i]
+            if quoted:
+                quoted, escaped = escaped or c != '"', c == "\\" and not escaped
+            elif c == '"':
+                quoted = True
+            depth += (c == opener) - (c == closer) if not quoted else 0
+            if not depth:
+                found.append(text[start : i + 1])
+                break
+    return next((t for t in found if t and parses(t)), None)
+
+
+def test_outermost_json(spark):
+    texts = [
+        '{"a":1}', "pre {\"a\": {}} tail", 'x ```json\n{"a": 1}``` y', '```\nnot json\n``` then {"b": 2}', "```json\n[1, 2]\n```", '{"a": 1} and {"b": 2}', 'see {"s": "}{", "t": "\\"}"} end',
+        '{"open": [1, 2', "[1, [2, {\"k\": 3}]] x", "a {bad} [1] b", "no json", "", "  ", "7", '"text"', " \u00a0[1]\u3000", 'say "hi" {"k": "v"}', "} { }", "x } {\"a\": 1}", '{"a": "' + "y" * 20000 + '\\\\"} z',
+        "```json\n{\"outer\": \"```inner```\"}\n```", 'q " { "a": 1 }', "[" * 50 + "]" * 50 + "!", "{}" * 3, '{"a": "unclosed } string', "[1,2] {3}",
+    ]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string")
+    got = {r.i: r.j for r in df.select("i", J.outermost(F.col("t")).alias("j")).collect()}
+    want = {i: None if t is None else extracted(t) for i, t in enumerate([*texts, None])}
+    assert got == want and sum(v is not None for v in want.values()) > 15
