@@ -16,7 +16,7 @@ from larkspur.operators import dialogue, log, merge, ranking, search, store, val
 from larkspur.operators.rounds import shared_folder
 from larkspur.plans import extract, retrieve
 from larkspur.sources import tables as S
-from larkspur.streaming import incremental
+from larkspur.streaming import bm25_state, incremental
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -564,6 +564,23 @@ def activity(spark, d):
     return _text(incremental.activity(S.table(spark, d, "events")), "start")
 
 
+@query("bm25_stream_stats", f"""WITH t AS (SELECT 'u' || conv_id % 10 AS user_id, conv_id, turn, unnest({TERMS.format("text")}) AS term FROM conversations),
+l AS (SELECT user_id, conv_id, turn, count(*) AS length FROM t GROUP BY ALL), s AS (SELECT user_id, count(*) AS n_docs, round(avg(length), 6) AS avgdl FROM l GROUP BY user_id),
+f AS (SELECT user_id, term, count(*) AS df FROM (SELECT DISTINCT * FROM t) GROUP BY ALL)
+SELECT user_id, n_docs, avgdl, count(*) AS n_terms, max(df) AS max_df FROM s JOIN f USING (user_id) GROUP BY ALL""")
+def bm25_stream_stats(spark, d):
+    """A02, A03 by a stream over all messages, kept in a table of counts."""
+    path = f"{d}/conversations.parquet"
+    at = F.timestamp_seconds(F.lit(S.EPOCH) + F.col("turn"))
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    documents = source.select(F.concat(F.lit("u"), F.col("conv_id") % 10).alias("user_id"), F.concat_ws("-", "conv_id", "turn").alias("memory_id"), F.col("text").alias("memory_content"), at.alias("ts"))
+    top = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
+    kept = log.Store(spark, f"{top}/store")
+    stream = bm25_state.keep(documents, kept, "counts", f"{top}/checkpoint", late="3650 days")
+    stream.awaitTermination()
+    return bm25_state.stats(kept.read("counts")).withColumn("avgdl", F.round("avgdl", 6))
+
+
 # --- scalar functions ------------------------------------------------------
 
 
