@@ -66,7 +66,10 @@ def components(edges: DataFrame) -> DataFrame:
     starred = lambda df: df.mapInArrow(_stars, f"u {kind}, v {kind}").distinct()
     with Rounds(edges.sparkSession) as rounds:
         e = rounds.write(starred(whole.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))))
-        while not _star_shaped(e):
+        few = e.count() <= _AT_ONCE
+        if few:  # one task joins them all at once
+            e = rounds.write(e.coalesce(1).mapInArrow(_stars, f"u {kind}, v {kind}"))
+        while not few and not _star_shaped(e):
             both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
             least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
             up = spread_join(both.where("v > u"), least.select("u", "m"), ["u"], least, e.count(), "v")

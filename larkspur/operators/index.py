@@ -110,8 +110,7 @@ class PivotIndex:
     def _meet(self, left: DataFrame, left_id: str, task, schema: str) -> DataFrame:
         """left (by, cell, left_id, v, ...) against all vectors of its cells, block by block: ``task`` gets a block's two tables."""
         cell = [*self.by, "cell"]
-        n = left.groupBy(*cell).agg(F.count("*").alias("asks")).join(self.directory.select(*cell, "n"), cell)
-        plan = checkpoint(n)
+        plan = left.groupBy(*cell).agg(F.count("*").alias("asks")).join(self.directory.select(*cell, "n"), cell)
         cells, asks, held = plan.agg(F.count("*"), F.sum("asks"), F.sum("n")).first()
         most = [max(BLOCK, (x or 0) // PLAN_ROWS) for x in (asks, held)]
         plan = plan.select(*cell, *[F.ceil(F.col(c) / x).cast("int").alias(p) for c, x, p in zip(("asks", "n"), most, ("_a", "_b"), strict=True)])

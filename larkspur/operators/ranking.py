@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions import time as D
+from larkspur.functions import vector as V
 from larkspur.operators.search import top_k
 
 
@@ -65,67 +64,94 @@ def distinct_contents(hits: DataFrame, rank: str = "rank") -> DataFrame:
     return first.withColumn("position", F.row_number().over(W.partitionBy("query_id").orderBy("rank", "content"))).drop("rank")
 
 
-def _select(vectors: np.ndarray, relevance: np.ndarray, k: int, lam: float) -> list[tuple[int, float]]:
-    """Greedy maximal marginal relevance: (index, score); ties go to the first."""
-    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    left, worst, out = np.ones(len(vectors), bool), np.zeros(len(vectors)), []
-    for _ in range(min(k, len(vectors))):
-        score = np.where(left, lam * relevance - (1 - lam) * worst, -np.inf)
-        i = int(np.argmax(score))
-        if not np.isfinite(score[i]):
-            break
-        out.append((i, float(score[i])))
-        left[i] = False
-        near = unit @ unit[i]
-        worst = near if len(out) == 1 else np.maximum(worst, near)
-    return out
+#: Digits to which similarities are rounded before anything is chosen by them, so that ties are ties whatever the order of summation.
+SIMILARITY_DIGITS = 9
+
+
+def mmr_select(relevance: Column, similarities: Column, k: int, lam: float) -> Column:
+    """Array of (index, mmr_score): greedy maximal marginal relevance on given similarities; ties go to the first.
+
+    relevance: array<double>; similarities: array of each candidate's array<double> to all. One fold of k steps, no Python worker.
+    """
+    if not 0 <= lam <= 1:
+        raise ValueError("lambda lies between 0 and 1")
+    none = F.array().cast("array<struct<index: int, mmr_score: double>>")
+    start = F.struct(none.alias("picked"), F.transform(relevance, lambda _: F.lit(0.0)).alias("worst"))
+
+    def step(state: Column, _: Column) -> Column:
+        taken = F.transform(state["picked"], lambda p: p["index"])
+        open_ = F.filter(
+            F.transform(relevance, lambda r, i: F.struct((lam * r - (1 - lam) * F.get(state["worst"], i)).alias("score"), (-i).alias("last"))),
+            lambda c: ~F.array_contains(taken, -c["last"]),
+        )
+        best = F.array_max(open_)
+        near = F.get(similarities, -best["last"])
+        worst = F.when(F.size(taken) == 0, near).otherwise(F.zip_with(state["worst"], near, lambda a, b: F.greatest(a, b)))
+        more = F.struct(F.concat(state["picked"], F.array(F.struct((-best["last"]).alias("index"), best["score"].alias("mmr_score")))).alias("picked"), worst.alias("worst"))
+        return F.when(F.size(open_) > 0, more).otherwise(state)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(max(1, k))), start, step, lambda s: s["picked"]) if k > 0 else none
+
+
+def diverse_select(similarities: Column, k: int, threshold: float) -> Column:
+    """Indexes, in order, of the candidates that are less similar than the threshold to all that were taken before."""
+
+    def step(taken: Column, i: Column) -> Column:
+        near = F.array_max(F.transform(taken, lambda j: F.get(F.get(similarities, i), j)))
+        return F.when((F.size(taken) < k) & (near.isNull() | (near < threshold)), F.concat(taken, F.array(i))).otherwise(taken)
+
+    every = F.filter(F.sequence(F.lit(0), F.size(similarities)), lambda i: i < F.size(similarities))
+    return F.aggregate(every, F.array().cast("array<int>"), step)
+
+
+def pool_vectors(pool: DataFrame, embed, stored: str = "emb", content: str = "memory_content") -> DataFrame:
+    """The pool (query_id, ...) with ``dense``: the stored vectors where all rows of a query's pool have one, else all made from the content."""
+    whole = F.bool_and(F.col(stored).isNotNull()).over(W.partitionBy("query_id"))
+    return pool.withColumn("_whole", whole).withColumn("dense", F.when(F.col("_whole"), F.col(stored)).otherwise(embed(F.col(content)))).drop("_whole")
+
+
+def _pools(pool: DataFrame, order: list, *more: str) -> DataFrame:
+    """(query_id, c, s): each query's candidates in order, and their similarities to each other. A pool is a few times k rows."""
+    rows = pool.withColumn("u", V.unit(F.col("dense"))).withColumn("rel", F.round(V.dot(F.col("u"), V.unit(F.col("qdense"))), SIMILARITY_DIGITS))
+    lists = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*order, "key", "u", "rel", *more))).alias("c"))
+    return lists
+
+
+def _with_similarities(pools: DataFrame) -> DataFrame:
+    s = F.transform("c", lambda a: F.transform("c", lambda b: F.round(V.dot(a["u"], b["u"]), SIMILARITY_DIGITS)))
+    return pools.where(F.size("c") > 0).withColumn("s", s)
 
 
 def mmr(pool: DataFrame, k: int = 10, lam: float = 0.5, min_relevance: float | None = 0.0, initial: str | None = None, weight: float = 0.5, digits: int = 6) -> DataFrame:
-    """Pool (query_id, key, position, dense, qdense[, initial]) -> (query_id, key, mmr_rank, relevance_score, mmr_score).
+    """Pool (query_id, key, position, dense, qdense[, initial]) -> (query_id, key, mmr_rank, relevance_score, mmr_score).
 
-    A query's pool has at most a few times k rows, so that it fits in one call; queries are dealt over all tasks.
+    A query's pool has at most a few times k rows and is folded within its row; queries are dealt over all tasks.
     With ``initial``, relevance is mixed with the min-max normalised initial score (A17).
     """
     if not 0 <= lam <= 1:
         raise ValueError("lambda lies between 0 and 1")
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["position", "key"], ignore_index=True)
-        vectors, q = np.stack(pdf["dense"]).astype(float), np.asarray(pdf["qdense"].iloc[0], float)
-        relevance = vectors @ q / np.maximum(np.linalg.norm(vectors, axis=1) * np.linalg.norm(q), 1e-12)
-        if min_relevance is not None and initial is None:
-            keep = relevance >= min_relevance
-            pdf, vectors, relevance = pdf[keep].reset_index(drop=True), vectors[keep], relevance[keep]
-        if initial is not None and len(pdf):
-            s = pdf[initial].to_numpy(float)
-            s = (s - s.min()) / (s.max() - s.min()) if s.max() > s.min() else np.ones_like(s)
-            relevance = weight * s + (1 - weight) * relevance
-        picked = _select(vectors, relevance, k, lam) if len(pdf) else []
-        rows = [(pdf["query_id"][i], pdf["key"][i], n, round(float(relevance[i]), digits), round(score, digits)) for n, (i, score) in enumerate(picked, 1)]
-        return pd.DataFrame(rows, columns=["query_id", "key", "mmr_rank", "relevance_score", "mmr_score"])
-
-    kinds = dict(pool.dtypes)
-    return pool.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, key {kinds['key']}, mmr_rank int, relevance_score double, mmr_score double")
+    rows = pool if initial is None else pool.withColumn("initial", F.col(initial).cast("double"))
+    pools = _pools(rows, ["position"], *(["initial"] if initial else []))
+    if initial is None and min_relevance is not None:
+        pools = pools.withColumn("c", F.filter("c", lambda x: x["rel"] >= min_relevance))
+    relevance = F.transform("c", lambda x: x["rel"])
+    if initial is not None:
+        scores = F.transform("c", lambda x: x["initial"])
+        pools = pools.withColumns({"least": F.array_min(scores), "most": F.array_max(scores)})
+        mixed = lambda x: F.when(F.col("most") > F.col("least"), (x["initial"] - F.col("least")) / (F.col("most") - F.col("least"))).otherwise(1.0)
+        relevance = F.transform("c", lambda x: F.round(weight * mixed(x) + (1 - weight) * x["rel"], SIMILARITY_DIGITS))
+    ready = _with_similarities(pools).withColumn("relevance", relevance)
+    picked = ready.select("query_id", "c", "relevance", F.posexplode(mmr_select(F.col("relevance"), F.col("s"), k, lam)).alias("n", "p"))
+    at = F.col("p.index")
+    return picked.select("query_id", F.get("c", at)["key"].alias("key"), (F.col("n") + 1).alias("mmr_rank"), F.round(F.get("relevance", at), digits).alias("relevance_score"), F.round("p.mmr_score", digits).alias("mmr_score"))
 
 
 def diverse(pool: DataFrame, k: int = 10, threshold: float = 0.8, digits: int = 6) -> DataFrame:
-    """By relevance, whatever is less similar than the threshold to all that were taken."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors, q = np.stack(pdf["dense"]).astype(float), np.asarray(pdf["qdense"].iloc[0], float)
-        unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        pdf["relevance_score"] = np.round(unit @ q / max(np.linalg.norm(q), 1e-12), digits)
-        taken: list[int] = []
-        for i in pdf.sort_values(["relevance_score", "position", "key"], ascending=[False, True, True]).index:
-            if len(taken) < k and (not taken or (unit[taken] @ unit[i]).max() < threshold):
-                taken.append(i)
-        out = pdf.loc[taken, ["query_id", "key", "relevance_score"]]
-        return out.assign(diverse_rank=range(1, len(out) + 1))
-
-    kinds = dict(pool.dtypes)
-    pool = pool.select("query_id", "key", "position", "dense", "qdense")
-    return pool.groupBy("query_id").applyInPandas(pick, f"query_id {kinds['query_id']}, key {kinds['key']}, relevance_score double, diverse_rank int")
+    """By relevance, whatever is less similar than the threshold to all that were taken: (query_id, key, relevance_score, diverse_rank)."""
+    rows = pool.withColumn("u", V.unit(F.col("dense"))).withColumn("far", -F.round(V.dot(F.col("u"), V.unit(F.col("qdense"))), digits))
+    ready = _with_similarities(_pools(rows, ["far", "position"]))
+    picked = ready.select("query_id", "c", F.posexplode(diverse_select(F.col("s"), k, threshold)).alias("n", "i"))
+    return picked.select("query_id", F.get("c", F.col("i"))["key"].alias("key"), (-F.get("c", F.col("i"))["far"]).alias("relevance_score"), (F.col("n") + 1).alias("diverse_rank"))
 
 
 def sigmoid(logit):

@@ -185,17 +185,40 @@ def _pool(spark, d) -> DataFrame:
     return best.join(v.select("memory_id", "dense"), "memory_id").join(q.select("query_id", "qdense"), "query_id").select("query_id", F.col("memory_id").alias("key"), F.col("dense_rank").alias("position"), "dense", "qdense", F.col("dense_score").alias("initial"))
 
 
-@query("mmr_topk")
+# A pool of 30 a query, each candidate's cosine to the query and to the others; then k rounds that pick one each.
+POOL = """d AS (SELECT q.vec_id AS query_id, e.vec_id AS key, e.embedding::DOUBLE[] AS v, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS c FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 50 = 0),
+p AS MATERIALIZED (SELECT query_id, key, v, round(c, 9) AS rel, round(c, 4) AS initial, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 4) DESC, key) AS position FROM d QUALIFY position <= 30),
+s AS MATERIALIZED (SELECT a.query_id, a.key AS a, b.key AS b, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM p a JOIN p b USING (query_id))"""
+
+
+def mmr_sql(pool: str, k: int, lam: float) -> str:
+    """Rounds k1, k2, ... over pool (query_id, key, position, rel) and s (query_id, a, b, s); the last one has all picks (query_id, key, n, rel, score)."""
+    out = ["k0 AS (SELECT query_id, key, 0 AS n, rel, rel AS score FROM " + pool + " WHERE false)"]
+    for n in range(1, k + 1):
+        out.append(f"""w{n} AS (SELECT p.query_id, p.key, p.position, p.rel, {lam!r}::DOUBLE * p.rel - {1 - lam!r}::DOUBLE * coalesce(max(s.s), 0) AS score FROM {pool} p LEFT JOIN k{n - 1} k ON k.query_id = p.query_id
+  LEFT JOIN s ON s.query_id = p.query_id AND s.a = p.key AND s.b = k.key GROUP BY p.query_id, p.key, p.position, p.rel HAVING count(*) FILTER (WHERE k.key = p.key) = 0),
+k{n} AS MATERIALIZED (SELECT * FROM k{n - 1} UNION ALL SELECT query_id, key, {n}, rel, score FROM (SELECT * FROM w{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position, key) = 1))""")
+    return ", ".join(out)
+
+
+@query("mmr_topk", f"WITH {POOL}, f AS (SELECT * FROM p WHERE rel >= 0), {mmr_sql('f', 10, 0.5)} SELECT query_id, key, n::INT AS mmr_rank, round(rel, 6) AS relevance_score, round(score, 6) AS mmr_score FROM k10")
 def mmr_topk(spark, d):
     return ranking.mmr(_pool(spark, d).drop("initial"), 10, 0.5)
 
 
-@query("mmr_rerank")
+@query("mmr_rerank", f"""WITH {POOL}, m AS (SELECT *, min(initial) OVER (PARTITION BY query_id) AS lo, max(initial) OVER (PARTITION BY query_id) AS hi FROM p),
+f AS (SELECT query_id, key, position, round(0.5::DOUBLE * CASE WHEN hi > lo THEN (initial - lo) / (hi - lo) ELSE 1 END + 0.5::DOUBLE * rel, 9) AS rel FROM m), {mmr_sql('f', 10, 0.7)}
+SELECT query_id, key, n::INT AS mmr_rank, round(rel, 6) AS relevance_score, round(score, 6) AS mmr_score FROM k10""")
 def mmr_rerank(spark, d):
     return ranking.mmr(_pool(spark, d), 10, 0.7, initial="initial", weight=0.5)
 
 
-@query("diversity_topk")
+@query("diversity_topk", f"""WITH RECURSIVE {POOL}, o AS (SELECT query_id, key, round(rel, 6) AS rel, row_number() OVER (PARTITION BY query_id ORDER BY round(rel, 6) DESC, position, key) AS i FROM p),
+l AS (SELECT o.query_id, o.key, o.rel, o.i, list(s.s ORDER BY x.i) AS near FROM o JOIN s ON s.query_id = o.query_id AND s.a = o.key JOIN o x ON x.query_id = o.query_id AND x.key = s.b GROUP BY ALL),
+t AS (SELECT DISTINCT query_id, 0::BIGINT AS i, []::BIGINT[] AS taken FROM o UNION ALL SELECT t.query_id, l.i, CASE WHEN len(taken) < 10 AND coalesce(list_max(list_transform(taken, lambda j: near[j])), -2) < 0.8 THEN list_append(taken, l.i) ELSE taken END
+  FROM t JOIN l ON l.query_id = t.query_id AND l.i = t.i + 1),
+e AS (SELECT query_id, unnest(taken) AS i, unnest(range(1, len(taken) + 1)) AS n FROM (SELECT query_id, max_by(taken, i) AS taken FROM t GROUP BY query_id))
+SELECT query_id, key, rel AS relevance_score, n::INT AS diverse_rank FROM e JOIN o USING (query_id, i)""")
 def diversity_topk(spark, d):
     return ranking.diverse(_pool(spark, d), 10, 0.8)
 
@@ -205,7 +228,7 @@ def time_decay(spark, d):
     return S.table(spark, d, "events").select("event_id", F.round(D.time_decay(F.col("ts"), F.lit("2024-01-20 00:00:00")), 9).alias("decay"))
 
 
-@query("hybrid_retrieve", retrieve.sql(MEM, BM25, TERMS))
+@query("hybrid_retrieve", retrieve.sql(MEM, BM25, TERMS, 10) + " SELECT query_id, memory_id, final_score, position::INT AS rank FROM ranked")
 def hybrid_retrieve(spark, d):
     memories = S.memories(spark, d)
     embedded = memories.where("status = 'active'").select("memory_id", V.hash_embedding(T.bm25_terms(F.col("memory_content"))).alias("dense"))
@@ -213,11 +236,14 @@ def hybrid_retrieve(spark, d):
     return hits.select("query_id", "memory_id", "final_score", "rank")
 
 
-@query("hybrid_retrieve_mmr")
+@query("hybrid_retrieve_mmr", f"""{retrieve.sql(MEM, BM25, TERMS, 30)}, f AS (SELECT re.query_id, re.memory_id AS key, final_score, re.position, round(coalesce(pr.s, 0), 9) AS rel FROM ranked re LEFT JOIN pr USING (query_id, memory_id) WHERE round(coalesce(pr.s, 0), 9) >= 0),
+s AS MATERIALIZED (SELECT a.query_id, a.key AS a, b.key AS b, round(coalesce(sum(x.u * y.u), 0), 9) AS s FROM f a JOIN f b USING (query_id) LEFT JOIN mv x ON x.memory_id = a.key LEFT JOIN mv y ON y.memory_id = b.key AND y.d = x.d GROUP BY ALL), {mmr_sql('f', 10, 0.5)}
+SELECT k.query_id, k.key AS memory_id, final_score, k.n::INT AS rank FROM k10 k JOIN f ON f.query_id = k.query_id AND f.key = k.key""")
 def hybrid_retrieve_mmr(spark, d):
     memories = S.memories(spark, d)
     embedded = memories.where("status = 'active'").select("memory_id", V.hash_embedding(T.bm25_terms(F.col("memory_content"))).alias("dense"))
-    return retrieve.retrieve(memories, embedded, S.queries(spark, d), now="2024-06-01 00:00:00", k=10)
+    hits = retrieve.retrieve(memories, embedded, S.queries(spark, d), now="2024-06-01 00:00:00", k=10)
+    return hits.select("query_id", "memory_id", "final_score", "rank")
 
 
 # --- dialogue -------------------------------------------------------------
@@ -572,7 +598,7 @@ def bm25_stream_stats(spark, d):
     """A02, A03 by a stream over all messages, kept in a table of counts."""
     path = f"{d}/conversations.parquet"
     at = F.timestamp_seconds(F.lit(S.EPOCH) + F.col("turn"))
-    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/conversations.parque[t]")  # a stream's source is a folder or a pattern
     documents = source.select(F.concat(F.lit("u"), F.col("conv_id") % 10).alias("user_id"), F.concat_ws("-", "conv_id", "turn").alias("memory_id"), F.col("text").alias("memory_content"), at.alias("ts"))
     top = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
     kept = log.Store(spark, f"{top}/store")

@@ -53,8 +53,8 @@ def retrieve(memories: DataFrame, vectors: DataFrame, queries: DataFrame, now: s
     return pool.join(picked.withColumnRenamed("key", "memory_id"), ["query_id", "memory_id"]).withColumn("rank", F.col("mmr_rank"))
 
 
-def sql(mem: str, bm25: str, terms: str) -> str:
-    """The model-free path without MMR for the driver's tables, k = 10."""
+def sql(mem: str, bm25: str, terms: str, pool: int) -> str:
+    """The model-free path for the driver's tables, k = 10, up to the reranked pool: a WITH clause that ends in ``ranked``."""
     vec = lambda name, source, key: f"""{name}_t AS (SELECT {key}, ('0x' || substr(md5(t), 1, 8))::BIGINT % 64 AS d FROM (SELECT {key}, unnest({terms.format('x')}) AS t FROM ({source}))),
 {name}_w AS (SELECT {key}, d, count(*)::DOUBLE AS w FROM {name}_t GROUP BY ALL), {name} AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS u FROM {name}_w)"""
     return f"""WITH {mem}, {bm25},
@@ -70,5 +70,5 @@ fu AS (SELECT query_id, memory_id, round(sum(w / (60 + rank)), 9) AS rrf_score,
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, best.r, best.l, memory_id) AS n FROM fu QUALIFY n <= 50),
 fs AS (SELECT query_id, memory_id, rrf_score, round(rrf_score * exp(-greatest(0, epoch_us(TIMESTAMP '2024-06-01') - epoch_us(created_at)) / 86400000000.0 / 30) * (0.6 + 0.4 * importance) * (0.5 + 0.5 * confidence), 9) AS final_score FROM rr JOIN act USING (memory_id)),
 po AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, memory_id) AS n FROM fs QUALIFY n <= 30),
-re AS (SELECT po.query_id, po.memory_id, final_score, CASE WHEN coalesce(dense_score, 0) <> 0 THEN dense_score ELSE rrf_score END AS b FROM po LEFT JOIN de USING (query_id, memory_id))
-SELECT query_id, memory_id, final_score, (row_number() OVER (PARTITION BY query_id ORDER BY b DESC, memory_id))::INT AS rank FROM re QUALIFY rank <= 10"""
+re AS (SELECT po.query_id, po.memory_id, final_score, CASE WHEN coalesce(dense_score, 0) <> 0 THEN dense_score ELSE rrf_score END AS b FROM po LEFT JOIN de USING (query_id, memory_id)),
+ranked AS MATERIALIZED (SELECT query_id, memory_id, final_score, row_number() OVER (PARTITION BY query_id ORDER BY b DESC, memory_id) AS position FROM re QUALIFY position <= {pool})"""

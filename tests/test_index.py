@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import index
+from larkspur.operators import graph, index
 from larkspur.operators.graph import components, forest
 from larkspur.operators.merge import clusters
 from larkspur.operators.rounds import SPLIT, spread_join
@@ -131,7 +131,10 @@ def test_nothing_to_find(spark):
     assert clusters(none, ["user_id"], "memory_id", "dense", 0.5).count() == 0
 
 
-def test_components_of_all_shapes(spark):
+@pytest.mark.parametrize("at_once", [40, 500_000])
+def test_components_of_all_shapes(spark, monkeypatch, at_once):
+    """By rounds over the tables, or by one task."""
+    monkeypatch.setattr(graph, "_AT_ONCE", at_once)
     rnd = random.Random(1)
     for kind, name in (("string", lambda i: f"n{i:05d}é"), ("long", lambda i: i - 50)):
         edges = [(i, i + 1) for i in range(0, 400)] + [(500, 500 + i) for i in range(300)] + [(1500 - i, 1500) for i in range(300)]
