@@ -30,8 +30,9 @@ TABLES = {
 class Engine:
     """embed: text Column -> vector Column; answer: (kind, topic text) Columns -> answer Column, or a replay table."""
 
-    def __init__(self, spark: SparkSession, root: str, answer=None, embed=None, scorer=None):
+    def __init__(self, spark: SparkSession, root: str, answer=None, embed=None, scorer=None, compress=None):
         self.spark, self.store, self.answer, self.scorer = spark, Store(spark, root), answer, scorer
+        self.compress = compress
         self.embed = embed or (lambda text: V.hash_embedding(T.bm25_terms(text)))
 
         self.store.ensure(**TABLES)
@@ -47,7 +48,7 @@ class Engine:
         valid, rejected = dialogue.validate_history(histories, now)
         messages = valid.select("user_id", F.col("conversation_id").alias("conv_id"), "conversation_time", F.posexplode("messages").alias("turn", "m"))
         messages = messages.select("user_id", "conv_id", "conversation_time", "turn", F.col("m.role").alias("role"), F.col("m.content").alias("content"), F.col("turn").alias("seq"))
-        topics, found, _ = X.extract(messages, self.answer, force_kind=force_kind, embed=self.embed)
+        topics, found, _ = X.extract(messages, self.answer, self.compress, force_kind=force_kind, embed=self.embed)
         owner = valid.select(F.col("conversation_id").alias("conv_id"), "user_id", F.try_to_timestamp("conversation_time").alias("created_at"))
         placed = found.join(topics.select("topic_id", "conv_id"), "topic_id").join(owner, "conv_id")
         new = placed.select(

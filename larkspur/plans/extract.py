@@ -8,18 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text as T
+from larkspur.operators import compress as C
 from larkspur.operators import dialogue, validate
 
 KINDS = ("profile", "episodic", "state")
 
 
-def extract(valid: DataFrame, answer: Callable[[Column, Column], Column] | DataFrame, compress: Callable[[Column], Column] | None = None, force_kind: bool = True, embed=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def extract(valid: DataFrame, answer: Callable[[Column, Column], Column] | DataFrame, compress: Callable[[Column], Column] | float | None = None, force_kind: bool = True, embed=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(topics, memories, report) of valid messages (conv_id, turn, role, content, seq[, user_id]).
 
     ``answer`` stands for the model: a function of (kind, topic text), such as a pandas UDF, or a replay table (prompt_md5, response) by the md5
-    of kind and text; a missing answer yields no memories, and a topic without memories is dropped.
+    of kind and text; a missing answer yields no memories, and a topic without memories is dropped.  ``compress``: a function of a text
+    column, or the rate for ``operators.compress``; a message of which nothing would be left stays as it is there.
     """
-    if compress is not None:
+    if isinstance(compress, float):
+        keyed = valid.withColumn("_key", F.concat_ws("\u0001", "conv_id", "seq"))
+        short = C.compress(keyed, "_key", "content", compress).select("_key", T.blank_to_null(F.col("compressed")).alias("_short"))
+        valid = keyed.join(short, "_key").withColumn("content", F.coalesce("_short", "content")).drop("_key", "_short")
+    elif compress is not None:
         valid = valid.withColumn("content", compress(F.col("content"))).where(F.trim("content") != "")
     segments = dialogue.topic_segments(dialogue.turn_records(valid), embed=embed)
     texts = dialogue.topic_texts(dialogue.topic_entries(valid, segments)).where(F.trim("topic_text") != "")

@@ -12,9 +12,9 @@ from larkspur.functions import json as J
 from larkspur.functions import text as T
 from larkspur.functions import time as D
 from larkspur.functions import vector as V
-from larkspur.operators import dialogue, log, merge, ranking, search, store, validate
+from larkspur.operators import compress, dialogue, log, merge, ranking, scroll, search, store, validate
 from larkspur.operators.rounds import shared_folder
-from larkspur.plans import extract, retrieve
+from larkspur.plans import extract, prompts, retrieve
 from larkspur.sources import tables as S
 from larkspur.streaming import bm25_state, incremental
 
@@ -356,6 +356,12 @@ def count_filtered(spark, d):
     return S.memories(spark, d).where(search.build_filter()).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
+@query("scroll_pages", f"WITH {MEM} SELECT memory_id, position, position // 256 AS page FROM (SELECT memory_id, row_number() OVER (ORDER BY memory_id) - 1 AS position FROM mem WHERE status = 'active')")
+def scroll_pages(spark, d):
+    """All active memories in pages of 256."""
+    return scroll.pages(S.memories(spark, d).where(search.build_filter()).select("memory_id"), "memory_id")
+
+
 @query("get_by_ids", f"WITH {MEM} SELECT memory_id, user_id, importance FROM mem WHERE memory_id IN (SELECT 'm' || item_id * 3 FROM benchmark)")
 def get_by_ids(spark, d):
     ids = S.table(spark, d, "benchmark").select(F.concat(F.lit("m"), F.col("item_id") * 3).alias("memory_id"))
@@ -470,6 +476,32 @@ def merge_scores(spark, d):
     return merge.merged_scores(m, decisions)
 
 
+# A running sum of tokens per group; the first row is always in.
+_BUDGET = "SELECT *, sum({tokens}) OVER (PARTITION BY {by} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS place FROM {rows}"
+
+
+@query("merge_prompts", f"""WITH {MEM}, r AS (SELECT *, doc_id // 20 AS cluster FROM mem), b AS ({_BUDGET.format(tokens=COUNT.format('memory_content'), by='cluster', order='created_at DESC, memory_id', rows='r')})
+SELECT cluster, count(*)::INT AS n, md5('[' || string_agg(memory_id || ':' || memory_content, '|' ORDER BY place) || ']') AS payload_md5 FROM b WHERE total <= 2048 OR place = 0 GROUP BY cluster""")
+def merge_prompts(spark, d):
+    """The payload of each prompt, read back from it."""
+    rows = prompts.merge_prompts(S.memories(spark, d).withColumn("cluster", F.floor(F.col("doc_id") / 20)))
+    items = F.from_json(F.regexp_extract("prompt", r"(?s)\n\n(\[.*)$", 1), "array<struct<memory_id: string, memory_content: string>>")
+    body = F.array_join(F.transform(items, lambda x: F.concat(x["memory_id"], F.lit(":"), x["memory_content"])), "|")
+    return rows.select("cluster", "n", F.md5(F.concat(F.lit("["), body, F.lit("]")).cast("binary")).alias("payload_md5"))
+
+
+@query("rerank_candidates", f"""WITH {MEM}, {BM25}, h AS (SELECT query_id, memory_id, bm25_score, row_number() OVER (PARTITION BY query_id ORDER BY bm25_score DESC, memory_id) AS rank FROM bm QUALIFY rank <= 50),
+r AS (SELECT h.query_id, h.rank, h.bm25_score, mem.memory_id, memory_type, memory_category, substr(memory_content, 1, 500) AS content FROM h JOIN mem USING (memory_id)), b AS ({_BUDGET.format(tokens=COUNT.format('content'), by='query_id', order='rank', rows='r')})
+SELECT query_id, place::INT AS index, memory_id, md5(content) AS content_md5, memory_type, memory_category, bm25_score AS score FROM b WHERE place < 40 AND (total <= 1024 OR place = 0)""")
+def rerank_candidates(spark, d):
+    """P15."""
+    m = S.memories(spark, d).where("status = 'active'")
+    hits = search.bm25_topk(m, S.queries(spark, d), 50).select("query_id", "memory_id", F.col("bm25_rank").alias("rank"), F.col("bm25_score").alias("score"))
+    rows = hits.join(m.drop("user_id"), "memory_id").withColumns({"updated_at": F.lit(None).cast("string"), "retrieval_count": F.lit(0)})
+    got = prompts.rerank_candidates(rows, tokens=1024)
+    return got.select("query_id", "index", "memory_id", F.md5(F.col("memory_content").cast("binary")).alias("content_md5"), "memory_type", "memory_category", "score")
+
+
 @query("category_docs", f"""WITH {MEM} SELECT user_id, memory_type, memory_category, count(*) AS n,
   '# ' || CASE memory_type WHEN 'profile' THEN 'Profile Memory' WHEN 'episodic' THEN 'Episodic Memory' ELSE 'State Memory' END || ' / ' || memory_category || chr(10) || chr(10) || '## 摘要' || chr(10)
   || user_id || ' 在 ' || memory_type || '/' || memory_category || ' 下共有 ' || count(*) || ' 条活跃记忆。' || chr(10) || chr(10) || '## 详细记忆' || chr(10)
@@ -616,6 +648,25 @@ def strip_blanks(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(T.strip_blanks(F.col("text"))).alias("stripped_md5"))
 
 
+@query("compress_text", r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|\n|[^\s]') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i, len(w) AS n FROM t),
+e AS (SELECT doc_id, n, list(coalesce(last_end, -1) ORDER BY i) AS le FROM (SELECT *, max(CASE WHEN word IN ('.', chr(10)) THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS last_end FROM p) GROUP BY doc_id, n),
+c AS (SELECT doc_id, n, le, 0::BIGINT AS a, 0::BIGINT AS chunk FROM e UNION ALL SELECT doc_id, n, le, CASE WHEN le[a + 200] >= a THEN le[a + 200] + 1 ELSE a + 200 END, chunk + 1 FROM c WHERE a + 200 < n),
+k AS (SELECT doc_id, chunk, a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY chunk), n) AS b FROM c),
+x AS (SELECT p.doc_id, k.chunk, i, word, lower(word) AS term, n FROM p JOIN k ON k.doc_id = p.doc_id AND i >= a AND i < b),
+f AS (SELECT term, count(DISTINCT doc_id) AS df FROM x GROUP BY term),
+q AS (SELECT x.*, df, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY df DESC) - 1 AS r, count(*) OVER (PARTITION BY doc_id, chunk) AS m FROM x JOIN f USING (term)),
+l AS (SELECT doc_id, chunk, df AS most FROM q WHERE r = floor(m * (1 - 0.5))::BIGINT),
+y AS (SELECT q.*, word IN (chr(10), '.', '!', '?', ',', '、') AS forced FROM q JOIN l USING (doc_id, chunk) WHERE df <= most OR word IN (chr(10), '.', '!', '?', ',', '、')),
+z AS (SELECT *, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM y),
+o AS (SELECT doc_id, count(*)::INT AS n_kept, string_agg(word, ' ' ORDER BY i) AS compressed FROM z WHERE NOT (forced AND coalesce(before = word, false)) GROUP BY doc_id)
+SELECT t.doc_id, len(w)::INT AS n_tokens, coalesce((SELECT count(*) FROM k WHERE k.doc_id = t.doc_id), 0)::INT AS n_chunks, coalesce(n_kept, 0) AS n_kept, md5(coalesce(compressed, '')) AS compressed_md5 FROM t LEFT JOIN o USING (doc_id)""")
+def compress_text(spark, d):
+    """X04, F03."""
+    got = compress.compress(S.table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", rate=0.5, budget=200)
+    return got.select("doc_id", "n_tokens", "n_chunks", "n_kept", F.md5(F.col("compressed").cast("binary")).alias("compressed_md5"))
+
+
 @query("mask_values", "SELECT doc_id, CASE WHEN coalesce(source, '') = '' THEN '' ELSE substr(source, 1, 4) || '***' END AS masked FROM documents")
 def mask_values(spark, d):
     """F26."""
