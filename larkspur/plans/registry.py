@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.functions import embed
 from larkspur.functions import json as J
 from larkspur.functions import text as T
 from larkspur.functions import time as D
 from larkspur.functions import vector as V
 from larkspur.operators import compress, dialogue, log, merge, ranking, scroll, search, store, validate
-from larkspur.operators.rounds import shared_folder
+from larkspur.operators.rounds import checkpoint, shared_folder
 from larkspur.plans import extract, prompts, retrieve
 from larkspur.sources import tables as S
 from larkspur.streaming import bm25_state, incremental
@@ -107,6 +108,19 @@ def euclid_topk(spark, d):
     return search.dense_topk(v, q, distance="euclid")
 
 
+@query("embed_pairs", f"""WITH t AS (SELECT doc_id, unnest({TERMS.format("text")}) AS t FROM documents), h AS (SELECT doc_id, md5(t) AS h FROM t),
+d AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::BIGINT % 64 AS d, count(*)::DOUBLE AS w FROM h GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM d GROUP BY doc_id),
+s AS (SELECT doc_id, ('0x' || substr(h, 1, 7))::BIGINT AS k, count(*)::DOUBLE AS w FROM h GROUP BY ALL),
+ds AS (SELECT a.doc_id AS query_id, sum(a.w * b.w) AS s FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 AND b.d = a.d GROUP BY ALL), ls AS (SELECT a.doc_id AS query_id, sum(a.w * b.w) AS s FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 AND b.k = a.k GROUP BY ALL)
+SELECT a.doc_id AS query_id, b.doc_id, round(coalesce(ds.s / (x.n * y.n), 0), 6) AS dense_score, coalesce(ls.s, 0)::DOUBLE AS lexical_score FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1
+LEFT JOIN n x ON x.doc_id = a.doc_id LEFT JOIN n y ON y.doc_id = b.doc_id LEFT JOIN ds ON ds.query_id = a.doc_id LEFT JOIN ls ON ls.query_id = a.doc_id""")
+def embed_pairs(spark, d):
+    """Each document against the next one, dense and sparse from one pass of the model over each text."""
+    e = checkpoint(embed.embedded(S.table(spark, d, "documents").select("doc_id", "text"), "text").drop("text"))
+    q = e.select(F.col("doc_id").alias("query_id"), (F.col("doc_id") + 1).alias("doc_id"), F.col("dense").alias("qdense"), F.col("sparse").alias("qsparse"))
+    return embed.pair_scores(q.join(e, "doc_id"))
+
+
 PAIRS = """pr AS (SELECT a.label AS user_id, a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"""
 
