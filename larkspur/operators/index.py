@@ -94,12 +94,13 @@ class PivotIndex:
     directory: DataFrame
 
     @staticmethod
-    def build(items: DataFrame, by: list[str], key: str, vector: str, metric: str = "cosine") -> PivotIndex:
-        """The index of items (by, key, vector); about the square root of a bucket's size of pivots, for all buckets alike."""
+    def build(items: DataFrame, by: list[str], key: str, vector: str, metric: str = "cosine", per_cell: int | None = None) -> PivotIndex:
+        """The index of items (by, key, vector); about the square root of a bucket's size of pivots, or one for ``per_cell`` vectors, for all buckets alike."""
         rows = prepared(items.select(*by, F.col(key).alias("key"), vector), vector, metric).select(*by, "key", "v")
         n, buckets, dims = rows.agg(F.count("*"), F.approx_count_distinct(F.struct(*by)) if by else F.lit(1), F.mode(F.size("v"), deterministic=True)).first()
         rows = rows.where(F.size("v") == (dims or 0))
-        m = min(MOST_PIVOTS, ceil(sqrt(n / max(1, buckets))))
+        held = n / max(1, buckets)
+        m = min(MOST_PIVOTS, ceil(held / per_cell if per_cell else sqrt(held)))
         chosen = rows.orderBy(F.xxhash64("key", *by), "key").select("v").limit(m).collect() if m else []
         pivots = np.unique(np.array([r.v for r in chosen]), axis=0) if chosen else np.zeros((0, dims or 0))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -99,6 +99,10 @@ def similar_pairs(items: DataFrame, buckets: list[str], key: str, vector: str, t
     return PivotIndex.build(items, buckets, key, vector).pairs(threshold, digits).withColumnRenamed("score", "cosine")
 
 
+#: Vectors of a cell where links are sought: a block gives as many links as it has vectors at most, so that small blocks give more of them.
+LINKED_CELL = 1024
+
+
 def similar_links(items: DataFrame, buckets: list[str], key: str, vector: str, threshold: float, digits: int = 9) -> DataFrame:
     """(a, b): links that join the keys of each bucket into the components of ``similar_pairs``, without all of its pairs.
 
@@ -106,7 +110,7 @@ def similar_links(items: DataFrame, buckets: list[str], key: str, vector: str, t
     """
     given = items.where(F.col(vector).isNotNull()).select(*buckets, F.col(key).alias("key"), F.col(vector).alias("vector"))
     same = checkpoint(given.groupBy(*buckets, "vector").agg(F.min("key").alias("least"), F.count("*").alias("n")))
-    links = PivotIndex.build(same, buckets, "least", "vector").pairs(threshold, digits, linked_only=True).select("a", "b")
+    links = PivotIndex.build(same, buckets, "least", "vector", per_cell=LINKED_CELL).pairs(threshold, digits, linked_only=True).select("a", "b")
     alike = same.where((F.col("n") > 1) & (F.round(V.dot(V.unit(F.col("vector")), V.unit(F.col("vector"))), digits) >= threshold))
     total = alike.agg(F.sum("n")).first()[0] or 0
     if not total:

@@ -147,6 +147,7 @@ rr AS (SELECT query_id, key, rrf_score, best.r AS best_rank, best.l AS best_list
 
 
 def _fused(spark, d) -> DataFrame:
+    """Three orders of each language's documents, of which fusion takes the first 200, as a recall of bounded size would give them."""
     docs = S.table(spark, d, "documents").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("key"), "n_chars", "text")
     lists = []
     for order in ([F.desc("n_chars"), "key"], ["key"], [F.md5(F.col("text").cast("binary")), "key"]):
@@ -178,12 +179,12 @@ def fallback_rerank(spark, d):
 
 
 @query("llm_rerank", """WITH c AS (SELECT user_id AS query_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS idx FROM events QUALIFY idx < 40),
-r AS (SELECT query_id, (event_id * 7 % 45)::INT AS idx, min({'p': event_id % 10 * 1000 + idx, 's': (event_id % 7)::DOUBLE / 5}) AS x FROM c WHERE idx < 12 AND event_id * 7 % 45 < 40 GROUP BY ALL)
+r AS (SELECT query_id, (event_id * 7 % 45)::INT AS idx, min({'p': event_id % 10 * 1000 + idx, 's': (event_id % 7)::DOUBLE / 5}) AS x FROM c WHERE event_id * 7 % 45 < 40 GROUP BY ALL)
 SELECT c.query_id, c.idx, greatest(0, least(1, coalesce(x.s, 0)))::DOUBLE AS llm_score, (row_number() OVER (PARTITION BY c.query_id ORDER BY x.p NULLS LAST, c.idx))::INT AS llm_rank FROM c LEFT JOIN r USING (query_id, idx) QUALIFY llm_rank <= 15""")
 def llm_rerank(spark, d):
     n = F.row_number().over(W.partitionBy("user_id").orderBy("event_id")) - 1
     c = S.table(spark, d, "events").select(F.col("user_id").alias("query_id"), "event_id", n.alias("idx")).where("idx < 40")
-    r = c.where("idx < 12").select("query_id", (F.col("event_id") % 10 * 1000 + F.col("idx")).alias("pos"), (F.col("event_id") * 7 % 45).cast("int").alias("idx"), ((F.col("event_id") % 7) / 5.0).alias("llm_score"))
+    r = c.select("query_id", (F.col("event_id") % 10 * 1000 + F.col("idx")).alias("pos"), (F.col("event_id") * 7 % 45).cast("int").alias("idx"), ((F.col("event_id") % 7) / 5.0).alias("llm_score"))
     return ranking.llm_rerank(c.drop("event_id"), r, 15)
 
 
@@ -311,10 +312,10 @@ def dry_run_extract(spark, d):
 
 @query("chat_prompt", f"""WITH {MSG}, h AS (SELECT conv_id, string_agg(role || ': ' || content, chr(10) ORDER BY seq) AS history FROM msg GROUP BY conv_id),
 u AS (SELECT conv_id, max_by(content, seq) AS said FROM msg WHERE role = 'user' GROUP BY conv_id),
-m AS (SELECT doc_id % 100 AS conv_id, string_agg('- ' || text, chr(10) ORDER BY doc_id) AS block FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) <= 5) GROUP BY ALL)
+m AS (SELECT doc_id // 10 AS conv_id, string_agg('- ' || text, chr(10) ORDER BY doc_id) AS block FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) <= 5) GROUP BY ALL)
 SELECT conv_id, history, said || coalesce(chr(10) || chr(10) || '[memories]' || chr(10) || block, '') AS prompt FROM h JOIN u USING (conv_id) LEFT JOIN m USING (conv_id)""")
 def chat_prompt(spark, d):
-    docs = S.table(spark, d, "documents").select((F.col("doc_id") % 100).alias("conv_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
+    docs = S.table(spark, d, "documents").select(F.floor(F.col("doc_id") / 10).alias("conv_id"), F.col("doc_id").alias("position"), F.col("text").alias("content"))
     top = F.row_number().over(W.partitionBy("conv_id").orderBy("position"))
     docs = docs.withColumn("rank", top).where("rank <= 5").drop("rank")  # C12: a prompt has the first five memories
     return extract.chat_prompts(dialogue.valid_messages(S.messages(spark, d)), docs)
@@ -405,9 +406,9 @@ def update_status(spark, d):
 
 
 @query("bump_retrieval", """SELECT 'm' || d.doc_id AS memory_id, coalesce(n, 0)::BIGINT AS retrieval_count, strftime(a, '%Y-%m-%d %H:%M:%S') AS last_retrieved_at FROM documents d LEFT JOIN
-  (SELECT event_id % 300 AS doc_id, count(DISTINCT user_id) AS n, max(ts) AS a FROM events GROUP BY 1) USING (doc_id)""")
+  (SELECT event_id // 10 AS doc_id, count(DISTINCT user_id) AS n, max(ts) AS a FROM events GROUP BY 1) USING (doc_id)""")
 def bump_retrieval(spark, d):
-    hits = S.table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.concat(F.lit("m"), F.col("event_id") % 300).alias("memory_id"), F.col("ts").alias("at"))
+    hits = S.table(spark, d, "events").select(F.col("user_id").alias("query_id"), F.concat(F.lit("m"), F.floor(F.col("event_id") / 10)).alias("memory_id"), F.col("ts").alias("at"))
     old = S.memories(spark, d).select("memory_id", F.lit(0).cast("long").alias("retrieval_count"), F.lit(None).cast(dict(hits.dtypes)["at"]).alias("last_retrieved_at"))
     return _text(store.bump_retrieval(old, hits), "last_retrieved_at")
 
@@ -450,28 +451,28 @@ def list_user_ids(spark, d):
 TOP = """top AS (SELECT 't' || conv_id AS topic_id, conv_id FROM conversations GROUP BY conv_id)"""
 
 
-@query("provenance", f"""WITH {TOP}, l AS (SELECT 'm' || doc_id AS memory_id, 0 AS i, 't' || doc_id % 7 AS topic_id FROM documents UNION ALL SELECT 'm' || doc_id, 1, 't' || doc_id % 13 FROM documents),
+@query("provenance", f"""WITH {TOP}, l AS (SELECT 'm' || doc_id AS memory_id, 0 AS i, 't' || doc_id // 10 AS topic_id FROM documents UNION ALL SELECT 'm' || doc_id, 1, 't' || doc_id // 7 FROM documents),
 c AS (SELECT memory_id, i, 0 AS j, 'c' || conv_id % 4 AS cid FROM l JOIN top USING (topic_id) UNION ALL SELECT memory_id, i, 1, 'c' || conv_id FROM l JOIN top USING (topic_id)),
 f AS (SELECT memory_id, cid, min(i * 2 + j) AS p FROM c GROUP BY ALL) SELECT memory_id, string_agg(cid, ',' ORDER BY p, cid) AS conversation_ids FROM f GROUP BY memory_id""")
 def provenance(spark, d):
     return store.provenance(S.memories(spark, d), S.topics(spark, d)).withColumn("conversation_ids", F.array_join("conversation_ids", ","))
 
 
-@query("cite_resolution", """WITH c AS (SELECT 'm' || doc_id AS memory_id, 't' || doc_id % 7 AS topic_id, doc_id % 7 AS conv_id, 0 AS position, doc_id % 5 AS index FROM documents
-  UNION ALL SELECT 'm' || doc_id, 't' || doc_id % 7, doc_id % 7, 1, doc_id % 3 FROM documents)
+@query("cite_resolution", """WITH c AS (SELECT 'm' || doc_id AS memory_id, 't' || doc_id // 10 AS topic_id, doc_id // 10 AS conv_id, 0 AS position, doc_id % 5 AS index FROM documents
+  UNION ALL SELECT 'm' || doc_id, 't' || doc_id // 10, doc_id // 10, 1, doc_id % 3 FROM documents)
 SELECT memory_id, topic_id, position::INT AS position, index::INT AS index, text AS content FROM c JOIN conversations v ON v.conv_id = c.conv_id AND v.turn = c.index""")
 def cite_resolution(spark, d):
     return store.cited_messages(S.memories(spark, d), S.topics(spark, d))
 
 
 def _members(spark, d):
-    return S.memories(spark, d).withColumn("cluster", F.col("doc_id") % 50).withColumn("position", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("created_at"), "memory_id")))
+    return S.memories(spark, d).withColumn("cluster", F.floor(F.col("doc_id") / 20)).withColumn("position", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("created_at"), "memory_id")))
 
 
-@query("merge_provenance", """WITH ps AS (SELECT doc_id % 50 AS cluster, doc_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id DESC) AS position FROM documents),
-l AS (SELECT cluster, position * 2 AS p, 't' || doc_id % 7 AS t FROM ps UNION ALL SELECT cluster, position * 2 + 1, 't' || doc_id % 13 FROM ps),
+@query("merge_provenance", """WITH ps AS (SELECT doc_id // 20 AS cluster, doc_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id DESC) AS position FROM documents),
+l AS (SELECT cluster, position * 2 AS p, 't' || doc_id // 10 AS t FROM ps UNION ALL SELECT cluster, position * 2 + 1, 't' || doc_id // 7 FROM ps),
 f AS (SELECT cluster, t, min(p) AS p FROM l GROUP BY ALL), x AS (SELECT cluster, string_agg(t, ',' ORDER BY p) AS topic_ids FROM f GROUP BY cluster),
-c AS (SELECT DISTINCT doc_id % 50 AS cluster, 't' || doc_id % 7 AS t, unnest([doc_id % 5, doc_id % 3]) AS i FROM documents),
+c AS (SELECT DISTINCT doc_id // 20 AS cluster, 't' || doc_id // 10 AS t, unnest([doc_id % 5, doc_id % 3]) AS i FROM documents),
 y AS (SELECT cluster, t || ':' || string_agg(i, '+' ORDER BY i) AS s FROM c GROUP BY cluster, t), z AS (SELECT cluster, string_agg(s, ',' ORDER BY s) AS cites FROM y GROUP BY cluster)
 SELECT cluster, topic_ids, cites FROM x JOIN z USING (cluster)""")
 def merge_provenance(spark, d):
@@ -480,7 +481,7 @@ def merge_provenance(spark, d):
     return merge.merged_topics(m).join(merge.merged_cites(m), "cluster").select("cluster", F.array_join("topic_ids", ",").alias("topic_ids"), F.array_join(cites, ",").alias("cites"))
 
 
-@query("merge_scores", f"""WITH {MEM}, a AS (SELECT doc_id % 50 AS cluster, max(importance) AS most, avg(confidence) AS mean, count(*) AS merged_count FROM mem GROUP BY 1),
+@query("merge_scores", f"""WITH {MEM}, a AS (SELECT doc_id // 20 AS cluster, max(importance) AS most, avg(confidence) AS mean, count(*) AS merged_count FROM mem GROUP BY 1),
 g AS (SELECT *, CASE WHEN cluster % 3 = 0 THEN 0::DOUBLE WHEN cluster % 3 = 1 THEN 1.7 END AS li, CASE WHEN cluster % 2 = 0 THEN 0.4::DOUBLE END AS lc FROM a)
 SELECT cluster, round(greatest(0, least(1, CASE WHEN li <> 0 THEN li ELSE most END)), 9)::DOUBLE AS importance, round(greatest(0, least(1, CASE WHEN lc <> 0 THEN lc ELSE mean END)), 9)::DOUBLE AS confidence, merged_count FROM g""")
 def merge_scores(spark, d):

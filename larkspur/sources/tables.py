@@ -52,8 +52,8 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         at(d * 3600).alias("created_at"),
         ((d * 37 % 101) / 100.0).alias("importance"),
         ((d * 53 % 97) / 100.0).alias("confidence"),
-        F.array(F.concat(F.lit("t"), d % 7), F.concat(F.lit("t"), d % 13)).alias("source_topic_ids"),
-        F.create_map(F.concat(F.lit("t"), d % 7), F.array((d % 5).cast("int"), (d % 3).cast("int"))).alias("source_topic_cites"),
+        F.array(F.concat(F.lit("t"), F.floor(d / 10)), F.concat(F.lit("t"), F.floor(d / 7))).alias("source_topic_ids"),  # the latter ones dangle
+        F.create_map(F.concat(F.lit("t"), F.floor(d / 10)), F.array((d % 5).cast("int"), (d % 3).cast("int"))).alias("source_topic_cites"),
     )
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import graph, index
+from larkspur.operators import graph, index, search
 from larkspur.operators.graph import components, forest
 from larkspur.operators.merge import clusters
 from larkspur.operators.rounds import SPLIT, spread_join
@@ -47,6 +47,7 @@ def score(metric, q, x):
 def small_blocks(monkeypatch):
     """Blocks of a few rows, so that cells and queries are split."""
     monkeypatch.setattr(index, "BLOCK", 7)
+    monkeypatch.setattr(search, "LINKED_CELL", 20)
 
 
 @pytest.mark.parametrize(("kind", "metric", "threshold"), [("random", "cosine", None), ("clustered", "cosine", 0.9), ("crowd", "cosine", None), ("clustered", "euclid", None), ("random", "dot", None), ("clustered", "manhattan", 2.0)])
