@@ -13,7 +13,7 @@ from larkspur.functions import json as J
 from larkspur.functions import text as T
 from larkspur.functions import time as D
 from larkspur.functions import vector as V
-from larkspur.operators import compress, dialogue, log, merge, ranking, scroll, search, store, validate
+from larkspur.operators import compress, dialogue, documents, log, merge, ranking, scroll, search, store, validate
 from larkspur.operators.rounds import checkpoint, shared_folder
 from larkspur.plans import extract, prompts, retrieve
 from larkspur.sources import tables as S
@@ -526,6 +526,15 @@ def category_docs(spark, d):
     return store.category_docs(S.memories(spark, d))
 
 
+@query("category_parts", f"""WITH {MEM}, b AS (SELECT *, '- (' || printf('%.2f', importance) || ') ' || memory_content || chr(10) AS bullet FROM mem WHERE status = 'active' AND trim(memory_content) <> ''),
+s AS (SELECT *, coalesce(sum(length(bullet)) OVER (PARTITION BY user_id, memory_type, memory_category ORDER BY importance DESC, created_at DESC, memory_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS gone FROM b)
+SELECT user_id, memory_type, memory_category, gone // 8192 AS part, count(*) AS n, md5(string_agg(bullet, '' ORDER BY gone)) AS body_md5 FROM s GROUP BY ALL""")
+def category_parts(spark, d):
+    """Documents in parts of 8192 characters."""
+    rows = documents.category_parts(S.memories(spark, d), 8192)
+    return rows.withColumn("body_md5", F.md5(F.col("body").cast("binary"))).drop("body")
+
+
 @query("category_payload_size", f"WITH {MEM} SELECT user_id, memory_type, memory_category, least(60, count(*))::INT AS n FROM mem WHERE status = 'active' GROUP BY ALL")
 def category_payload_size(spark, d):
     rows = store.category_payload(S.memories(spark, d))
@@ -646,10 +655,10 @@ def bm25_stream_stats(spark, d):
     path = f"{d}/conversations.parquet"
     at = F.timestamp_seconds(F.lit(S.EPOCH) + F.col("turn"))
     source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/conversations.parque[t]")  # a stream's source is a folder or a pattern
-    documents = source.select(F.concat(F.lit("u"), F.col("conv_id") % 10).alias("user_id"), F.concat_ws("-", "conv_id", "turn").alias("memory_id"), F.col("text").alias("memory_content"), at.alias("ts"))
+    said = source.select(F.concat(F.lit("u"), F.col("conv_id") % 10).alias("user_id"), F.concat_ws("-", "conv_id", "turn").alias("memory_id"), F.col("text").alias("memory_content"), at.alias("ts"))
     top = f"{shared_folder(spark)}/bm25-{uuid.uuid4().hex}"
     kept = log.Store(spark, f"{top}/store")
-    stream = bm25_state.keep(documents, kept, "counts", f"{top}/checkpoint", late="3650 days")
+    stream = bm25_state.keep(said, kept, "counts", f"{top}/checkpoint", late="3650 days")
     stream.awaitTermination()
     return bm25_state.stats(kept.read("counts")).withColumn("avgdl", F.round("avgdl", 6))
 
