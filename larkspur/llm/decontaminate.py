@@ -17,7 +17,8 @@ meets every block.
 Defined results: null or empty texts hold nothing, and null or empty passages are in
 nothing; of equally near places of a passage the first counts; a text of any length is
 searched whole; null doc ids are reported as null; repeated rows are judged each by
-itself; other columns, of either table, are ignored.
+itself; an empty table, of either kind, gives no findings; other columns, of either
+table, are ignored.
 """
 
 from __future__ import annotations

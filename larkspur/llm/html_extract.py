@@ -16,7 +16,7 @@ tables inside more than ALIGNED others, where cells follow each other as blocks.
 
 Defined results: a null or empty page gives an empty text; bare text is rendered as
 it stands; a page of any length or depth is rendered whole; null ids stay null; repeated rows are rendered each by itself; other columns
-are ignored.
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ Only the text enters a score.  Rows with crc32(doc_id) mod 3 = 1 are held out.
 
 Defined results: null and empty texts get the score of a text without features; a null
 doc_id counts as an empty string and is not held out; without usable labels of both
-classes every score is 0.5; repeated rows score alike; other columns are ignored.
+classes every score is 0.5; repeated rows score alike; a text of any length is scored by
+all its words; an empty table gives no rows; other columns, of either table, are ignored.
 """
 
 from __future__ import annotations

@@ -4,8 +4,9 @@
 comparisons are between whole numbers, so that every engine agrees on the edge.
 
 Defined results: a null or blank text has no words and fails the base rules; a
-null doc_id is kept as null; repeated rows are judged alike, each by itself; other
-columns, whatever their names, are ignored.
+null doc_id is kept as null; repeated rows are judged alike, each by itself; a text of
+any length is judged by all its words; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ candidates that no base span meets.  Starts and ends count code points.
 
 Defined results: a null text counts as empty and has no findings; null ids stay null;
 repeated rows are scanned each by itself; without a candidate in the sample the network
-learns from the generated findings alone; other columns are ignored.
+learns from the generated findings alone; a text of any length is scanned in whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ possible hits to a hash join with the list itself, which removes false positives
 Contract rules beat plain list entries; the longest rule wins, then the longer host.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and
-is allowed; an empty list allows all; repeated rows are judged alike; null page ids
-stay null; other columns are ignored, whatever their names.
+is allowed; a url of any length is judged in whole; an empty list allows all, and an
+empty table gives no rows; repeated rows are judged alike; null page ids stay null;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
