@@ -3,6 +3,11 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame.  All but the last return the columns of documents.  ``run`` writes what a
 stage returns to the shared folder before the next one reads it several times over.
+
+Defined results: a null or blank text fails the quality rules; a text of any length goes through whole; of repeated rows with one
+doc_id one stays; of rows with equal lines those of the least doc_id keep them, rows without an id last, and a row that loses all its
+lines stays as an empty text; an empty table gives no rows; other columns of documents are carried along, whatever their names,
+and dropped by the last stage.
 """
 
 from __future__ import annotations
