@@ -8,7 +8,7 @@ from larkspur.functions import vector as V
 from larkspur.plans.retrieve import retrieve
 
 
-@pytest.mark.parametrize("use_mmr", [False])
+@pytest.mark.parametrize("use_mmr", [False, True])
 def test_vectors_are_made_once(spark, use_mmr):
     made = spark.sparkContext.accumulator(0)
 
