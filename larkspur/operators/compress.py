@@ -11,14 +11,21 @@ more than ``rate`` may stay; rows are told apart by their key, and of rows with
 
 from __future__ import annotations
 
+from math import floor, inf
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.rounds import spread_join
+from larkspur.operators.rounds import checkpoint, spread_join
 
 # What always stays, and where chunks close.
 FORCE_TOKENS = ("\n", ".", "!", "?", ",", "、")
 CHUNK_END_TOKENS = (".", "\n")
+#: Distinct terms of all texts up to which their weights are broadcast: some 20 MB.
+BROADCAST_TERMS = 200_000
+#: Texts whose tokens a task holds as Python objects at once.
+TEXTS = 64
 TOKENS = r"([\p{L}\p{N}&&[\u0000-⺀]]+|\n|[^\s])"
 
 
@@ -27,59 +34,75 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKENS), F.lit(1))
 
 
-def chunk_starts(words: Column, budget: int, ends: tuple[str, ...]) -> Column:
+def chunk_starts(words: list[str], budget: int, ends: tuple[str, ...]) -> list[int]:
     """The first place of each chunk: a chunk that is full ends after its last end token, or where it is full if it has none."""
-    start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(-1).alias("end"), F.lit(0).alias("i"))
-
-    def step(s: Column, word: Column) -> Column:
-        now = F.element_at(s["starts"], -1)
-        full = s["i"] - now >= budget
-        fresh = F.when(s["end"] >= now, s["end"] + 1).otherwise(s["i"])
-        starts = F.when(full, F.concat(s["starts"], F.array(fresh))).otherwise(s["starts"])
-        return F.struct(starts.alias("starts"), F.when(word.isin(*ends), s["i"]).otherwise(s["end"]).alias("end"), (s["i"] + 1).alias("i"))
-
-    return F.aggregate(words, start, step, lambda s: s["starts"])
-
-
-def weights(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame, int]:
-    """((term, weight), (term, n) rows of each term, rows) of rows (key, term): the inverse document frequency over all keys."""
-    terms = rows.groupBy("term").agg(F.countDistinct(key).alias("df"), F.count("*").alias("n"))
-    texts, total = rows.agg(F.countDistinct(key), F.count("*")).first()
-    idf = F.round(F.log(1 + (F.lit(texts) - F.col("df") + 0.5) / (F.col("df") + 0.5)), 9)
-    return terms.select("term", idf.alias("weight")), terms.select("term", "n"), total
-
-
-def compress(docs: DataFrame, key: str, text: str, rate: float = 0.8, force: tuple[str, ...] = FORCE_TOKENS, ends: tuple[str, ...] = CHUNK_END_TOKENS, budget: int = 512, drop_consecutive: bool = True, given: DataFrame | None = None) -> DataFrame:
+    starts, end = [0], -1
+    for i, word in enumerate(words):
+        if i - starts[-1] >= budget:
+            starts.append(end + 1 if end >= starts[-1] else i)
+        if word in ends:
+            end = i
+    return starts
+
+
+def weights(terms: DataFrame, texts: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """((term, weight), (term, n) texts of each term, rows, terms) of the distinct (key, term) of some texts: the inverse document frequency."""
+    counts = checkpoint(terms.groupBy("term").agg(F.count("*").alias("n")))
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    idf = F.round(F.log(1 + (F.lit(texts) - F.col("n") + 0.5) / (F.col("n") + 0.5)), 9)
+    return counts.select("term", idf.alias("weight")), counts, total, distinct
+
+
+def _kept(words: list[str], weight: dict[str, float], starts: list[int], rate: float, force: tuple[str, ...]) -> list[bool]:
+    """Whether each token stays: its weight reaches its chunk's quantile, or it is forced."""
+    own, out = [weight[w] for w in words], []
+    for a, b in zip(starts, [*starts[1:], len(words)], strict=True):
+        place = floor((b - a) * (1 - rate) + 1e-9)
+        least = sorted(own[a:b])[place] if place < b - a else inf
+        out += [x >= least or w in force for x, w in zip(own[a:b], words[a:b], strict=True)]
+    return out
+
+
+def _compressed(rate: float, force: tuple[str, ...], ends: tuple[str, ...], budget: int, drop: bool, labels: bool, schema: pa.Schema):
+    """(key, words, own, weights) with the distinct words of a text and their weights -> a row of results, some texts at a time."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part, rows = batch.slice(at, TEXTS), []
+                for words, own, weight in zip(*[part.column(c).to_pylist() for c in ("words", "own", "weights")], strict=True):
+                    starts = chunk_starts(words, budget, ends)
+                    marks = _kept(words, dict(zip(own or (), weight or (), strict=True)), starts, rate, force)
+                    kept = [w for w, k in zip(words, marks, strict=True) if k]
+                    if drop:
+                        kept = [w for j, w in enumerate(kept) if not (j and w in force and w == kept[j - 1])]
+                    rows.append((len(words), len(starts) if words else 0, len(kept), " ".join(kept), [{"word": w, "kept": k} for w, k in zip(words, marks, strict=True)] if labels else None))
+                columns = zip(*rows, strict=True)
+                yield pa.record_batch([part.column("key"), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=pa.schema([part.schema.field("key"), *list(schema)[1:]]))
+
+    return run
+
+
+def compress(docs: DataFrame, key: str, text: str, rate: float = 0.8, force: tuple[str, ...] = FORCE_TOKENS, ends: tuple[str, ...] = CHUNK_END_TOKENS, budget: int = 512, drop_consecutive: bool = True, given: DataFrame | None = None, labels: bool = True) -> DataFrame:
     """(key, n_tokens, n_chunks, n_kept, compressed, labels) of docs (key, text); given: (term, weight) in place of the corpus's.
 
-    labels: array of (word, kept) of all tokens in order; compressed: the kept ones, a space between two.
+    labels: array of (word, kept) of all tokens in order, null if they are not asked for; compressed: the kept ones, a space between two.
+    Only the distinct terms of a text are exchanged for their weights; its tokens stay in its row.
     """
     if not 0 < rate <= 1:
         raise ValueError("rate is above 0 and at most 1")
     if budget < 1:
         raise ValueError("a chunk has a token at least")
-    words = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words")).dropDuplicates(["key"])
-    cut = words.where(F.size("words") > 0).select("key", "words", chunk_starts(F.col("words"), budget, ends).alias("starts"))
-    cut = cut.select("key", "words", "starts", F.posexplode("starts").alias("chunk", "a"))
-    size = F.coalesce(F.get("starts", F.col("chunk") + 1), F.size("words")) - F.col("a")
-    rows = cut.select("key", "chunk", "a", F.posexplode(F.slice("words", F.col("a") + 1, size)).alias("at", "word")).select("key", "chunk", (F.col("a") + F.col("at")).alias("i"), "word", F.lower("word").alias("term"))
-    own, counts, total = weights(rows, "key")
+    texts = checkpoint(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).dropDuplicates(["key"]))
+    words = texts.select("key", tokens(F.col("text")).alias("words"))
+    terms = words.select("key", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term"))
+    own, counts, total, distinct = weights(terms, texts.where(F.col("text").rlike(r"\n|\S")).count())
     if given is not None:
         own = counts.select("term").join(given, "term", "left").select("term", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    weighed = spread_join(rows, own, ["term"], counts, total, "key")
-    chunk = weighed.groupBy("key", "chunk").agg(F.array_sort(F.collect_list(F.struct("i", "word", "weight"))).alias("w"))
-    least = F.get(F.array_sort(F.transform("w", lambda x: x["weight"])), F.floor(F.size("w") * (1 - rate) + 1e-9).cast("int"))
-    chunk = chunk.withColumn("least", least)
-    marked = F.transform("w", lambda x: F.struct(x["word"].alias("word"), ((x["weight"] >= F.col("least")) | x["word"].isin(*force)).alias("kept")))
-    whole = chunk.select("key", "chunk", marked.alias("m")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "m"))).alias("c"))
-    whole = whole.select("key", F.size("c").alias("n_chunks"), F.flatten(F.transform("c", lambda x: x["m"])).alias("labels"))
-    kept = whole.withColumn("kept", F.transform(F.filter("labels", lambda x: x["kept"]), lambda x: x["word"]))
-    if drop_consecutive:
-        again = lambda x, j: x.isin(*force) & (j > 0) & (x == F.get("kept", j - 1))
-        kept = kept.withColumn("kept", F.filter("kept", lambda x, j: ~F.coalesce(again(x, j), F.lit(False))))
-    none = F.lit(0)
-    out = words.select("key", F.size("words").alias("n_tokens")).join(kept, "key", "left")
-    return out.select(
-        F.col("key").alias(key), "n_tokens", F.coalesce("n_chunks", none).alias("n_chunks"), F.when(F.col("kept").isNull(), none).otherwise(F.size("kept")).alias("n_kept"),
-        F.coalesce(F.array_join("kept", " "), F.lit("")).alias("compressed"), F.coalesce("labels", F.array().cast("array<struct<word: string, kept: boolean>>")).alias("labels"),
-    )
+    rows = words.select("key", F.explode(F.array_distinct("words")).alias("word")).withColumn("term", F.lower("word"))
+    weighed = rows.join(F.broadcast(own), "term") if distinct <= BROADCAST_TERMS else spread_join(rows, own, ["term"], counts, total, "key")
+    lists = weighed.groupBy(F.col("key").alias("of")).agg(F.collect_list("word").alias("own"), F.collect_list("weight").alias("weights"))
+    ready = texts.join(lists, texts["key"].eqNullSafe(lists["of"]), "left").select("key", tokens(F.col("text")).alias("words"), "own", "weights")
+    out = f"key {dict(ready.dtypes)['key']}, n_tokens int, n_chunks int, n_kept int, compressed string, labels array<struct<word: string, kept: boolean>>"
+    fields = pa.schema([("key", pa.null()), *[(c, pa.int32()) for c in ("n_tokens", "n_chunks", "n_kept")], ("compressed", pa.string()), ("labels", pa.list_(pa.struct([("word", pa.string()), ("kept", pa.bool_())])))])
+    return ready.mapInArrow(_compressed(rate, force, ends, budget, drop_consecutive, labels, fields), out).withColumnRenamed("key", key)

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from larkspur.operators import compress as C
 from larkspur.operators.compress import CHUNK_END_TOKENS, FORCE_TOKENS, compress
 
 
@@ -58,3 +59,11 @@ def test_given_weights_cjk_and_bounds(spark):
     with pytest.raises(ValueError):
         compress(df, "id", "text", budget=0)
     assert compress(df.limit(0), "id", "text").count() == 0
+
+
+def test_terms_too_many_to_broadcast(spark, monkeypatch):
+    """Weights are joined by term; the tokens of a long text of many chunks stay in one row."""
+    monkeypatch.setattr(C, "BROADCAST_TERMS", 0)
+    rows = [*texts(5), (200, " ".join(f"w{i % 997} the" for i in range(5000)))]
+    got = {r.id: (r.n_tokens, r.n_chunks, r.n_kept, r.compressed) for r in compress(spark.createDataFrame(rows, "id int, text string"), "id", "text", 0.5, budget=5, labels=False).collect()}
+    assert got == {k: v[:4] for k, v in brute(rows, 0.5, 5).items()}
