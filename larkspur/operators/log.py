@@ -3,8 +3,8 @@
 A table's base lies in one folder a bucket of its key's hash.  A change appends a delta, a
 folder of rows: ``upsert`` puts whole rows, ``patch`` the values that are not null, ``bump``
 adds to the counters and raises the latest times, ``delete`` takes keys away.  A read
-leaves base rows that no delta names as they are and folds the others with their deltas in
-the order of commits.  ``compact`` folds the buckets that deltas touch, and no others, into
+gathers the deltas by key, in the order of commits, and folds them onto the base rows; where
+they name few keys, rows that they do not name are left as they are.  ``compact`` folds the buckets that deltas touch, and no others, into
 new folders.
 
 Every folder and draft has a fresh name, and nothing that was committed is ever written
@@ -120,7 +120,8 @@ class Store:
     def _write_base(self, table: str, key: str, rows: DataFrame) -> dict[str, str]:
         """{bucket: folder} of the rows; no folder for a bucket without any."""
         folder = self._folder(table)
-        rows.withColumn("_bucket", self._bucket(key)).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
+        # each task writes a file a bucket: rows are not shuffled once more, nor a bucket held by one task
+        rows.withColumn("_bucket", self._bucket(key)).write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
         found = [f.getPath().getName() for f in self._fs.globStatus(self._path(f"{self.root}/{folder}/_bucket=*")) or ()]
         return {name.partition("=")[2]: f"{folder}/{name}" for name in found}
 
@@ -155,14 +156,16 @@ class Store:
             return base
         key, columns = entry["key"], base.columns
         changes = self._deltas(entry, deltas)
-        named = changes.select(key).distinct()
-        named = F.broadcast(named) if sum(d["rows"] for d in deltas) <= BROADCAST_KEYS else named
-        rest = base.join(named, key, "left_anti")
-        old = base.join(named, key, "left_semi").withColumns({"_seq": F.lit(-1).cast("bigint"), "_kind": F.lit("upsert")})
-        steps = old.unionByName(changes).groupBy(key).agg(F.collect_list(F.struct("_seq", F.struct("_kind", *columns).alias("_row"))).alias("_steps"))
-        in_order = F.array_sort("_steps", lambda a, b: F.when(a["_seq"] < b["_seq"], -1).when(a["_seq"] > b["_seq"], 1).otherwise(0))
+        named, few = changes.select(key).distinct(), sum(d["rows"] for d in deltas) <= BROADCAST_KEYS
+        rest = base.join(F.broadcast(named), key, "left_anti") if few else None
+        old = base.join(F.broadcast(named), key, "left_semi") if few else base
+        # changes alone are gathered by key; rows of the base meet them once and travel in no list
+        steps = changes.groupBy(key).agg(F.collect_list(F.struct("_seq", F.struct("_kind", *columns).alias("_row"))).alias("_steps"))
+        in_order = F.array_sort(F.coalesce("_steps", F.array().cast(steps.schema["_steps"].dataType)), lambda a, b: F.when(a["_seq"] < b["_seq"], -1).when(a["_seq"] > b["_seq"], 1).otherwise(0))
         types = {f.name: f.dataType for f in base.schema}
-        return rest.unionByName(steps.select(fold(in_order, types, key, entry["keep"]).alias("_r")).where("_r._kind = 'alive'").select(*[F.col("_r").getField(c).alias(c) for c in columns]))
+        met = old.select(key, F.struct(*columns).alias("_old")).join(steps, key, "full_outer")
+        folded = met.select(fold(in_order, types, key, entry["keep"], F.col("_old")).alias("_r")).where("_r._kind = 'alive'").select(*[F.col("_r").getField(c).alias(c) for c in columns])
+        return folded if rest is None else rest.unionByName(folded)
 
     # --- writing ---
 
@@ -267,13 +270,13 @@ def _schema(spark: SparkSession, ddl: str):
     return spark.createDataFrame([], ddl).schema
 
 
-def fold(steps: Column, types: dict, key: str, keep: list[str]) -> Column:
-    """One row (_kind, columns) from a key's steps (_seq, _row (_kind, columns)) in order; _kind is ``alive``, or ``gone``.
+def fold(steps: Column, types: dict, key: str, keep: list[str], old: Column) -> Column:
+    """One row (_kind, columns) from a key's old row, null if there is none, and its steps (_seq, _row (_kind, columns)) in order; _kind is ``alive``, or ``gone``.
 
     An upsert replaces the row but for the columns that it keeps; a patch puts the values it has; a bump adds numbers and takes the later of
     other values; these two change no row that is not there.
     """
-    first = F.struct(F.lit("gone").alias("_kind"), *[F.get(steps, 0)["_row"][c].alias(c) for c in types])
+    first = F.struct(F.when(old.isNull(), "gone").otherwise("alive").alias("_kind"), *[old[c].alias(c) for c in types])
 
     def bumped(old: Column, new: Column, c: str) -> Column:
         if c == key or types[c].typeName() in ("array", "map", "struct", "variant"):

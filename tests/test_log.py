@@ -173,3 +173,23 @@ def test_many_commits_are_compacted(spark, store, monkeypatch):
         store.append(Delta("things", "upsert", rows_of(spark, [full("a", hits=i)])))
     assert len(store._state()["tables"]["things"]["deltas"]) < 3 and content(store, "id", "hits") == [("a", 3)]
     assert store.read("things").where(F.col("hits") == 3).count() == 1
+
+
+def test_many_changed_keys(spark, tmp_path, monkeypatch):
+    """Deltas that name too many keys to broadcast: the same rows, and the base is exchanged once."""
+    s = log.Store(spark, f"{tmp_path}/s")
+    base = spark.range(40).select("id", F.concat(F.lit("v"), "id").alias("v"), F.lit(0).alias("n"), F.lit("old").alias("made"))
+    s.replace({"t": (base, "id", ("made",))})
+    new = spark.range(30, 50).select("id", F.lit("new").alias("v"), F.lit(5).alias("n"), F.lit("young").alias("made"))
+    s.append(log.Delta("t", "upsert", new), log.Delta("t", "bump", spark.range(20, 60).select("id", F.lit(2).alias("n"))))
+    s.append(log.Delta("t", "patch", spark.range(0, 60, 3).select("id", F.lit("patched").alias("v"))), log.Delta("t", "delete", spark.range(0, 60, 4).select("id")))
+    small = sorted(tuple(r) for r in s.read("t").collect())
+    want = {i: (i, f"v{i}", 0, "old") for i in range(40)} | {i: (i, "new", 5, "old" if i < 40 else "young") for i in range(30, 50)}
+    want = {i: (i, "patched" if i % 3 == 0 else v, n + 2 * (i >= 20), made) for i, (_, v, n, made) in want.items() if i % 4}
+    assert small == sorted(want.values())
+    monkeypatch.setattr(log, "BROADCAST_KEYS", 0)
+    read = s.read("t")
+    assert sorted(tuple(r) for r in read.collect()) == small
+    assert read._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    s.compact("t")
+    assert sorted(tuple(r) for r in s.read("t").collect()) == small
