@@ -168,3 +168,16 @@ def test_a_star_of_a_million_leaves_is_dealt_out(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
     assert sum(parts) == n and len(parts) > 1 and parts[-1] <= 2 * parts[len(parts) // 2] and n > 100 * SPLIT
+
+
+def test_tasks_hold_matrices_of_a_bounded_size(monkeypatch):
+    """However many pivots there are, and however many cells a vector reaches."""
+    rng = np.random.default_rng(3)
+    x, pivots = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (rng.normal(size=(100, D)), rng.normal(size=(50, D))))
+    batch = index.pa.record_batch([index.pa.array(np.arange(100)), index.pa.array(x.tolist())], names=["key", "v"])
+    seen, real = [], index.gaps
+    monkeypatch.setattr(index, "AT_ONCE", 500, raising=False)
+    monkeypatch.setattr(index, "gaps", lambda metric, x, pivots: seen.append(x.size // D * len(pivots)) or real(metric, x, pivots))
+    out = list(index._reaching(pivots, np.zeros(50), np.full(50, 4.0), 4.0)([batch]))
+    assert max(o.num_rows for o in out) <= index.BLOCK and sum(o.num_rows for o in out) > 1000
+    assert sum(o.num_rows for o in index._placed("cosine", pivots)([batch])) == 100 and max(seen) <= 500
