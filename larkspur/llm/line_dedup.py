@@ -50,6 +50,10 @@ SKETCH = sketch_columns(16)
 _CHUNK = 80_000
 #: Bytes of text that are worked on at once; one text is never split.
 _SLICE = 120_000
+#: Texts whose band keys are packed at once, which takes some 20 KB a text.
+_TEXTS = 2500
+#: Buckets of band keys for each shuffle partition: a task holds one bucket at a time.
+_BUCKETS = 4
 _STEP = 0xD6E8FEB86659FD93
 
 
@@ -190,9 +194,9 @@ def _distinct(batch: pa.RecordBatch):
 
 def _send_bands(n_buckets: int):
     def run(batches):
-        for batch in batches:
+        for part in (batch.slice(at, _TEXTS) for batch in batches for at in range(0, batch.num_rows, _TEXTS)):
             keys, ids = [], []
-            for lines, names, which in _distinct(batch):
+            for lines, names, which in _distinct(part):
                 keys.append(band_keys(lines, which).reshape(-1))
                 ids.append(np.repeat(names, BANDS))
             if keys:
@@ -295,7 +299,7 @@ def _components(rows: DataFrame, found: DataFrame, some: DataFrame, bound: Bound
 
 
 def _candidates(texts: DataFrame) -> DataFrame:
-    n = shuffle_partitions(texts.sparkSession)
+    n = _BUCKETS * shuffle_partitions(texts.sparkSession)
     groups = texts.mapInArrow(_send_bands(n), SPREAD).groupBy("bucket").applyInArrow(lambda t: key_groups(t, _KEY_BYTES, None), GROUPS)
     return checkpoint(groups.groupBy("lid", "a", "b").agg(F.bool_or("hub").alias("hub")))
 

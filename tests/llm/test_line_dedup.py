@@ -169,3 +169,15 @@ def test_clashing_columns_null_ids_and_long_texts(docs):
     texts = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in got))
     assert texts[:4] == [(False, 7, line), (False, 8, ""), (False, 9, "z" * 300_000), (False, 10, "short")]
     assert [t for _, _, t in texts[4:]] == [f"own {i} {'xyz' * i}" for i in range(5)]
+
+
+def test_bands_are_packed_for_some_texts_at_once(monkeypatch):
+    """However long a batch is, its keys are not gathered whole; equal lines of two parts meet by their keys."""
+    import pyarrow as pa
+
+    from larkspur.llm import line_dedup as L
+
+    monkeypatch.setattr(L, "_TEXTS", 100, raising=False)
+    batch = pa.record_batch([pa.array([f"line number {i} of many\nthe same line in all" for i in range(250)])], names=["text"])
+    out = list(L._send_bands(4)([batch]))
+    assert len(out) == 3 and sum(sum(o.column("n").to_pylist()) for o in out) == L.BANDS * (250 + 3)
