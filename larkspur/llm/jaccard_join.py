@@ -32,6 +32,8 @@ from larkspur.llm.session import checkpoint, shuffle_partitions
 from larkspur.llm.text_hash import U, Words, doc_ngrams, mix, slices, utf8
 
 _KEY_BYTES = 5
+#: Texts whose keys are gathered and sent at once.
+_TEXTS = 2500
 #: 64-bit words of a set's sketch.
 WORDS = 8
 SKETCH = sketch_columns(WORDS)
@@ -71,9 +73,13 @@ def _classes(k: int):
     return run
 
 
-def _once(sets):
-    """The distinct sets of a batch."""
-    seen = set()
+def _once(batch: pa.RecordBatch, k: int):
+    """For each part of a batch, its distinct sets that no part before it has."""
+    seen: set[int] = set()
+    return (_new(shingle_sets(batch.column("text").slice(at, _TEXTS), k), seen) for at in range(0, batch.num_rows, _TEXTS))
+
+
+def _new(sets, seen: set[int]):
     for _, s in sets:
         if len(s):
             name = set_name(s)
@@ -84,9 +90,9 @@ def _once(sets):
 
 def _single(k: int, bound: Bound, n_buckets: int):
     def run(batches):
-        for batch in batches:
+        for part in (part for batch in batches for part in _once(batch, k)):
             keys, ids = [], []
-            for name, s in _once(shingle_sets(batch.column("text"), k)):
+            for name, s in part:
                 keys.append(s[: bound.prefix(len(s))])
                 ids.append(np.full(len(keys[-1]), name, np.int64))
             if keys:
@@ -99,8 +105,8 @@ def _prefixes(k: int, bound: Bound, wanted):
     """The extended prefix of each class that may be wanted, in 32 bits a shingle."""
 
     def run(batches):
-        for batch in batches:
-            sets = list(_once(shingle_sets(batch.column("text"), k)))
+        for part in (part for batch in batches for part in _once(batch, k)):
+            sets = list(part)
             hit = may_hold(wanted.value, np.array([name for name, _ in sets], np.int64))
             rows = [(name, (s[: bound.pair_prefix(len(s))] >> U(32)).astype("<u4").tobytes()) for (name, s), h in zip(sets, hit, strict=True) if h]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "prefix"])

@@ -28,6 +28,8 @@ from larkspur.llm.session import Scratch, checkpoint, shuffle_partitions
 #: Frequent keys are split once they have more than this and one HOT_SHARE-th of all rows.
 SPLIT = 1024
 HOT_SHARE = 4096
+#: So many edges, 1 MB of them, are joined by one task; more of them in rounds.
+ALONE = 1 << 16
 
 
 def sketch_columns(words: int) -> list[str]:
@@ -105,12 +107,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component), the least id reachable, for every id of edges (a, b).
 
     Alternating stars, written each round.  Each partition first joins what it holds by itself, so that few edges and
-    few rounds are left.
+    few rounds are left.  Once no more than ALONE are left, one partition holds them all and is done.
     """
     with Scratch(edges.sparkSession) as files:
         e = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         e = files.written(e.mapInArrow(_contract, "u long, v long").distinct())
-        while not _are_stars(e):
+        while True:
+            if e.count() <= ALONE:
+                e = files.written(e.coalesce(1).mapInArrow(_contract, "u long, v long"))
+                break
+            if _are_stars(e):
+                break
             both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
             stats = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
             large = spread_join(both.where("v > u"), stats.select("u", "m"), "u", sizes=stats.select("u", "n"))

@@ -111,3 +111,18 @@ def test_prefixes_and_sketches_lose_no_link():
                 assert pairs(a[: bound.pair_prefix(len(a))]) & pairs(b[: bound.pair_prefix(len(b))])
             apart = int(np.bitwise_count(sketch(a, 8).view(np.uint64) ^ sketch(b, 8).view(np.uint64)).sum())
             assert bound.may(apart, len(a), len(b))
+
+
+def test_keys_are_packed_for_some_texts_at_once(monkeypatch):
+    """However long a batch is, its keys are not gathered whole; a set that an earlier part has is not sent again."""
+    import pyarrow as pa
+
+    from larkspur.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "_TEXTS", 100, raising=False)
+    one = [f"text {i} of many with these words" for i in range(200)]
+    batch = pa.record_batch([pa.array(one + one[:50] + [None])], names=["text"])
+    bound = J.Bound(90, 100)
+    out = list(J._single(3, bound, 4)([batch]))
+    keys = sum(bound.prefix(len(s)) for _, s in J.shingle_sets(pa.array(one), 3))
+    assert len(out) == 2 and sum(sum(o.column("n").to_pylist()) for o in out) == keys
