@@ -47,10 +47,10 @@ _KEY_BYTES = 5
 #: 64-bit words of a line's sketch: lines have some hundred shingles, of which linked ones may lack many.
 SKETCH = sketch_columns(16)
 #: Shingles whose signatures are made at once, so that the work stays in the cache.
-_CHUNK = 80_000
+_CHUNK = 120_000
 #: Bytes of text that are worked on at once; one text is never split.
 _SLICE = 120_000
-#: Texts whose band keys are packed at once, which takes some 20 KB a text.
+#: Texts that are worked on and sent at once: their band keys take some 20 KB a text, their lines some copies of the text.
 _TEXTS = 2500
 #: Buckets of band keys for each shuffle partition: a task holds one bucket at a time.
 _BUCKETS = 4
@@ -105,9 +105,14 @@ class Lines:
         x = np.zeros(len(c) + SHINGLE, U)  # newlines are 0 here, which only short lines see
         x[: len(c)] = c
         x[ends] = 0
-        two = x[:-1] + (x[1:] << U(21))
-        h = (two[: len(c)] + (x[2 : 2 + len(c)] << U(42))) * U(0x9E3779B97F4A7C15)
-        h += two[3 : 3 + len(c)] * U(0xD6E8FEB86659FD93)
+        two = x[1:] << U(21)
+        two += x[:-1]
+        h = x[2 : 2 + len(c)] << U(42)
+        h += two[: len(c)]
+        h *= U(0x9E3779B97F4A7C15)
+        two = two[3 : 3 + len(c)]
+        two *= U(0xD6E8FEB86659FD93)
+        h += two
         for s, n in zip(self.start[short], self.size[short], strict=True):
             y = np.append(x[s : s + n], np.zeros(SHINGLE, U))
             h[s : s + 1] = (y[:1] + (y[1:2] << U(21)) + (y[2:3] << U(42))) * U(0x9E3779B97F4A7C15) + (y[3:4] + (y[4:5] << U(21))) * U(0xD6E8FEB86659FD93)
@@ -153,28 +158,38 @@ def band_keys(lines: Lines, which: np.ndarray) -> np.ndarray:
     n = ROWS * BANDS
     odd = mix(np.arange(1, n + 1, dtype=U)).astype(np.uint16) | np.uint16(1)
     least = np.empty((n, len(which)), np.uint16)
-    ends = np.cumsum(lines.counts[which])
+    all_counts = lines.counts[which]
+    ends = np.cumsum(all_counts)
+    if np.array_equal(which, np.arange(len(lines.full))):
+        hashes = lines.hashes
+    elif len(which) and 8 * ends[-1] >= 7 * len(lines.hashes):  # a few lines too many cost less than gathering the others
+        return band_keys(lines, np.arange(len(lines.full)))[which]
+    else:
+        hashes = lines.hashes[np.repeat(lines.first[which] - (ends - all_counts), all_counts) + np.arange(ends[-1] if len(ends) else 0)]
+    quarters = hashes.astype("<u8", copy=False).view("<u2").reshape(-1, 4)
     at = 0
     while at < len(which):
         before = ends[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(ends, before + _CHUNK, "right")))
-        counts = lines.counts[which[at:end]]
-        first = np.cumsum(counts) - counts
-        h = lines.hashes[np.repeat(lines.first[which[at:end]] - first, counts) + np.arange(int(counts.sum()))]
+        first = ends[at:end] - all_counts[at:end] - before
+        h = quarters[before : ends[end - 1]]
         out = np.empty(len(h), np.uint16)
         for q in range(4):
-            quarter = (h >> U(16 * q)).astype(np.uint16)
+            quarter = np.ascontiguousarray(h[:, q])
             for i in range(q, n, 4):
                 np.multiply(quarter, odd[i], out=out)
                 np.minimum.reduceat(out, first, out=least[i, at:end])
         at = end
-    keys = np.empty((len(which), BANDS), U)
-    for b in range(BANDS):
-        key = np.full(len(which), b + 1, U)
-        for r in range(ROWS):
-            key = mix(key * U(31) + least[b * ROWS + r])
-        keys[:, b] = key
-    return keys
+    # All bands at once: a band's values fill two 64-bit numbers.
+    values = np.zeros((BANDS, len(which), 8), "<u2")
+    values[:, :, :ROWS] = least.reshape(BANDS, ROWS, -1).transpose(0, 2, 1)
+    halves = values.view("<u8")
+    keys = mix(mix(halves[:, :, 0] + np.arange(1, BANDS + 1, dtype=U)[:, None] * U(_STEP)) + halves[:, :, 1])
+    return np.ascontiguousarray(keys.T)
+
+
+def _parts(batch: pa.RecordBatch):
+    return (batch.slice(at, _TEXTS) for at in range(0, batch.num_rows, _TEXTS))
 
 
 def _bytes_of(column) -> list[bytes | None]:
@@ -186,15 +201,17 @@ def _distinct(batch: pa.RecordBatch):
     seen: set[int] = set()
     for _, texts in _slices(_bytes_of(batch.column("text"))):
         lines = Lines(texts)
-        names, which = np.unique(lines.names(), return_index=True)
+        all_names = lines.names()
+        names, which = np.unique(all_names, return_index=True)
         new = np.array([x not in seen for x in names.tolist()], bool)
         seen.update(names[new].tolist())
-        yield lines, names[new], which[new]
+        which = np.sort(which[new])
+        yield lines, all_names[which], which
 
 
 def _send_bands(n_buckets: int):
     def run(batches):
-        for part in (batch.slice(at, _TEXTS) for batch in batches for at in range(0, batch.num_rows, _TEXTS)):
+        for part in (part for batch in batches for part in _parts(batch)):
             keys, ids = [], []
             for lines, names, which in _distinct(part):
                 keys.append(band_keys(lines, which).reshape(-1))
@@ -261,8 +278,10 @@ def _lines_of(wanted):
     """(late, k, id, again, form): the lines of each document, once each; again: there twice; forms that may be wanted, once a batch."""
 
     def run(batches):
-        for batch in batches:
-            sent: set[int] = set()
+        sent: set[int] = set()
+        for batch, at_start in ((part, i == 0) for batch in batches for i, part in enumerate(_parts(batch))):
+            if at_start:
+                sent.clear()
             for at, texts in _slices(_bytes_of(batch.column("text"))):
                 lines = Lines(texts)
                 name = lines.names()
@@ -348,11 +367,12 @@ def _cut(names: list[str], add_counts: bool):
     """Cuts the lines that have an earlier like; an in-document copy of a line goes as well."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in _parts(batch)):
             row = batch.column("row")
             old = _bytes_of(text_of(batch))
             verdicts = list(zip(*[batch.column(c).to_pylist() for c in ("gone", "same", "again")], strict=True))
-            touched = [gone is not None for gone, _, _ in verdicts]
+            # First lines of components that the document has one line of stay, and so does its text.
+            touched = [gone is not None and (again or len(gone) > 0 or len({x["component"] for x in same}) < len(same)) for gone, same, again in verdicts]
             texts = list(old)
             counts = [None if t else (sum(1 for x in (b or b"").split(b"\n") if x.strip()) if add_counts else 0, 0) for b, t in zip(old, touched, strict=True)]
             which = np.flatnonzero(touched).tolist()

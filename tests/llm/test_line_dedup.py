@@ -181,3 +181,55 @@ def test_bands_are_packed_for_some_texts_at_once(monkeypatch):
     batch = pa.record_batch([pa.array([f"line number {i} of many\nthe same line in all" for i in range(250)])], names=["text"])
     out = list(L._send_bands(4)([batch]))
     assert len(out) == 3 and sum(sum(o.column("n").to_pylist()) for o in out) == L.BANDS * (250 + 3)
+
+
+def test_band_keys_are_mixed_for_all_bands_at_once(monkeypatch):
+    """Keys do not depend on which other lines are asked for, and the bands of many lines cost three calls, not one a value."""
+    from larkspur.llm import line_dedup as L
+
+    lines = Lines([("\n".join(f"line {i} with {'word ' * (i % 9)}and {i * 7919}" for i in range(40)) + "\nab\né").encode(), b"", b"x\n\ny"])
+    calls, mix = [], L.mix
+    monkeypatch.setattr(L, "mix", lambda x: calls.append(1) or mix(x))
+    every = band_keys(lines, np.arange(len(lines.full)))
+    assert len(calls) <= 3
+    for some in ([3], [], list(range(1, len(lines.full))), list(range(0, len(lines.full), 3))):
+        assert np.array_equal(band_keys(lines, np.array(some, int)), every[some])
+    assert all(len(np.unique(every[:, b])) > 20 for b in range(L.BANDS))
+
+
+def test_texts_that_lose_nothing_are_not_parsed_again(monkeypatch):
+    """A document whose lines are all first, each of another component, keeps its text without being cut into lines' forms."""
+    import pyarrow as pa
+
+    from larkspur.llm import line_dedup as L
+
+    names = L.Lines([b"one line\nanother line"]).names().tolist()
+    monkeypatch.setattr(L, "_slices", lambda texts: iter(()) if not texts else (_ for _ in ()).throw(AssertionError("parsed")))
+    row = pa.StructArray.from_arrays([pa.array([1]), pa.array(["one line\nanother line\n \n"])], names=["doc_id", "text"])
+    same = pa.array([[{"id": x, "component": i} for i, x in enumerate(names)]], pa.list_(pa.struct([("id", pa.int64()), ("component", pa.int64())])))
+    batch = pa.record_batch([row, pa.array([[]], pa.list_(pa.int64())), same, pa.array([False])], names=["row", "gone", "same", "again"])
+    (out,) = L._cut(["doc_id", "text"], True)([batch])
+    assert out.to_pylist() == [{"doc_id": 1, "text": "one line\nanother line\n \n", "n_lines": 2, "n_removed": 0}]
+
+
+def test_lines_and_cut_texts_are_sent_for_some_texts_at_once(monkeypatch):
+    """A long batch goes out in parts, with a form once in all of them."""
+    import pyarrow as pa
+
+    from larkspur.llm import line_dedup as L
+
+    class All:
+        value = np.full(1024, 2**64 - 1, np.uint64)
+
+    monkeypatch.setattr(L, "_TEXTS", 100)
+    texts = pa.array([f"line number {i} of many\nthe same line in all" for i in range(250)])
+    n = pa.array(range(250))
+    out = list(L._lines_of(All)([pa.record_batch([pa.array([False] * 250), n, texts], names=["late", "k", "text"])]))
+    assert [o.num_rows for o in out] == [200, 200, 100]
+    assert [k for o in out for k in sorted(set(o.column("k").to_pylist()))] == list(range(250))
+    forms = [f for o in out for f in o.column("form").to_pylist() if f]
+    assert len(forms) == 251 == len(set(forms))
+    none = pa.nulls(250)
+    rows = pa.record_batch([pa.StructArray.from_arrays([n, texts], names=["doc_id", "text"]), none, none, none], names=["row", "gone", "same", "again"])
+    out = list(L._cut(["doc_id", "text"], True)([rows]))
+    assert [o.num_rows for o in out] == [100, 100, 50] and [x for o in out for x in o.column("text").to_pylist()] == texts.to_pylist()
