@@ -67,3 +67,41 @@ def test_terms_too_many_to_broadcast(spark, monkeypatch):
     rows = [*texts(5), (200, " ".join(f"w{i % 997} the" for i in range(5000)))]
     got = {r.id: (r.n_tokens, r.n_chunks, r.n_kept, r.compressed) for r in compress(spark.createDataFrame(rows, "id int, text string"), "id", "text", 0.5, budget=5, labels=False).collect()}
     assert got == {k: v[:4] for k, v in brute(rows, 0.5, 5).items()}
+
+
+def exchanged(spark, run):
+    """What run() returns, and the bytes that its stages wrote for exchanges."""
+    sc, store = spark.sparkContext, spark.sparkContext._jsc.sc().statusStore()
+    sc.setJobGroup("exchanged", "", False)
+    got = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("exchanged") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return got, sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+
+
+def test_words_that_cannot_change_a_chunk_are_not_exchanged(spark, monkeypatch):
+    """Half of a chunk's words are frequent and broadcast; its rare ones stay whatever they weigh, and only a text with a chunk of rare words asks for theirs."""
+    monkeypatch.setattr(C, "BROADCAST_TERMS", 40)
+    rnd = random.Random(1)
+    rows = [(i, " ".join(f"f{rnd.randrange(20)} f{rnd.randrange(20)} r{i}x{j}" if j % 2 else f"f{j % 20}" for j in range(100))) for i in range(60)]
+    rows += [(500 + i, " ".join(f"{'RARE'[: rnd.randint(1, 4)]}{rnd.randrange(60)}" for _ in range(30))) for i in range(4)]
+    df = spark.createDataFrame(rows, "id int, text string").repartition(2).cache()
+    assert df.count() == len(rows)
+    got, sent = exchanged(spark, lambda: {r.id: (r.n_tokens, r.n_chunks, r.n_kept, r.compressed) for r in compress(df, "id", "text", 0.5, budget=50, labels=False).collect()})
+    df.unpersist()
+    assert got == {k: v[:4] for k, v in brute(rows, 0.5, 50).items()}
+    size = sum(len(t) for _, t in rows)
+    assert sent < size, (sent, size)
+
+
+@pytest.mark.parametrize("terms", [0, 7, 200_000])
+@pytest.mark.parametrize(("rate", "budget"), [(0.5, 3), (0.9, 20)])
+def test_labels_and_repeated_keys_whatever_is_broadcast(spark, monkeypatch, terms, rate, budget):
+    monkeypatch.setattr(C, "BROADCAST_TERMS", terms)
+    monkeypatch.setattr(C, "BYTES_AT_ONCE", 50)
+    rows = texts(9)
+    more = [(3, rows[3][1]), (101, None), (7, None), (None, "no key . no key"), (None, None)]
+    df = spark.createDataFrame([*rows, *more], "id int, text string").repartition(3)
+    got = {r.id: (r.n_tokens, r.n_chunks, r.n_kept, r.compressed, [tuple(x) for x in r.labels]) for r in compress(df, "id", "text", rate, budget=budget).collect()}
+    assert got == brute([*rows, more[3]], rate, budget)
