@@ -31,7 +31,7 @@ TABLE = f"change_key string, {CHANGES}"
 
 
 class Counts(StatefulProcessor):
-    """One slot of a user; rows (user_id, slot, terms)."""
+    """One slot of a user; rows (user_id, slot, length, terms), the distinct terms parted by blanks."""
 
     def __init__(self, ttl_ms: int | None = None):
         self.ttl_ms = ttl_ms
@@ -44,9 +44,9 @@ class Counts(StatefulProcessor):
         user_id, slot = key
         docs, length, df = 0, 0, Counter()
         for row in rows:
-            if row.terms:
-                docs, length = docs + 1, length + len(row.terms)
-                df.update(set(row.terms))
+            if row.length:
+                docs, length = docs + 1, length + row.length
+                df.update(row.terms.split(" "))
         if not docs:
             return
         was = self.totals.get() if self.totals.exists() else (0, 0)
@@ -63,9 +63,14 @@ class Counts(StatefulProcessor):
 
 
 def changes(documents: DataFrame, late: str = "1 hour", ttl_ms: int | None = None, slots: int = SLOTS) -> DataFrame:
-    """The stream (user_id, slot, term, df, n_docs, length) of changed counts of a stream (user_id, memory_id, memory_content, ts); term is null in totals."""
-    once = documents.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "memory_id"])
-    rows = once.select("user_id", F.pmod(F.xxhash64("memory_id"), F.lit(slots)).cast("int").alias("slot"), T.bm25_terms(F.col("memory_content")).alias("terms"))
+    """The stream (user_id, slot, term, df, n_docs, length) of changed counts of a stream (user_id, memory_id, memory_content, ts); term is null in totals.
+
+    Documents are exchanged twice, by id and by state: as their length and distinct terms, which hold no blank, in one string.
+    """
+    terms = T.bm25_terms(F.col("memory_content"))
+    sized = documents.withWatermark("ts", late).select("user_id", "memory_id", "ts", F.size(terms).alias("length"), F.array_join(F.array_distinct(terms), " ").alias("terms"))
+    once = sized.dropDuplicatesWithinWatermark(["user_id", "memory_id"])
+    rows = once.select("user_id", F.pmod(F.xxhash64("memory_id"), F.lit(slots)).cast("int").alias("slot"), "length", "terms")
     return rows.groupBy("user_id", "slot").transformWithState(statefulProcessor=Counts(ttl_ms), outputStructType=CHANGES, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
@@ -76,7 +81,7 @@ def keep(documents: DataFrame, store: Store, table: str, checkpoint: str, **opti
 
     def put(batch: DataFrame, _: int) -> None:
         key = F.concat_ws("\u0001", "user_id", "slot", F.coalesce(F.concat(F.lit("t"), F.col("term")), F.lit("")))
-        store.append(Delta(table, "upsert", batch.withColumn("change_key", key)))
+        store.append(Delta(table, "upsert", batch.withColumn("change_key", key), once=True))  # a state gives each of its terms once a batch
 
     return changes(documents, **options).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

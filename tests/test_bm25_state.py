@@ -48,3 +48,34 @@ def test_stream_ends_as_the_batch(spark, tmp_path):
     assert kept(store) == batch(docs)
     assert store.read("counts").where("user_id = 'hot'").select("slot").distinct().count() == 3
     docs.unpersist()
+
+
+def test_null_repeated_and_empty_documents(spark, tmp_path):
+    """Words that repeat count once a document; a user that is null has counts of its own, which no statistics give."""
+    pytest.importorskip("google.protobuf")
+    rows = [("a", "1", "Tea tea, TEA 12 12 \u8336\u8336"), ("a", "1", "Tea tea, TEA 12 12 \u8336\u8336"), ("a", "2", None), ("a", "3", " ?! "), ("a", "4", "tea x1y"), (None, "5", "tea"), ("a", None, "milk"), ("", "6", "one")]
+    docs = spark.createDataFrame(rows, "user_id string, memory_id string, memory_content string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/in")
+    store = Store(spark, f"{tmp_path}/store", buckets=2)
+    run(spark, tmp_path, store)
+    counts = store.read("counts")
+    assert {tuple(r) for r in bm25_state.stats(counts).collect()} == {("a", 3, 4.0, 7, 2), ("", 1, 1.0, 1, 1)}
+    got = {tuple(r) for r in bm25_state.document_frequencies(counts).collect()}
+    assert got == {("a", t, n) for t, n in {"tea": 2, "12": 1, "\u8336": 1, "x": 1, "1": 1, "y": 1, "milk": 1}.items()} | {(None, "tea", 1), ("", "one", 1)}
+
+
+def test_documents_are_exchanged_as_their_distinct_terms(spark, tmp_path):
+    """A text of one word, many times over, costs the stream's exchanges no more than the word."""
+    pytest.importorskip("google.protobuf")
+    text = "tea " * 50_000
+    docs = spark.createDataFrame([("a", str(i), text) for i in range(8)], "user_id string, memory_id string, memory_content string").withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", bm25_state.PROVIDER)
+    plans = []
+    stream = bm25_state.changes(source, slots=3).writeStream.foreachBatch(lambda batch, _: plans.append((batch._jdf.queryExecution().executedPlan().toString(), batch.collect())))
+    stream.option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination(300)
+    plan, rows = plans[0]
+    for part in plan.split("Exchange ")[1:]:
+        assert "memory_content" not in part.split("\n")[1], plan
+    assert sum(r.n_docs or 0 for r in rows) == 8 and sum(r.length or 0 for r in rows) == 400_000 and sum(r.df or 0 for r in rows) == 8

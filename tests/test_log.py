@@ -52,6 +52,35 @@ def test_each_kind_of_delta(spark, store):
         store.append(Delta("things", "upsert", bump))
 
 
+def test_first_upsert_is_read_as_it_is(spark, store):
+    """Nothing is exchanged to fold one delta onto no base; an empty delta changes nothing, and a second one is folded."""
+    planned = lambda: store.read("things")._jdf.queryExecution().executedPlan().toString()
+    rows = [full("a"), full("b", owner=None, text=None), (None, "o", "no key", 0, None, None, None)]
+    store.append(Delta("things", "upsert", rows_of(spark, [*rows, rows[0]]).select("refs", "tags", "at", "hits", "text", "owner", "id")))
+    store.append(Delta("things", "upsert", rows_of(spark, [])), Delta("things", "delete", spark.createDataFrame([], "id string")))
+    want = [("a", "o", "t", 0), ("b", None, None, 0)]
+    assert store.read("things").columns == [c.split()[0] for c in DDL.replace(", array<int>", ",array<int>").split(", ")]
+    assert content(store, "id", "owner", "text", "hits") == want and "Exchange" not in planned()
+    store.append(Delta("things", "bump", spark.createDataFrame([("a", 2, "t1")], "id string, hits int, at string")))
+    assert content(store, "id", "owner", "text", "hits") == [("a", "o", "t", 2), want[1]] and "Exchange" in planned()
+    store.compact("things")
+    store.append(Delta("things", "upsert", rows_of(spark, [full("a", owner="other", text="new")])))
+    assert content(store, "id", "owner", "text", "hits") == [("a", "o", "new", 0), want[1]]
+
+
+def test_a_first_delta_that_is_no_upsert_gives_no_rows(spark, store):
+    store.append(Delta("things", "patch", spark.createDataFrame([("a", "x")], "id string, text string")))
+    assert content(store, "id") == []
+
+
+def test_rows_that_hold_each_key_once_are_written_as_they_come(spark, store):
+    rows = spark.range(0, 40, 1, 4).selectExpr("concat('k', id) AS id", "'o' AS owner", "'t' AS text", "0 AS hits", "'' AS at", "array('x') AS tags", "map('k', array(1)) AS refs")
+    store.append(Delta("things", "upsert", rows, once=True))
+    [delta] = store._state()["tables"]["things"]["deltas"]
+    assert len(list(Path(f"{store.root}/{delta['path']}").glob("*.parquet"))) == 4 and delta["rows"] == 40
+    assert content(store, "id") == sorted((f"k{i}",) for i in range(40))
+
+
 def test_against_a_plain_dictionary(spark, store):
     """Random commits, folded at any time, with compactions in between."""
     rnd, want = random.Random(1), {}
